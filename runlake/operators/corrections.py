@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.timing import hours_between
+from .registry import known_run, unique_runs
 
 
 def join_samples(draws: DataFrame, injections: DataFrame) -> DataFrame:
@@ -61,11 +62,9 @@ def unresolved_injections(obs: DataFrame, samples: DataFrame) -> DataFrame:
 
 def add_elapsed_hours(obs: DataFrame, runs: DataFrame) -> DataFrame:
     """Hours since the start of the run, negative before it. An unknown run stops the job."""
-    starts = runs.groupBy("run_id").agg(F.max("start_time").alias("_start"))
+    starts = unique_runs(runs).select("run_id", F.col("start_time").alias("_start"))
     names = [c for c in obs.columns if c != "elapsed_h"]
     joined = obs.select(*names).join(starts, "run_id", "left")
-    start = F.coalesce(
-        "_start", F.raise_error(F.concat(F.lit("run not in the manifest: "), F.coalesce("run_id", F.lit("null"))))
-    )
+    start = known_run(F.col("run_id"), F.col("_start"))
     filled = joined.withColumn("elapsed_h", hours_between(F.col("timestamp"), start))
     return filled.select(*(obs.columns if "elapsed_h" in obs.columns else [*names, "elapsed_h"]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..vocabulary import PLAUSIBLE, SOURCES, UNITS, dimension, unit_of
+from .registry import known_run
 
 _KNOWN_SOURCES = [name for name, _, _ in SOURCES]
 
@@ -29,6 +30,13 @@ def orphan_runs(facts: DataFrame, runs: DataFrame) -> DataFrame:
     return used.join(runs.select("run_id"), "run_id", "left_anti")
 
 
+def reject_orphans(facts: DataFrame, runs: DataFrame) -> DataFrame:
+    """The same rows; one whose run the manifest does not list stops the job."""
+    listed = runs.select("run_id", F.col("run_id").alias("_listed")).distinct()
+    joined = facts.join(listed, "run_id", "left")
+    return joined.withColumn("run_id", known_run(F.col("run_id"), F.col("_listed"))).select(*facts.columns)
+
+
 def _tally(check: str, key: Column, bad: Column | None = None) -> Column:
     count = F.col("n") if bad is None else bad
     return F.struct(F.lit(check).alias("check"), key.cast("string").alias("key"), count.cast("bigint").alias("n_bad"))

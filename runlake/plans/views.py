@@ -116,6 +116,139 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _lines(body: DataFrame, header: str, notes: Column | None = None) -> DataFrame:
+    """Give table lines (file_name, row, line) a header line, and notes, per file."""
+    files = body.select("file_name").distinct()
+    heads = files.select("file_name", F.lit(-1).cast("bigint").alias("row"), F.lit(header).alias("line"))
+    parts = body.select("file_name", "row", "line").unionByName(heads)
+    if notes is not None:
+        noted = files.select("file_name", F.lit(-2).cast("bigint").alias("row"), notes.alias("line"))
+        parts = parts.unionByName(noted.filter(F.col("line").isNotNull()))
+    return parts.select("line", F.col("file_name").alias("file_path"), "file_name", F.lit(0).alias("block"), "row")
+
+
+def control_system_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of one export file per run. Runs 0-4 name their batch in a note, 5-9 in the file name."""
+    body = (
+        _events(spark, sf_dir)
+        .filter("event_type = 'view'")
+        .select(
+            F.concat(
+                F.when(F.col("user_id") % 10 < 5, "export_").otherwise(""), _run_id(), F.lit(".csv")
+            ).alias("file_name"),
+            F.col("event_id").alias("row"),
+            F.concat_ws(
+                ",",
+                F.col("value").cast("string"),
+                F.replace(_minute().cast("string"), F.lit(" "), F.lit("T")),
+                F.when(F.col("event_id") % 7 == 0, "").otherwise((F.col("value") * 60).cast("string")),
+            ).alias("line"),
+        )
+    )
+    named = F.regexp_extract("file_name", r"^export_(R\d)", 1)
+    return _lines(
+        body, "PV_DO2 [%],Timestamp,PV_Gasflow [L/h]", F.when(named != "", F.concat(F.lit("# Batch ID: "), named))
+    )
+
+
+def offgas_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of one off-gas export per run, separated by semicolons."""
+    body = (
+        _events(spark, sf_dir)
+        .filter("event_type = 'click'")
+        .select(
+            F.concat(_run_id(), F.lit("_offgas.csv")).alias("file_name"),
+            F.col("event_id").alias("row"),
+            F.concat_ws(";", _minute().cast("string"), F.col("value").cast("string"), F.lit("x")).alias("line"),
+        )
+    )
+    return _lines(body, "Time_stamp;CO2_percent;O2_percent")
+
+
+def multi_vessel_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of one wide file that holds a vessel 1 and a vessel 10 next to an unknown one."""
+    value = F.col("value").cast("string")
+    vessel = F.col("user_id") % 3
+    body = (
+        _events(spark, sf_dir)
+        .filter("event_type = 'view'")
+        .select(
+            F.lit("B1_ambr.csv").alias("file_name"),
+            F.col("event_id").alias("row"),
+            F.concat_ws(
+                ",", _minute().cast("string"), *[F.when(vessel == k, value).otherwise("") for k in (0, 1, 2)], value
+            ).alias("line"),
+        )
+    )
+    return _lines(body, "Timestamp,Vessel_1_DO_pct,Vessel_10_pH,Vessel_77_pH,Vessel_10_Colour")
+
+
+def vessel_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest with one line per user, in which vessels are used again and again."""
+    users = _events(spark, sf_dir).groupBy("user_id").agg(F.max("value").alias("top"))
+    return users.select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("run_id"),
+        F.concat(F.lit("Vessel_"), (F.col("user_id") % 13).cast("string")).alias("vessel_id"),
+        F.when(F.col("user_id") % 2 == 0, "ambr").otherwise("dasgip").alias("system"),
+        F.col("user_id").alias("line_no"),
+    )
+
+
+def peak_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peak-table rows as text cells, with an untracked analyte and blank amounts."""
+    kind = F.col("event_id") % 3
+    text = F.col("value").cast("string")
+    return (
+        _events(spark, sf_dir)
+        .filter("event_type = 'purchase'")
+        .select(
+            F.concat(_run_id(), F.lit("_hplc.csv")).alias("file_name"),
+            F.col("event_id").alias("row"),
+            _run_id().alias("Run_ID"),
+            F.concat(_run_id(), F.lit("-"), (F.col("event_id") % 40).cast("string")).alias("Sample_Name"),
+            _minute().cast("string").alias("Injection_DateTime"),
+            F.when(kind == 0, "Glucose").when(kind == 1, "Product").otherwise("Solvent").alias("Peak_Name"),
+            F.when(F.col("event_id") % 4 != 0, "M1").alias("Method"),
+            F.when(F.col("event_id") % 5 == 0, "").otherwise(text).alias("Amount"),
+            text.alias("Area"),
+            F.when(F.col("event_id") % 7 == 0, "n.d.").otherwise(text).alias("RT_min"),
+        )
+    )
+
+
+def manual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manual sheet rows as text cells, with blank dry cell weights."""
+    minute = _minute().cast("string")
+    return (
+        _events(spark, sf_dir)
+        .filter("event_type = 'signup'")
+        .select(
+            F.concat(_run_id(), F.lit("_biomass.csv")).alias("file_name"),
+            F.col("event_id").alias("row"),
+            _run_id().alias("Run_ID"),
+            F.concat(_run_id(), F.lit("-"), F.col("event_id").cast("string")).alias("Sample_ID"),
+            F.substring(minute, 1, 10).alias("Date"),
+            F.substring(minute, 12, 5).alias("Time"),
+            F.lit("KL").alias("Operator"),
+            F.when(F.col("event_id") % 6 == 0, "1:10").otherwise("10").alias("Dilution_Factor"),
+            F.when(F.col("event_id") % 4 == 0, "foam").alias("Notes"),
+            F.col("value").cast("string").alias("OD600_Corrected"),
+            F.when(F.col("event_id") % 5 != 0, F.col("value").cast("string")).alias("DCW_g_L"),
+        )
+    )
+
+
+def odd_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell texts of which some are numbers, some only look like it."""
+    value = F.col("value").cast("string")
+    forms = {1: F.concat(value, F.lit("d")), 2: F.lit("NaN"), 3: F.lit(""), 4: F.concat(F.lit(" "), value, F.lit(" ")),
+             5: F.concat(F.lit("-"), value, F.lit("e2")), 6: F.concat(value, F.lit(" mg")), 7: F.lit("-inf")}
+    text = value
+    for rest, form in forms.items():
+        text = F.when(F.col("event_id") % 9 == rest, form).otherwise(text)
+    return _events(spark, sf_dir).select("event_id", text.alias("text"))
+
+
 SQL = """
 obs as (
   select e.run_id, e.timestamp, cast(e.us as double) / 3.6e9 as elapsed_h, m.source, m.variable,
