@@ -7,6 +7,7 @@ from .operators.cohorts import (
     cohort_outcomes,
     cohorts,
     divergence,
+    divergence_of_all,
     endpoint_leaders,
     ranked_cohorts,
 )

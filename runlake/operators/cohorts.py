@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import leave_one_out_median
+from .ranks import exact_median, leave_one_out_median
 
 # Runs are comparable when these agree.
 COHORT_KEYS = ("system", "strain", "mode")
@@ -71,30 +71,63 @@ def endpoint_leaders(runs: DataFrame) -> DataFrame:
     return ended.groupBy(*COHORT_KEYS).agg(best).select(*COHORT_KEYS, "_best.*")
 
 
-def divergence(
-    obs: DataFrame, runs: DataFrame, variables: Sequence[str] | None = None, highlighted: str | None = None
-) -> DataFrame:
-    """How far each run lies from the rest of its cohort over the late half.
+_GROUP = [*COHORT_KEYS, "variable"]
+
+
+def _late_rows(obs: DataFrame, members: DataFrame, variables: Sequence[str] | None) -> DataFrame:
+    """Readings of the members from half of the largest elapsed time on.
 
-    Late rows have at least half of the largest elapsed time of the variable in the whole
-    cohort. The run's mean stands against the exact median of the pooled rows of all other
-    members. Pairs without rows on either side are left out. ``highlighted`` narrows the
-    answer to one run.
+    That time is taken per variable over the whole cohort, not per run.
     """
-    members = cohort_members(runs).select("run_id", *COHORT_KEYS)
-    if highlighted is not None:
-        mine = members.filter(F.col("run_id") == highlighted).select(*COHORT_KEYS).distinct()
-        members = members.join(mine, list(COHORT_KEYS), "left_semi")
     readings = obs.select("run_id", "variable", "elapsed_h", "value")
     if variables:
         readings = readings.filter(F.col("variable").isin(list(variables)))
-    pooled = readings.join(members, "run_id")
-    keys = [*COHORT_KEYS, "variable"]
     # The largest time per run first, so that only one row per (run, variable) meets the manifest.
     longest = readings.groupBy("run_id", "variable").agg(F.max("elapsed_h").alias("_longest"))
-    half = longest.join(members, "run_id").groupBy(*keys).agg((F.max("_longest") / 2).alias("_half"))
-    late = pooled.join(half, keys).filter(F.col("elapsed_h") >= F.col("_half"))
-    own = late.groupBy(*keys, "run_id").agg(F.avg("value").alias("highlighted"))
-    rest = leave_one_out_median(late, keys, "run_id", "value", "cohort_median")
-    both = own.join(rest, [*keys, "run_id"]).withColumn("difference", F.col("highlighted") - F.col("cohort_median"))
-    return both if highlighted is None else both.filter(F.col("run_id") == highlighted)
+    half = longest.join(members, "run_id").groupBy(*_GROUP).agg((F.max("_longest") / 2).alias("_half"))
+    pooled = readings.join(members, "run_id")
+    return pooled.join(half, _GROUP).filter(F.col("elapsed_h") >= F.col("_half")).drop("elapsed_h", "_half")
+
+
+def divergence(
+    obs: DataFrame, runs: DataFrame, highlighted: str | DataFrame, variables: Sequence[str] | None = None
+) -> DataFrame:
+    """How far a highlighted run lies from the rest of its cohort over the late half.
+
+    ``highlighted`` is a run id, or a frame with a ``run_id`` column to do this for many
+    cohorts at once, at most one run of each. The run's mean stands against the exact median
+    of the pooled rows of the other members. Variables without rows on either side, and runs
+    that are alone, give nothing.
+    """
+    chosen = F.col("run_id") == highlighted if isinstance(highlighted, str) else None
+    placed = runs.dropna(subset=list(COHORT_KEYS)).select("run_id", *COHORT_KEYS)
+    focus = placed.filter(chosen) if chosen is not None else placed.join(highlighted.select("run_id"), "run_id", "left_semi")
+    several = F.raise_error(F.concat(F.lit("more than one highlighted run in "), F.concat_ws(", ", *COHORT_KEYS)))
+    focus = focus.groupBy(*COHORT_KEYS).agg(F.max("run_id").alias("focus"), F.count(F.lit(1)).alias("_n"))
+    focus = focus.withColumn("focus", F.when(F.col("_n") > 1, several).otherwise(F.col("focus"))).drop("_n")
+    late = _late_rows(obs, placed.join(focus, list(COHORT_KEYS)), variables)
+
+    is_focus = F.col("run_id") == F.col("focus")
+    keys = [*_GROUP, "focus"]
+    own = late.filter(is_focus).groupBy(*keys).agg(F.avg("value").alias("highlighted"))
+    rest = exact_median(late.filter(~is_focus), keys, "value", name="cohort_median")
+    return _difference(own.join(rest, keys).withColumnRenamed("focus", "run_id"))
+
+
+def divergence_of_all(obs: DataFrame, runs: DataFrame, variables: Sequence[str] | None = None) -> DataFrame:
+    """``divergence`` with every run highlighted in turn, as one job that is linear in the rows."""
+    members = runs.dropna(subset=list(COHORT_KEYS)).select("run_id", *COHORT_KEYS)
+    late = _late_rows(obs, members, variables)
+    own = late.groupBy(*_GROUP, "run_id").agg(F.avg("value").alias("highlighted"))
+    rest = leave_one_out_median(late, _GROUP, "run_id", "value", "cohort_median")
+    return _difference(own.join(rest, [*_GROUP, "run_id"]))
+
+
+def _difference(both: DataFrame) -> DataFrame:
+    return both.select(
+        *_GROUP,
+        "run_id",
+        "highlighted",
+        "cohort_median",
+        (F.col("highlighted") - F.col("cohort_median")).alias("difference"),
+    )

@@ -1,9 +1,10 @@
 """Exact medians of groups too large for one task.
 
 Spark's exact ``percentile`` keeps all distinct values of a group in one place. Here equal
-values are counted first, each group is cut into value buckets at approximate quantiles, and
-running counts inside a bucket plus the bucket's offset give every value its exact rank. The
-approximation only decides how evenly the buckets are filled, never the result.
+values are counted first, and each group is cut into value buckets by a fixed,
+order-preserving rule. Running counts inside a bucket plus the counts of the buckets below
+give every value its exact rank. The rule needs no look at the data, and a group has a
+bounded number of buckets, however many rows it has.
 """
 
 from __future__ import annotations
@@ -13,55 +14,57 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from .staging import staged
 
+# Buckets per doubling of the value: neighbours differ by 0.004 %. Magnitudes are taken
+# between 2^-40 and 2^40; whatever lies beyond shares the outermost buckets, still in order.
+PER_OCTAVE = 16_384
+OCTAVES = 40
 
-def _bucket(value: Column, edges: Column) -> Column:
-    """Number of edges below the value."""
-    return F.size(F.filter(edges, lambda edge: edge < value))
 
+def value_bucket(value: Column) -> Column:
+    """Bucket number that never falls while the value rises."""
+    octave = F.greatest(F.least(F.log2(F.abs(value)), F.lit(float(OCTAVES))), F.lit(float(-OCTAVES)))
+    size = F.floor((octave + F.lit(OCTAVES + 1)) * PER_OCTAVE).cast("int")
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
 
-def _bucketed(counts: DataFrame, keys: Sequence[str], value: str, buckets: int) -> DataFrame:
-    """Add ``_bucket`` to (keys, value, n) counts."""
-    cuts = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], F.lit(1000))
-    edges = counts.groupBy(*keys).agg(cuts.alias("_edges"))
-    return counts.join(edges, list(keys)).withColumn("_bucket", _bucket(F.col(value), F.col("_edges"))).drop("_edges")
+
+def _counts(df: DataFrame, keys: Sequence[str], value: str, times: Column) -> DataFrame:
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(times.alias("_n"))
+    return counts.withColumn("_bucket", value_bucket(F.col(value)))
 
 
-def _before(order: str, size: str, *keys: str) -> Column:
-    """Rows in earlier buckets of the key."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def _below(size: str, *keys: str) -> Column:
+    """Rows in lower buckets of the key."""
+    w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(size).over(w), F.lit(0))
 
 
+def _middle(total: str) -> dict[str, Column]:
+    """The two ranks whose values make the median; the same rank twice for odd totals."""
+    return {"_lo": F.expr(f"({total} + 1) div 2"), "_hi": F.expr(f"({total} + 2) div 2")}
+
+
 def exact_median(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    weight: str | None = None,
-    name: str = "median",
-    buckets: int = BUCKETS,
+    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, name: str = "median"
 ) -> DataFrame:
     """(keys, median) with the mean of the two middle values for even counts.
 
     ``weight`` names a column that says how often a row counts.
     """
     keys = list(keys)
-    times = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(times.alias("_n"))
-    cut = _bucketed(counts, keys, value, buckets)
-    whole = Window.partitionBy(*keys)
-    sizes = (
-        cut.groupBy(*keys, "_bucket")
+    counts = _counts(df, keys, value, F.sum(weight) if weight else F.count(F.lit(1)))
+    middle = (
+        counts.groupBy(*keys, "_bucket")
         .agg(F.sum("_n").alias("_in"))
-        .withColumns({"_offset": _before("_bucket", "_in", *keys), "_total": F.sum("_in").over(whole)})
-        # Only the bucket or buckets that hold the middle ranks go on.
-        .withColumns({"_lo": F.expr("(_total + 1) div 2"), "_hi": F.expr("(_total + 2) div 2")})
-        .filter("_offset < _hi and _offset + _in >= _lo")
+        .withColumns({"_below": _below("_in", *keys), "_total": F.sum("_in").over(Window.partitionBy(*keys))})
+        .withColumns(_middle("_total"))
+        # Only the one or two buckets that hold the middle ranks go on.
+        .filter("_below < _hi and _below + _in >= _lo")
         .drop("_in", "_total")
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    ranked = cut.join(sizes, [*keys, "_bucket"]).withColumn("_upto", F.sum("_n").over(inside) + F.col("_offset"))
+    ranked = counts.join(middle, [*keys, "_bucket"]).withColumn("_upto", F.sum("_n").over(inside) + F.col("_below"))
 
     def at(rank: str) -> Column:
         holds = (F.col("_upto") >= F.col(rank)) & (F.col("_upto") - F.col("_n") < F.col(rank))
@@ -71,12 +74,7 @@ def exact_median(
 
 
 def leave_one_out_median(
-    df: DataFrame,
-    keys: Sequence[str],
-    member: str,
-    value: str,
-    name: str = "median_of_others",
-    buckets: int = BUCKETS,
+    df: DataFrame, keys: Sequence[str], member: str, value: str, name: str = "median_of_others"
 ) -> DataFrame:
     """(keys, member, median) over all rows of the group that do *not* belong to the member.
 
@@ -86,17 +84,14 @@ def leave_one_out_median(
     its last value at which ``rest`` is still below k. One sort of the pool serves everyone.
     """
     keys = list(keys)
-    counts = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, member, value).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    cut = _bucketed(counts, keys, value, buckets)
-
-    own = cut.groupBy(*keys, member, "_bucket").agg(F.sum("_n").alias("_in"))
+    # Six branches below start from these counts, so they are computed once and kept.
+    counts = staged(_counts(df, [*keys, member], value, F.count(F.lit(1))))
+    own = counts.groupBy(*keys, member, "_bucket").agg(F.sum("_n").alias("_in"))
     own_sizes = own.select(
         *keys,
         member,
         "_bucket",
-        _before("_bucket", "_in", *keys, member).alias("_own_offset"),
+        _below("_in", *keys, member).alias("_own_below"),
         F.sum("_in").over(Window.partitionBy(*keys, member)).alias("_own_total"),
     )
     pool_sizes = (
@@ -105,66 +100,54 @@ def leave_one_out_median(
         .select(
             *keys,
             "_bucket",
-            _before("_bucket", "_in", *keys).alias("_pool_offset"),
+            _below("_in", *keys).alias("_pool_below"),
             F.sum("_in").over(Window.partitionBy(*keys)).alias("_pool_total"),
         )
     )
-    # Rows of one value are peers in the pool's range frame, so all of them are counted.
-    pool_order = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    own_order = Window.partitionBy(*keys, "_bucket", member).orderBy(value)
+    # Rows of one value are peers in the pool's range frame, so all members' rows count.
+    own_order = Window.partitionBy(*keys, member, "_bucket").orderBy(value)
+    pool_order = (
+        Window.partitionBy(*keys, "_bucket").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     ranked = (
-        cut.withColumns(
-            {
-                "_pool_upto": F.sum("_n").over(pool_order.rangeBetween(Window.unboundedPreceding, 0)),
-                "_own_upto": F.sum("_n").over(own_order.rowsBetween(Window.unboundedPreceding, 0)),
-            }
-        )
+        counts.join(own_sizes, [*keys, member, "_bucket"])
+        .withColumn("_own_upto", F.sum("_n").over(own_order) + F.col("_own_below"))
         .join(pool_sizes, [*keys, "_bucket"])
-        .join(own_sizes, [*keys, member, "_bucket"])
-        .withColumns(
-            {
-                "_pool_upto": F.col("_pool_upto") + F.col("_pool_offset"),
-                "_own_upto": F.col("_own_upto") + F.col("_own_offset"),
-                "_others": F.col("_pool_total") - F.col("_own_total"),
-            }
-        )
-        .withColumns({"_lo": F.expr("(_others + 1) div 2"), "_hi": F.expr("(_others + 2) div 2")})
+        .withColumn("_pool_upto", F.sum("_n").over(pool_order) + F.col("_pool_below"))
     )
 
-    def target(rank: str) -> Column:
-        short = F.col("_pool_upto") - F.col("_own_upto") < F.col(rank)
-        return F.max(rank) + F.coalesce(F.max(F.when(short, F.col("_own_upto"))), F.lit(0))
+    def rank(middle: str) -> Column:
+        short = F.col("_pool_upto") - F.col("_own_upto") < F.col(middle)
+        return F.max(middle) + F.coalesce(F.max(F.when(short, F.col("_own_upto"))), F.lit(0))
 
     targets = (
-        ranked.filter("_others > 0")
+        ranked.withColumn("_others", F.col("_pool_total") - F.col("_own_total"))
+        .filter("_others > 0")
+        .withColumns(_middle("_others"))
         .groupBy(*keys, member)
-        .agg(F.array(target("_lo"), target("_hi")).alias("_ranks"))
+        .agg(F.array(rank("_lo"), rank("_hi")).alias("_ranks"))
         .select(*keys, member, F.explode("_ranks").alias("_rank"))
     )
-    # Look the ranks up in the pool: first the bucket by its offsets (a short array per
-    # group), then the first pool value at or beyond the rank inside that bucket.
-    offsets = pool_sizes.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_pool_offset", "_bucket"))).alias("_buckets")
-    )
-    holding = F.filter("_buckets", lambda b: b["_pool_offset"] < F.col("_rank"))
-    asked = targets.join(offsets, keys).select(
-        *keys, F.try_element_at(holding, F.lit(-1))["_bucket"].alias("_bucket"), "_rank", member
-    )
-    pool = (
-        cut.groupBy(*keys, "_bucket", value)
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(pool_order))
-        .join(pool_sizes, [*keys, "_bucket"])
-        .select(*keys, "_bucket", (F.col("_upto") + F.col("_pool_offset")).alias("_rank"), F.col(value).alias("_value"))
+    # Ranks are looked up in two steps: the bucket that reaches the rank, then the value in
+    # it. Both are "last row at or before" searches over stacked rows; each holds two rows
+    # per member beside the buckets, or the values of one bucket.
+    upwards = Window.partitionBy(*keys).orderBy("_rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    first_ranks = pool_sizes.select(*keys, (F.col("_pool_below") + 1).alias("_rank"), F.col("_bucket").alias("_from"))
+    in_bucket = (
+        targets.unionByName(first_ranks, allowMissingColumns=True)
+        .withColumn("_bucket", F.last("_from", ignorenulls=True).over(upwards))
+        .filter(F.col(member).isNotNull())
+        .drop("_from")
     )
-    onward = (
+    values = ranked.select(*keys, "_bucket", F.col("_pool_upto").alias("_rank"), F.col(value).alias("_value"))
+    downwards = (
         Window.partitionBy(*keys, "_bucket")
         .orderBy(F.col("_rank").desc())
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     found = (
-        asked.unionByName(pool, allowMissingColumns=True)
-        .withColumn("_at", F.last("_value", ignorenulls=True).over(onward))
+        in_bucket.unionByName(values, allowMissingColumns=True)
+        .withColumn("_at", F.last("_value", ignorenulls=True).over(downwards))
         .filter(F.col(member).isNotNull())
     )
     return found.groupBy(*keys, member).agg(F.avg("_at").alias(name))

@@ -1,0 +1,24 @@
+"""Keeping an intermediate table that several branches of one job read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and read it back from the checkpoint folder.
+
+    The folder is the one the session names in ``spark.checkpoint.dir``, which all executors
+    must share. Only a local session may go without; it gets a temporary one.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="runlake-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

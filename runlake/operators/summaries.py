@@ -40,22 +40,21 @@ def source_provenance(obs: DataFrame, width: Duration = DEFAULT_SPAN) -> DataFra
     per_file = obs.groupBy("run_id", "source", "variable", "source_file").agg(
         F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
     )
+    # Sets of distinct file names: as many as a run has export files of the source.
     per_variable = per_file.groupBy("run_id", "source", "variable").agg(
         F.sum("n").alias("n"),
         F.min("first").alias("first"),
         F.max("last").alias("last"),
+        F.collect_set("source_file").alias("files"),
     )
     counted = per_variable.groupBy("run_id", "source").agg(
         F.count("variable").alias("variables"),
         F.sum("n").alias("points"),
         F.min_by("first", "variable").alias("first_reading"),
         F.min_by("last", "variable").alias("last_reading"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))), ", ").alias("files"),
     )
-    # Distinct names only: as many as a run has export files of the source.
-    names = per_file.groupBy("run_id", "source").agg(
-        F.array_join(F.array_sort(F.collect_set("source_file")), ", ").alias("files")
-    )
-    joined = counted.join(names, ["run_id", "source"]).join(cadence(obs, width), ["run_id", "source"], "left")
+    joined = counted.join(cadence(obs, width), ["run_id", "source"], "left")
     return joined.select(
         "run_id",
         "source",

@@ -388,4 +388,11 @@ def endpoint_leader(spark, sf_dir):
 
 @query
 def divergence(spark, sf_dir):
-    return cohorts.divergence(views.observations(spark, sf_dir), views.runs(spark, sf_dir))
+    """The run that leads each cohort on endpoints, against the rest of its cohort."""
+    runs = views.runs(spark, sf_dir)
+    return cohorts.divergence(views.observations(spark, sf_dir), runs, cohorts.endpoint_leaders(runs))
+
+
+@query
+def divergence_of_all(spark, sf_dir):
+    return cohorts.divergence_of_all(views.observations(spark, sf_dir), views.runs(spark, sf_dir))

@@ -582,22 +582,28 @@ from (select *, row_number() over (partition by system, strain, mode order by fi
       from runs where strain is not null) r where rn = 1
 """,
 )
-oracle(
-    "divergence",
-    """
-select system, strain, mode, variable, run_id, round(highlighted, 8) as highlighted,
-       round(cohort_median, 8) as cohort_median, round(highlighted - cohort_median, 8) as difference
-from (select a.system, a.strain, a.mode, a.variable, a.run_id, a.mean as highlighted, median(o.value) as cohort_median
-      from (select system, strain, mode, variable, run_id, avg(value) as mean from late group by 1, 2, 3, 4, 5) a
-      join late o on a.system = o.system and a.strain = o.strain and a.mode = o.mode and a.variable = o.variable
-                 and a.run_id <> o.run_id
-      group by 1, 2, 3, 4, 5, 6) d
-""",
-    """
+_LATE = """
 late as (
   select * from (select o.run_id, o.variable, o.elapsed_h, o.value, r.system, r.strain, r.mode,
                         max(o.elapsed_h) over (partition by r.system, r.strain, r.mode, o.variable) as top
                  from obs o join runs r using (run_id) where r.strain is not null) p
-  where elapsed_h >= top / 2)
-""",
-)
+  where elapsed_h >= top / 2),
+apart as (
+  select a.system, a.strain, a.mode, a.variable, a.run_id, a.mean as highlighted, median(o.value) as cohort_median
+  from (select system, strain, mode, variable, run_id, avg(value) as mean from late group by 1, 2, 3, 4, 5) a
+  join late o on a.system = o.system and a.strain = o.strain and a.mode = o.mode and a.variable = o.variable
+             and a.run_id <> o.run_id
+  group by 1, 2, 3, 4, 5, 6)
+"""
+_APART = """
+select system, strain, mode, variable, run_id, round(highlighted, 8) as highlighted,
+       round(cohort_median, 8) as cohort_median, round(highlighted - cohort_median, 8) as difference from apart
+"""
+_LEADERS = """
+leaders as (
+  select run_id from (select run_id, row_number() over (partition by system, strain, mode
+                                                        order by final_biomass_total_gL desc, run_id) as rn
+                      from runs where strain is not null) r where rn = 1)
+"""
+oracle("divergence", f"{_APART} where run_id in (select run_id from leaders)", _LATE, _LEADERS)
+oracle("divergence_of_all", _APART, _LATE)

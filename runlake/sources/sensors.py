@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import file_stem, stem_without, to_moment, to_number
 from ..operators.registry import known_run, split_vessel_columns, unique_runs
 from ..vocabulary import VENDOR_COLUMNS, dimension, unit_of
-from .delimited import cells, file_headers, require, row_order, text_lines, with_file_facts
+from .delimited import cells, require, row_order, text_lines, with_file_facts
 from .layouts import LAYOUTS, location
 
-_ENTRY = F.struct("run_id", "place", "variable", "scale")
-
 
 def split_lines(lines: DataFrame, layout: str) -> DataFrame:
     """Add the cells of each line. ``#`` lines of control-system exports get none."""
@@ -55,8 +53,35 @@ def header_metadata(lines: DataFrame) -> DataFrame:
     return notes.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
 
 
-def _named_columns(headers: DataFrame) -> DataFrame:
-    return headers.select("file_path", "file_name", F.posexplode("names").alias("place", "column"))
+def file_facts(lines: DataFrame, layout: str) -> DataFrame:
+    """One row per file: column names, place of the header line, and the batch id noted before it.
+
+    Only lines that may be the header or name the batch are looked at more closely.
+    """
+    kind = LAYOUTS[layout]
+    note = F.regexp_extract("line", r"^#+\s*Batch ID\s*:(.*)$", 1)
+    is_note = F.col("line").startswith("#") & F.col("line").rlike(r"^#+\s*Batch ID\s*:")
+    is_header = F.col("line").contains(kind.time_column) & F.array_contains("cells", kind.time_column)
+    marked = lines.filter(is_header | is_note if layout == "dasgip" else is_header)
+    at_header = F.when(F.array_contains("cells", kind.time_column), row_order())
+    in_file = Window.partitionBy("file_path")
+    return (
+        marked.withColumn("_header_at", F.min(at_header).over(in_file))
+        .groupBy("file_path")
+        .agg(
+            F.any_value("file_name").alias("file_name"),
+            F.any_value("_header_at").alias("header_at"),
+            F.min_by("cells", at_header).alias("names"),
+            F.max_by(
+                F.trim(note), F.when(F.col("cells").isNull() & (row_order() < F.col("_header_at")), row_order())
+            ).alias("batch"),
+        )
+        .filter(F.col("names").isNotNull())
+        .withColumn("time_place", (F.array_position("names", kind.time_column) - 1).cast("int"))
+    )
+
+
+_FILE = ["file_path", "file_name", "header_at", "time_place"]
 
 
 def _vendor_map(spark: SparkSession, layout: str) -> DataFrame:
@@ -64,48 +89,47 @@ def _vendor_map(spark: SparkSession, layout: str) -> DataFrame:
     return F.broadcast(dimension(spark, rows, "column string, variable string, scale double"))
 
 
-def _single_run_columns(headers: DataFrame, ids: DataFrame, manifest: DataFrame, layout: str) -> DataFrame:
+def _single_run_columns(facts: DataFrame, manifest: DataFrame, layout: str) -> DataFrame:
     """Measured columns of files that belong to one run each."""
+    if layout == "dasgip":
+        run_id = F.coalesce("batch", file_stem(F.col("file_name")))
+    else:
+        suffix = LAYOUTS[layout].suffix
+        run_id = require(stem_without(F.col("file_name"), suffix), f"expected <run>{suffix}.csv as file name")
     listed = unique_runs(manifest).select("run_id", F.col("run_id").alias("_listed"))
-    owned = ids.join(listed, "run_id", "left").select(
-        "file_path", known_run(F.col("run_id"), F.col("_listed")).alias("run_id")
+    owned = facts.withColumn("run_id", run_id).join(listed, "run_id", "left")
+    named = owned.select(
+        *_FILE, known_run(F.col("run_id"), F.col("_listed")).alias("run_id"), F.posexplode("names").alias("place", "column")
     )
-    return _named_columns(headers).join(_vendor_map(headers.sparkSession, layout), "column").join(owned, "file_path")
+    return named.join(_vendor_map(facts.sparkSession, layout), "column")
 
 
-def _multi_vessel_columns(headers: DataFrame, manifest: DataFrame, system: str) -> DataFrame:
+def _multi_vessel_columns(facts: DataFrame, manifest: DataFrame, system: str) -> DataFrame:
     """Measured columns of wide files in which each column names its vessel."""
-    named = _named_columns(headers)
-    owned = split_vessel_columns(named, manifest, system, ["file_path", "file_name", "place"])
-    measures = _vendor_map(headers.sparkSession, "ambr").withColumnRenamed("column", "measurement")
+    named = facts.select(*_FILE, F.posexplode("names").alias("place", "column"))
+    owned = split_vessel_columns(named, manifest, system, [*_FILE, "place"])
+    measures = _vendor_map(facts.sparkSession, "ambr").withColumnRenamed("column", "measurement")
     return owned.join(measures, "measurement")
 
 
-def _run_ids(lines: DataFrame, headers: DataFrame, layout: str) -> DataFrame:
-    if layout == "dasgip":
-        noted = header_notes(lines).filter("key = 'Batch ID'").select("file_path", F.col("value").alias("_noted"))
-        return headers.join(noted, "file_path", "left").select(
-            "file_path", F.coalesce("_noted", file_stem(F.col("file_name"))).alias("run_id")
-        )
-    suffix = LAYOUTS[layout].suffix
-    run_id = require(stem_without(F.col("file_name"), suffix), f"expected <run>{suffix}.csv as file name")
-    return headers.select("file_path", run_id.alias("run_id"))
-
-
-def _readings(lines: DataFrame, headers: DataFrame, columns: DataFrame, layout: str) -> DataFrame:
+def _readings(lines: DataFrame, columns: DataFrame, layout: str) -> DataFrame:
     """Cells under mapped columns, one row each."""
     kind = LAYOUTS[layout]
-    per_file = columns.groupBy("file_path").agg(F.collect_list(_ENTRY).alias("entries"))
-    facts = headers.join(per_file, "file_path", "left").withColumn(
-        "_time_place", (F.array_position("names", kind.time_column) - 1).cast("int")
-    ).drop("names")
-    table = with_file_facts(lines.filter(F.col("cells").isNotNull()), facts)
+    facts = columns.groupBy("file_path").agg(
+        *[F.any_value(c).alias(c) for c in _FILE[1:]],
+        F.collect_list(F.struct("run_id", "place", "variable", "scale")).alias("entries"),
+    )
+    body = lines.filter(~F.col("line").startswith("#")) if layout == "dasgip" else lines
+    table = with_file_facts(body, facts)
+    entries = require(
+        F.col("entries"), f"no header line with {kind.time_column} and a column that the {layout} layout gives to a run"
+    )
     rows = table.filter(F.col("header_at").isNull() | (row_order() > F.col("header_at"))).select(
         "file_name",
-        F.get("cells", require(F.col("_time_place"), f"no column {kind.time_column}")).alias("_time"),
+        F.get("cells", F.col("time_place")).alias("_time"),
         F.inline(
             F.transform(
-                require(F.col("entries"), f"no column of the {layout} layout could be assigned to a run"),
+                entries,
                 lambda e: F.struct(
                     e["run_id"].alias("run_id"),
                     e["variable"].alias("variable"),
@@ -138,15 +162,12 @@ def as_observations(rows: DataFrame, moment: Column, source: str) -> DataFrame:
 
 def parse_single_run(lines: DataFrame, layout: str, manifest: DataFrame) -> DataFrame:
     """Observations from split lines of ``dasgip``, ``offgas`` or ``capacitance`` files."""
-    headers = file_headers(lines, LAYOUTS[layout].time_column)
-    ids = _run_ids(lines, headers, layout)
-    return _readings(lines, headers, _single_run_columns(headers, ids, manifest, layout), layout)
+    return _readings(lines, _single_run_columns(file_facts(lines, layout), manifest, layout), layout)
 
 
 def parse_multi_vessel(lines: DataFrame, manifest: DataFrame, system: str = "ambr") -> DataFrame:
     """Observations from split lines of wide files that hold several vessels side by side."""
-    headers = file_headers(lines, LAYOUTS["ambr"].time_column)
-    return _readings(lines, headers, _multi_vessel_columns(headers, manifest, system), "ambr")
+    return _readings(lines, _multi_vessel_columns(file_facts(lines, "ambr"), manifest, system), "ambr")
 
 
 def read_single_run(spark: SparkSession, root: str, layout: str, manifest: DataFrame) -> DataFrame:
