@@ -14,7 +14,7 @@ MISSING_TEXTS = (
 
 def filled(text: Column) -> Column:
     """The text, or null where the cell stands for a missing value."""
-    return F.when(~F.trim(text).isin(*MISSING_TEXTS), text)
+    return F.when(F.find_in_set(F.trim(text), F.lit(",".join(MISSING_TEXTS))) == 0, text)
 
 
 def to_number(text: Column) -> Column:
@@ -31,14 +31,8 @@ def to_number(text: Column) -> Column:
 
 def to_moment(text: Column, where: Column) -> Column:
     """Zone-less timestamp from text. Empty cells give null, unreadable ones stop the job."""
-    given = filled(text)
-    return F.when(
-        given.isNotNull(),
-        F.coalesce(
-            given.try_cast("timestamp_ntz"),
-            F.raise_error(F.concat(where, F.lit(": cannot read a time from '"), given, F.lit("'"))),
-        ),
-    )
+    complaint = F.raise_error(F.concat(where, F.lit(": cannot read a time from '"), text, F.lit("'")))
+    return F.coalesce(text.try_cast("timestamp_ntz"), F.when(filled(text).isNotNull(), complaint))
 
 
 def whole_text(number: Column) -> Column:

@@ -10,6 +10,17 @@ from ..functions.timing import hours_between
 from .registry import known_run, unique_runs
 
 
+def padded(samples: DataFrame) -> DataFrame:
+    """The sample layout, with nulls for the columns that a frame lacks."""
+    have = set(samples.columns)
+    return samples.select(
+        *[
+            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schemas.SAMPLES
+        ]
+    )
+
+
 def join_samples(draws: DataFrame, injections: DataFrame) -> DataFrame:
     """One row per physical sample from its manual sheet and its peak table.
 
@@ -17,13 +28,7 @@ def join_samples(draws: DataFrame, injections: DataFrame) -> DataFrame:
     (the quality report shows it). A sample id repeated on either side multiplies.
     """
     both = draws.join(injections.drop("run_id"), "sample_id", "full_outer")
-    have = set(both.columns)
-    return both.select(
-        *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schemas.SAMPLES
-        ]
-    )
+    return padded(both)
 
 
 def draw_time_lookup(samples: DataFrame) -> DataFrame:

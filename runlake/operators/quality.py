@@ -125,7 +125,7 @@ def guarded(obs: DataFrame) -> DataFrame:
         ),
     )
     checked = obs.withColumn("_problem", problem)
-    run_id = F.when(F.col("_problem").isNotNull(), F.raise_error("_problem")).otherwise(F.col("run_id"))
+    run_id = F.when(F.col("_problem").isNotNull(), F.raise_error(F.col("_problem"))).otherwise(F.col("run_id"))
     return checked.withColumn("run_id", run_id).drop("_problem")
 
 

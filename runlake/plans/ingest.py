@@ -6,10 +6,9 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators.corrections import add_elapsed_hours, backdate, join_samples
+from ..operators.corrections import add_elapsed_hours, backdate, join_samples, padded
 from ..operators.quality import assert_clean, quality_report
 from ..operators.summaries import rows_by_source, table_counts
 from ..sources.layouts import if_present
@@ -42,44 +41,51 @@ class Normalized:
         return quality_report(self.observations, self.runs, self.samples)
 
 
-def read_layout(spark: SparkSession, root: str, layout: str, manifest: DataFrame) -> DataFrame | None:
-    """Observations of all files of one layout, or None if there are no such files."""
-    readers = {
-        "dasgip": lambda: read_single_run(spark, root, "dasgip", manifest),
-        "ambr": lambda: read_multi_vessel(spark, root, manifest),
-        "hplc": lambda: peak_observations(read_peak_tables(spark, root), manifest),
-        "biomass": lambda: biomass_observations(read_biomass_sheets(spark, root), manifest),
-        "offgas": lambda: read_single_run(spark, root, "offgas", manifest),
-        "capacitance": lambda: read_single_run(spark, root, "capacitance", manifest),
-    }
-    return if_present(readers[layout])
+@dataclass(frozen=True)
+class Sheets:
+    """The named rows of the two kinds of sheet; None where there are no such files."""
 
+    peaks: DataFrame | None
+    biomass: DataFrame | None
 
-def read_all_layouts(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """Observations of every file, as the instruments timed them."""
-    layouts = ("dasgip", "ambr", "hplc", "biomass", "offgas", "capacitance")
-    parsed = [df for df in (read_layout(spark, root, name, manifest) for name in layouts) if df is not None]
-    return reduce(DataFrame.unionByName, parsed) if parsed else schemas.empty(spark, schemas.OBSERVATIONS)
 
+def read_sheets(spark: SparkSession, root: str) -> Sheets:
+    return Sheets(
+        if_present(lambda: read_peak_tables(spark, root)), if_present(lambda: read_biomass_sheets(spark, root))
+    )
 
-def read_samples_of(spark: SparkSession, root: str) -> DataFrame:
+
+def read_all_layouts(spark: SparkSession, root: str, manifest: DataFrame, sheets: Sheets) -> DataFrame:
+    """Observations of every file, as the instruments timed them."""
+    parsed = [
+        if_present(lambda: read_single_run(spark, root, "dasgip", manifest)),
+        if_present(lambda: read_multi_vessel(spark, root, manifest)),
+        None if sheets.peaks is None else peak_observations(sheets.peaks, manifest),
+        None if sheets.biomass is None else biomass_observations(sheets.biomass, manifest),
+        if_present(lambda: read_single_run(spark, root, "offgas", manifest)),
+        if_present(lambda: read_single_run(spark, root, "capacitance", manifest)),
+    ]
+    present = [df for df in parsed if df is not None]
+    return reduce(DataFrame.unionByName, present) if present else schemas.empty(spark, schemas.OBSERVATIONS)
+
+
+def samples_of(spark: SparkSession, sheets: Sheets) -> DataFrame:
     """The sample table from both kinds of sheet; either kind may be absent."""
-    draws = if_present(lambda: draw_records(read_biomass_sheets(spark, root)))
-    injections = if_present(lambda: injection_records(read_peak_tables(spark, root)))
+    draws = None if sheets.biomass is None else draw_records(sheets.biomass)
+    injections = None if sheets.peaks is None else injection_records(sheets.peaks)
     if draws is None and injections is None:
         return schemas.empty(spark, schemas.SAMPLES)
     if draws is not None and injections is not None:
         return join_samples(draws, injections)
-    only = draws if injections is None else injections
-    have = set(only.columns)
-    return only.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.SAMPLES])
+    return padded(draws if injections is None else injections)
 
 
 def normalize(spark: SparkSession, root: str) -> Normalized:
     """Read, correct and time every source below ``root``. Nothing is computed yet."""
     manifest = read_manifest(spark, root)
-    samples = read_samples_of(spark, root)
-    raw = read_all_layouts(spark, root, manifest)
+    sheets = read_sheets(spark, root)
+    samples = samples_of(spark, sheets)
+    raw = read_all_layouts(spark, root, manifest, sheets)
     timed = add_elapsed_hours(backdate(raw, samples), manifest)
     return Normalized(
         schemas.conform(manifest, schemas.RUNS),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 SALTS = 16
 SHEET_WIDTH = 64
-_BOM = "\ufeff"
+BOM = "\ufeff"
 
 # Position of a row in its file: splits by offset, rows of a split as read.
 ROW_ORDER = ("block", "row")
@@ -34,7 +34,7 @@ def _provenance() -> list[Column]:
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines with file and position. Large files are read by many tasks."""
-    lines = spark.read.text(path).select(F.ltrim(F.col("value"), F.lit(_BOM)).alias("line"), *_provenance())
+    lines = spark.read.text(path).select(F.ltrim(F.col("value"), F.lit(BOM)).alias("line"), *_provenance())
     return lines.filter(F.trim("line") != "")
 
 
@@ -54,8 +54,8 @@ def sheet_rows(spark: SparkSession, path: str, width: int = SHEET_WIDTH) -> Data
     """
     schema = ", ".join(f"c{i} string" for i in range(width))
     rows = spark.read.csv(path, schema=schema, multiLine=True, escape='"', mode="PERMISSIVE")
-    row = F.array(*[F.ltrim(F.col(f"c{i}"), F.lit(_BOM)) for i in range(width)])
-    return rows.select(F.transform(row, lambda cell: F.trim(cell)).alias("cells"), *_provenance())
+    row = F.expr(f"array({', '.join(f'c{i}' for i in range(width))})")
+    return rows.select(F.transform(row, lambda c: F.trim(F.ltrim(c, F.lit(BOM)))).alias("cells"), *_provenance())
 
 
 def file_headers(rows: DataFrame, marker: str) -> DataFrame:

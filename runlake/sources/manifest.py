@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.values import filled, to_moment, to_number
-from .delimited import cell, file_headers, require, row_order, sheet_rows, with_file_facts
+from .delimited import BOM
 from .layouts import if_present
 
 FILE_NAME = "run_manifest.csv"
@@ -16,19 +17,23 @@ FILE_NAME = "run_manifest.csv"
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     """Runs in the stored layout plus ``line_no``, the position of the line in the file."""
     path = f"{root.rstrip('/')}/{FILE_NAME}"
-    rows = if_present(lambda: sheet_rows(spark, path))
+    # One task reads the one file, hence rows are numbered as they stand in it.
+    rows = if_present(lambda: spark.read.csv(path, header=True, multiLine=True, escape='"'))
     if rows is None:
         raise FileNotFoundError(f"no run manifest at {path}; put a {FILE_NAME} next to the instrument folders")
-    table = with_file_facts(rows, file_headers(rows, "run_id"))
-    body = table.filter(F.col("header_at").isNull() | (row_order() > F.col("header_at")))
-    names = require(F.col("names"), "no column run_id")
+    rows = rows.toDF(*[name.lstrip(BOM).strip() for name in rows.columns])
+    absent = [f.name for f in schemas.RUNS if f.name not in rows.columns]
+    if absent:
+        raise ValueError(f"{path}: missing columns {absent}")
 
-    def typed(field):
-        text = filled(cell(names, field.name))
-        if field.name == "start_time":
-            return to_moment(text, F.col("file_name"))
-        return to_number(text) if field.dataType.typeName() == "double" else text
+    def typed(field: T.StructField) -> Column:
+        text = filled(F.trim(field.name))
+        if isinstance(field.dataType, T.TimestampNTZType):
+            return to_moment(text, F.lit(FILE_NAME))
+        return to_number(text) if isinstance(field.dataType, T.DoubleType) else text
 
     columns = {f.name: typed(f) for f in schemas.RUNS}
     columns["anomaly"] = F.coalesce(columns["anomaly"], F.lit(""))
-    return body.select(*[c.alias(n) for n, c in columns.items()], F.col("row").alias("line_no"))
+    return rows.select(
+        *[column.alias(name) for name, column in columns.items()], F.monotonically_increasing_id().alias("line_no")
+    )

@@ -121,15 +121,17 @@ def _readings(lines: DataFrame, columns: DataFrame, layout: str) -> DataFrame:
     )
     body = lines.filter(~F.col("line").startswith("#")) if layout == "dasgip" else lines
     table = with_file_facts(body, facts)
-    entries = require(
-        F.col("entries"), f"no header line with {kind.time_column} and a column that the {layout} layout gives to a run"
+    # Asked for with the time, which is the first thing that filters look at.
+    time_place = require(
+        F.col("time_place"),
+        f"no header line with {kind.time_column} and a column that the {layout} layout gives to a run",
     )
     rows = table.filter(F.col("header_at").isNull() | (row_order() > F.col("header_at"))).select(
         "file_name",
-        F.get("cells", F.col("time_place")).alias("_time"),
+        F.get("cells", time_place).alias("_time"),
         F.inline(
             F.transform(
-                entries,
+                F.col("entries"),
                 lambda e: F.struct(
                     e["run_id"].alias("run_id"),
                     e["variable"].alias("variable"),

@@ -24,18 +24,15 @@ _OPTIONAL = {"Amount", "Area", "RT_min", "OD600_Corrected", "DCW_g_L"}
 
 
 def _named_rows(rows: DataFrame, marker: str, fields: tuple[str, ...]) -> DataFrame:
-    table = with_file_facts(rows, file_headers(rows, marker))
-    body = table.filter(F.col("header_at").isNull() | (row_order() > F.col("header_at")))
-
-    def named(field: str) -> Column:
-        names = require(F.col("names"), f"no column {marker}")
-        if field not in _OPTIONAL:
-            names = F.when(F.array_contains(names, field), names).otherwise(
-                F.raise_error(F.concat("file_name", F.lit(f": no column {field}")))
-            )
-        return filled(cell(names, field)).alias(field)
-
-    return body.select("file_name", "file_path", "row", *[named(f) for f in fields])
+    needed = F.array(*[F.lit(f) for f in fields if f not in _OPTIONAL])
+    absent = F.array_join(F.array_except(needed, F.col("names")), ", ")
+    complaint = F.raise_error(F.concat("file_name", F.lit(": no column "), absent))
+    headers = file_headers(rows, marker).withColumn("names", F.when(absent == "", F.col("names")).otherwise(complaint))
+    table = with_file_facts(rows, headers)
+    body = table.filter(F.col("header_at").isNull() | (row_order() > F.col("header_at"))).select(
+        "file_name", "row", "cells", require(F.col("names"), f"no column {marker}").alias("names")
+    )
+    return body.select("file_name", "row", *[filled(cell(F.col("names"), f)).alias(f) for f in fields])
 
 
 def read_peak_tables(spark: SparkSession, root: str) -> DataFrame:
