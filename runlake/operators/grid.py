@@ -17,7 +17,7 @@ _BLOCK = 4096
 
 def _first_reading() -> list[Column]:
     """The earliest row of a group, from which elapsed hours of any other moment follow."""
-    return [F.min("timestamp").alias("_t0"), F.min_by("elapsed_h", F.struct("timestamp", "elapsed_h")).alias("_e0")]
+    return [F.min("timestamp").alias("_t0"), F.min_by("elapsed_h", "timestamp").alias("_e0")]
 
 
 def _elapsed_at(moment: Column) -> Column:
@@ -78,7 +78,9 @@ def trace_routes(obs: DataFrame) -> DataFrame:
     The source of a variable's first row in (run, source) order decides for all runs. A run
     without continuous readings of a gridded variable keeps its points.
     """
-    per_run = obs.groupBy("run_id", "variable").agg(
+    # Distinct first: text minima would turn the pass over all rows into a sort.
+    seen = obs.select("run_id", "variable", "source").distinct()
+    per_run = seen.groupBy("run_id", "variable").agg(
         F.min("source").alias("_first_source"),
         F.max(F.col("source").isin(*CONTINUOUS)).alias("_has_continuous"),
     )

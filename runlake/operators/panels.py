@@ -88,7 +88,8 @@ def trend_series(
 
 def variable_kinds(obs: DataFrame) -> DataFrame:
     """Whether a variable is sparse, by the source of its first row in (run, source) order."""
-    first = obs.groupBy("variable").agg(F.min(F.struct("run_id", "source")).alias("_first"))
+    seen = obs.select("run_id", "variable", "source").distinct()
+    first = seen.groupBy("variable").agg(F.min(F.struct("run_id", "source")).alias("_first"))
     return first.select(
         "variable", F.col("_first.source").alias("source"), F.col("_first.source").isin(*SPARSE).alias("is_sparse")
     )

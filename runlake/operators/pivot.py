@@ -27,12 +27,9 @@ def pivot_readings(obs: DataFrame, source: str, variables: Sequence[str] | None
 
 
 def run_start(obs: DataFrame) -> DataFrame:
-    """Start of each run, recovered from its first row: time minus elapsed hours."""
-    first = F.min_by(
-        F.struct("timestamp", "elapsed_h"), F.struct("source", "variable", "timestamp", "elapsed_h")
-    ).alias("_row")
-    lasted = F.make_dt_interval(secs=(F.col("_row.elapsed_h") * 3600).cast("decimal(18,6)"))
-    return obs.groupBy("run_id").agg(first).select("run_id", (F.col("_row.timestamp") - lasted).alias("start_time"))
+    """Start of each run, recovered from its rows: time minus elapsed hours, to the microsecond."""
+    lasted = F.make_dt_interval(secs=(F.col("elapsed_h") * 3600).cast("decimal(18,6)"))
+    return obs.groupBy("run_id").agg(F.min(F.col("timestamp") - lasted).alias("start_time"))
 
 
 def vessel_table(

@@ -27,7 +27,8 @@ def cadence(obs: DataFrame, width: Duration = DEFAULT_SPAN) -> DataFrame:
 
     All variables of a source share their times, so only the alphabetically first counts.
     """
-    first = obs.groupBy("run_id", "source").agg(F.min("variable").alias("variable"))
+    seen = obs.select("run_id", "source", "variable").distinct()
+    first = seen.groupBy("run_id", "source").agg(F.min("variable").alias("variable"))
     timeline = obs.select("run_id", "source", "variable", "timestamp").join(
         first, ["run_id", "source", "variable"], "left_semi"
     )

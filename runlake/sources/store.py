@@ -1,8 +1,10 @@
 """The three stored tables: writing, checking and filtered reading.
 
-Tables are Parquet folders below one root. Observations are laid out by run, variable and
-time, so that the row-group statistics let a read of few runs or variables skip most of the
-data. Clustering by all three keys also splits a run that holds much of the table.
+Tables are Parquet folders below one root. Observations lie in subfolders by a hash of the
+run id, so a read of few runs lists and opens few files; inside a file they are sorted by
+run, source, variable and time, so row-group statistics skip most of the rest. Rows are
+brought together by a rebalancing shuffle, which splits the folder of a run that holds much
+of the table into several files and joins small ones.
 """
 
 from __future__ import annotations
@@ -10,8 +12,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators.quality import assert_clean, guarded, quality_report, reject_orphans
@@ -19,6 +22,8 @@ from ..operators.summaries import table_counts as counted
 
 TABLES = {"runs": schemas.RUNS, "samples": schemas.SAMPLES, "observations": schemas.OBSERVATIONS}
 MARKER = "store_state"
+BUCKET = "run_bucket"
+DEFAULT_BUCKETS = 64
 _NOT_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
@@ -31,14 +36,28 @@ def table_path(root: str, table: str) -> str:
 
 
 def _load(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    reader = spark.read
+    if table == "observations":
+        # Named here because a folder without any rows has no file to take it from.
+        reader = reader.schema(T.StructType([*schemas.OBSERVATIONS, T.StructField(BUCKET, T.IntegerType())]))
     try:
-        return spark.read.parquet(table_path(root, table))
+        return reader.parquet(table_path(root, table))
     except AnalysisException as error:
         if error.getCondition() in _NOT_THERE:
             return None
         raise
 
 
+def _bucket_of(run_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(run_id), F.lit(buckets)).cast("int")
+
+
+def _state(spark: SparkSession, root: str) -> Row | None:
+    """The marker of a complete store."""
+    state = _load(spark, root, MARKER)
+    return None if state is None else state.filter("complete").first()
+
+
 def missing_tables(spark: SparkSession, root: str) -> list[str]:
     """Tables that cannot be read or lack columns; the marker counts as one while a build runs."""
     missing = []
@@ -46,8 +65,7 @@ def missing_tables(spark: SparkSession, root: str) -> list[str]:
         table = _load(spark, root, name)
         if table is None or set(schema.names) - set(table.columns):
             missing.append(name)
-    state = _load(spark, root, MARKER)
-    if state is None or state.filter("complete").isEmpty():
+    if _state(spark, root) is None:
         missing.append(MARKER)
     return sorted(missing)
 
@@ -65,8 +83,8 @@ def require_store(spark: SparkSession, root: str) -> None:
         )
 
 
-def _mark(spark: SparkSession, root: str, complete: bool) -> None:
-    state = spark.range(1).select(F.lit(complete).alias("complete"))
+def _mark(spark: SparkSession, root: str, complete: bool, buckets: int) -> None:
+    state = spark.range(1).select(F.lit(complete).alias("complete"), F.lit(buckets).alias("buckets"))
     state.coalesce(1).write.mode("overwrite").parquet(table_path(root, MARKER))
 
 
@@ -77,6 +95,7 @@ def write_store(
     root: str,
     rebuild: bool = True,
     runs_checked: bool = False,
+    buckets: int = DEFAULT_BUCKETS,
 ) -> None:
     """Write the three tables, replacing the store or adding to it.
 
@@ -84,7 +103,8 @@ def write_store(
     Observations carry their checks into the write itself: the job fails on the first bad
     row and nothing of it becomes visible. The marker is written last, so a build that broke
     off is never read. ``runs_checked`` says that an earlier join has already rejected
-    observations of unlisted runs, which spares doing it again.
+    observations of unlisted runs, which spares doing it again. ``buckets`` is the number of
+    run folders of a new store.
     """
     spark = runs.sparkSession
     runs = schemas.conform(runs, schemas.RUNS)
@@ -93,6 +113,7 @@ def write_store(
 
     all_runs, all_samples = runs, samples
     if not rebuild and is_ready(spark, root):
+        buckets = _state(spark, root)["buckets"]
         all_runs = runs.unionByName(_load(spark, root, "runs"))
         all_samples = samples.unionByName(_load(spark, root, "samples"))
     nothing = schemas.empty(spark, schemas.OBSERVATIONS)
@@ -100,16 +121,19 @@ def write_store(
 
     owned = observations if runs_checked else reject_orphans(observations, all_runs)
     checked = guarded(owned)
-    laid_out = checked.repartitionByRange("run_id", "variable", "timestamp").sortWithinPartitions(
-        "run_id", "source", "variable", "timestamp"
+    laid_out = (
+        checked.withColumn(BUCKET, _bucket_of(F.col("run_id"), buckets))
+        .hint("rebalance", BUCKET)
+        .sortWithinPartitions(BUCKET, "run_id", "source", "variable", "timestamp")
     )
     mode = "overwrite" if rebuild else "append"
     if rebuild:
-        _mark(spark, root, False)
+        _mark(spark, root, False, buckets)
+    # The one table that can still be refused goes first.
+    laid_out.write.mode(mode).partitionBy(BUCKET).parquet(table_path(root, "observations"))
     runs.write.mode(mode).parquet(table_path(root, "runs"))
-    laid_out.write.mode(mode).parquet(table_path(root, "observations"))
     samples.write.mode(mode).parquet(table_path(root, "samples"))
-    _mark(spark, root, True)
+    _mark(spark, root, True, buckets)
 
 
 def read_runs(spark: SparkSession, root: str, ordered: bool = True) -> DataFrame:
@@ -145,7 +169,11 @@ def read_observations(
     Operators do not need sorted input: pass ``ordered=False`` when feeding one.
     """
     require_store(spark, root)
-    obs = _load(spark, root, "observations").select(*schemas.OBSERVATIONS.names)
+    obs = _load(spark, root, "observations")
+    if run_ids:
+        buckets = _state(spark, root)["buckets"]
+        obs = obs.filter(F.col(BUCKET).isin([_bucket_of(F.lit(r), buckets) for r in set(run_ids)]))
+    obs = obs.select(*schemas.OBSERVATIONS.names)
     return filter_observations(obs, run_ids, sources, variables, ordered)
 
 

@@ -1,10 +1,13 @@
 """The stored tables."""
 
+from datetime import datetime
+
 import pytest
 from conftest import FILES, write_tree
 from pyspark.sql import functions as F
 
 import runlake
+from runlake import schemas
 from runlake.plans.ingest import normalize
 from runlake.sources.store import MARKER, missing_tables, table_path
 
@@ -49,10 +52,45 @@ def test_filters(spark, store):
 def test_filters_reach_the_scan(spark, store):
     obs = runlake.read_observations(spark, store, run_ids=["R1"], variables=["pH"], ordered=False)
     plan = obs.select("timestamp", "value")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [In(run_id" in plan.replace("EqualTo", "In") or "EqualTo(run_id,R1)" in plan
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "EqualTo(run_id,R1)" in scan and "EqualTo(variable,pH)" in scan
+    assert "PartitionFilters: [isnotnull(run_bucket" in scan
     assert "ReadSchema: struct<run_id:string,timestamp:timestamp_ntz,variable:string,value:double>" in plan
 
 
+def test_a_large_run_is_split_into_files(spark, tmp_path):
+    """The rebalancing write neither makes one huge file nor one file per task and folder."""
+    start = F.lit(datetime(2026, 3, 2, 8)).cast("timestamp_ntz")
+    rows = spark.range(400_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), (F.col("id") % 50).cast("string"))).alias("run_id"),
+        (start + F.expr("make_dt_interval(0,0,0,id)")).alias("timestamp"),
+        (F.col("id") / 3600).alias("elapsed_h"),
+        F.lit("bioreactor").alias("source"),
+        F.lit("pH").alias("variable"),
+        F.rand(1).alias("value"),
+        F.lit("").alias("unit"),
+        F.lit("f.csv").alias("source_file"),
+    )
+    runs = rows.select("run_id").distinct()
+    for name, value in (("vessel_id", "V"), ("system", "s"), ("mode", "m"), ("strain", "x"), ("anomaly", "")):
+        runs = runs.withColumn(name, F.lit(value))
+    runs = runs.withColumns(
+        {"start_time": start, **{c: F.lit(1.0) for c in ("duration_h", "volume_L", "final_biomass_total_gL", "final_product_gL")}}
+    )
+    samples = spark.createDataFrame([], schemas.SAMPLES)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    root = str(tmp_path / "s")
+    try:
+        runlake.write_store(runs, rows, samples, root, buckets=8)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    read = runlake.read_observations(spark, root, run_ids=["hot"], ordered=False)
+    assert read.count() == 133_334
+    assert read.select(F.input_file_name()).distinct().count() > 1
+    assert runlake.read_observations(spark, root, ordered=False).count() == 400_000
+
+
 def test_rebuild_replaces_and_append_adds(spark, clean_raw, tmp_path):
     root = str(tmp_path / "s")
     for _ in range(2):
