@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timing import Duration, slot, to_micros
-from ..vocabulary import CONTINUOUS, SPARSE, variables_of
+from ..vocabulary import CONTINUOUS, SPARSE, dimension, variables_of
 from .nearest import closer, looking_ahead, looking_back, reached_spans, span_width
-from .pivot import mean_of
 from .spans import SPAN
 
 CONTINUOUS_TOLERANCE = "5min"
@@ -42,17 +41,29 @@ def align_sources(
     near_us, sample_us = to_micros(continuous_tolerance), to_micros(sample_tolerance)
     width_us = span_width(max(near_us, sample_us), width)
 
-    known = F.lit(False)
-    for source, names in columns.items():
-        known = known | ((F.col("source") == source) & F.col("variable").isin(names))
-    rows = obs.filter(known)
-    if run_ids:
-        rows = rows.filter(F.col("run_id").isin(list(run_ids)))
-    moments = rows.groupBy("run_id", "source", "timestamp").agg(
-        F.min("elapsed_h").alias("elapsed_h"), *[mean_of(v) for names in columns.values() for v in names]
+    # Variables share numbered places: a row holds those of its own source only, so seven
+    # means serve all nineteen variables. The join also drops what no source reports.
+    places = [(s, v, i) for s, names in columns.items() for i, v in enumerate(names)]
+    known = F.broadcast(dimension(obs.sparkSession, places, "source string, variable string, _place int"))
+    rows = obs.filter(F.col("run_id").isin(list(run_ids))) if run_ids else obs
+    moments = (
+        rows.join(known, ["source", "variable"])
+        .groupBy("run_id", "source", "timestamp")
+        .agg(
+            F.min("elapsed_h").alias("elapsed_h"),
+            *[
+                F.avg(F.when(F.col("_place") == i, F.col("value"))).alias(f"_v{i}")
+                for i in range(max(map(len, columns.values())))
+            ],
+        )
     )
 
     at, source = F.col("timestamp"), F.col("source")
+
+    def readings(name: str, *more: Column) -> list[Column]:
+        """What a row of one source holds, under the variables' names."""
+        return [*more, *[F.col(f"_v{i}").alias(v) for i, v in enumerate(columns[name])]]
+
     home = slot(at, width_us)
     # Samples look for reference rows, reference rows for the other continuous sources.
     spans = (
@@ -60,14 +71,18 @@ def align_sources(
         .when(source.isin(others), reached_spans(at, near_us, width_us))
         .otherwise(F.array(home))
     )
-    spread = moments.withColumn(SPAN, F.explode(spans))
+    sought = {reference: F.struct(at), **{s: F.struct(*readings(s, at)) for s in others}}
+    spread = moments.select(
+        *moments.columns,
+        *[F.when(source == s, found).alias(f"_{s}") for s, found in sought.items()],
+        F.explode(spans).alias(SPAN),
+    )
     back, ahead = looking_back(["run_id"], "timestamp"), looking_ahead(["run_id"], "timestamp")
-    payload = {reference: ["timestamp"], **{s: ["timestamp", *columns[s]] for s in others}}
     searched = spread.withColumns(
         {
-            f"_{side}_{s}": F.last(F.when(source == s, F.struct(*names)), ignorenulls=True).over(w)
+            f"_{side}_{s}": F.last(f"_{s}", ignorenulls=True).over(w)
             for side, w in (("back", back), ("ahead", ahead))
-            for s, names in payload.items()
+            for s in sought
         }
     ).filter((F.col(SPAN) == home) & ~source.isin(others))
 
@@ -78,10 +93,10 @@ def align_sources(
         "run_id",
         F.when(is_base, at).otherwise(landed["timestamp"]).alias("_place"),
         F.when(is_base, F.col("elapsed_h")).alias("elapsed_h"),
-        *[F.when(is_base, F.col(v)).alias(v) for v in columns[reference]],
+        *[F.when(is_base, F.col(f"_v{i}")).alias(v) for i, v in enumerate(columns[reference])],
         *[F.when(is_base, m[v]).alias(v) for s, m in matches.items() for v in columns[s]],
         *[F.when(source == s, at).alias(f"_at_{s}") for s in SPARSE],
-        *[F.when(source == s, F.col(v)).alias(v) for s in SPARSE for v in columns[s]],
+        *[F.when(source == s, F.col(f"_v{i}")).alias(v) for s in SPARSE for i, v in enumerate(columns[s])],
     ).filter(F.col("_place").isNotNull())
 
     # Exactly one row of each group is a reference row, so max() only passes it on. The

@@ -134,7 +134,7 @@ oracle(
     "numeric_coercion",
     """
 select event_id,
-       round(case event_id % 9 when 0 then value when 4 then value when 5 then -value * 100 when 8 then value end, 8)
+       round(case event_id % 9 when 0 then value when 4 then value when 5 then 0 - value * 100 when 8 then value end, 8)
          as number,
        case event_id % 9 when 0 then false when 4 then false when 5 then false when 8 then false when 7 then true end
          as is_infinite
