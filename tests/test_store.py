@@ -23,8 +23,7 @@ def clean_raw(tmp_path_factory):
 @pytest.fixture(scope="module")
 def store(spark, clean_raw, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("store") / "tables")
-    counts = runlake.build_store(spark, clean_raw, root)
-    assert counts == {"runs": 4, "observations": 52, "samples": 2}
+    assert runlake.build_store(spark, clean_raw, root) == {"runs": 4, "observations": 52, "samples": 2}
     return root
 
 
@@ -91,24 +90,36 @@ def test_a_large_run_is_split_into_files(spark, tmp_path):
     assert runlake.read_observations(spark, root, ordered=False).count() == 400_000
 
 
-def test_rebuild_replaces_and_append_adds(spark, clean_raw, tmp_path):
+def stored(spark, root):
+    return (
+        runlake.read_runs(spark, root, ordered=False),
+        runlake.read_observations(spark, root, ordered=False),
+        runlake.read_samples(spark, root, ordered=False),
+    )
+
+
+def counts(spark, root):
+    return {r["table_name"]: r["n_rows"] for r in runlake.stored_counts(spark, root).collect()}
+
+
+def test_rebuild_replaces_and_append_adds(spark, store, tmp_path):
     root = str(tmp_path / "s")
+    runs, obs, samples = stored(spark, store)
     for _ in range(2):
-        assert runlake.build_store(spark, clean_raw, root)["observations"] == 52
+        runlake.write_store(runs, obs, samples, root)
+        assert counts(spark, root) == {"runs": 4, "observations": 52, "samples": 2}
     with pytest.raises(runlake.QualityError, match="repeated run_id"):
-        runlake.build_store(spark, clean_raw, root, rebuild=False)
-    assert {r["table_name"]: r["n_rows"] for r in runlake.stored_counts(spark, root).collect()}["runs"] == 4
-
-    more = write_tree(
-        tmp_path / "more",
-        {
-            "run_manifest.csv": FILES["run_manifest.csv"].splitlines()[0]
-            + "\nR8,V8,dasgip,batch,E. coli BL21,2026-05-02 08:00:00,36.0,5.0,,1,1\n",
-            "bioreactor/dasgip/R8.csv": "Timestamp,PV_pH\n2026-05-02T08:00:00,7\n",
-        },
+        runlake.write_store(runs, obs, samples, root, rebuild=False)
+    assert counts(spark, root) == {"runs": 4, "observations": 52, "samples": 2}
+
+    start = datetime(2026, 5, 2, 8)
+    more = spark.createDataFrame([("R8", "V8", "dasgip", "batch", "K12", start, 36.0, 5.0, "", 1.0, 1.0)], schemas.RUNS)
+    reading = [("R8", start, 0.0, "bioreactor", "pH", 7.0, "", "R8.csv"), ("R1", start, 9.0, "bioreactor", "pH", 7.0, "", "x.csv")]
+    runlake.write_store(
+        more, spark.createDataFrame(reading, schemas.OBSERVATIONS), samples.filter("false"), root, rebuild=False
     )
-    counts = runlake.build_store(spark, more, root, rebuild=False)
-    assert counts == {"runs": 5, "observations": 53, "samples": 2}
+    assert counts(spark, root) == {"runs": 5, "observations": 54, "samples": 2}
+    assert runlake.read_observations(spark, root, run_ids=["R8"]).count() == 1
 
 
 def test_missing_empty_and_partial_stores_are_refused(spark, clean_raw, tmp_path):
@@ -127,19 +138,24 @@ def test_missing_empty_and_partial_stores_are_refused(spark, clean_raw, tmp_path
     assert issubclass(runlake.StoreNotBuiltError, FileNotFoundError)
 
 
-def test_a_bad_row_leaves_nothing_behind(spark, clean_raw, tmp_path):
+def test_a_bad_row_leaves_nothing_behind(spark, store, tmp_path):
     root = str(tmp_path / "bad")
-    data = normalize(spark, clean_raw)
+    runs, obs, samples = stored(spark, store)
     for column, value, message in (
         ("run_id", "R99", "run not in the manifest: R99"),
         ("unit", "ppm", "unit of"),
         ("source", "moon", "unknown source: moon"),
         ("variable", "mood", "unknown variable: mood"),
     ):
-        spoiled = data.observations.withColumn(column, F.lit(value))
+        spoiled = obs.withColumn(column, F.lit(value))
         with pytest.raises(Exception, match=message):
-            runlake.write_store(data.runs, spoiled, data.samples, root)
+            runlake.write_store(runs, spoiled, samples, root)
         assert not runlake.is_ready(spark, root)
+    good = str(tmp_path / "good")
+    runlake.write_store(runs, obs, samples, good)
+    with pytest.raises(Exception, match="unknown variable: mood"):
+        runlake.write_store(runs.filter("false"), spoiled, samples.filter("false"), good, rebuild=False)
+    assert runlake.is_ready(spark, good) and counts(spark, good)["observations"] == 52
 
 
 def test_build_only_if_missing(spark, clean_raw, tmp_path):
