@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from runlake.llm import fingerprints, quality
+from runlake.llm import fingerprints, quality, sharding, token_files
 
 LLM_QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
+    "op8_token_files": token_files.op8_token_files,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 LLM_ORACLES = {
+    "op1_sharding": sharding.OP1_SQL,
     "op6_fingerprints": fingerprints.OP6_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
