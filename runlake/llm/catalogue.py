@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from runlake.llm import fingerprints, quality, sharding, token_files
+from runlake.llm import fingerprints, lines, quality, sharding, token_files
 
 LLM_QUERIES = {
+    "op9_line_dedup": lines.op9_line_dedup,
     "op1_sharding": sharding.op1_sharding,
     "op8_token_files": token_files.op8_token_files,
     "op6_fingerprints": fingerprints.op6_fingerprints,
@@ -12,6 +13,7 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLES = {
+    "op9_line_dedup": lines.OP9_SQL,
     "op1_sharding": sharding.OP1_SQL,
     "op6_fingerprints": fingerprints.OP6_SQL,
     "op10_quality_rules": quality.OP10_SQL,

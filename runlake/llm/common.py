@@ -57,12 +57,6 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def parts_for(df: DataFrame, per_mb: float = 1.0, factor: int = 1) -> int:
-    """Shuffle partitions: the session's number or one for each ``per_mb`` of Spark's own size estimate, whichever is more."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return configured * factor
-
-
 def slices(batches: Iterator[pa.RecordBatch], budget: int = 3 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about ``budget`` bytes of ``column`` (or one longer row)."""
     for batch in batches:
@@ -97,10 +91,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _BYTE_CODES = mixed(np.arange(1, 257, dtype=np.uint64) * MIX_A)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_INVERSE = pow(int(MIX_A), -1, 1 << 64)
+#: Base of the polynomial hashes, and its inverse modulo 2^64.
+POLYNOMIAL = int(MIX_A)
+POLYNOMIAL_INVERSE = pow(POLYNOMIAL, -1, 1 << 64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    """``base ** i`` modulo 2^64 for i from 0 to n."""
     with np.errstate(over="ignore"):
         return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 1), np.uint64(base)))])
 
@@ -109,8 +106,8 @@ def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of byte ranges of ``raw``, equal for equal contents (polynomial over random byte codes, then mixed)."""
     n = len(raw)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODES[raw] * _powers(int(MIX_A), n)[:n])])
-        back = _powers(_INVERSE, n)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODES[raw] * powers(POLYNOMIAL, n)[:n])])
+        back = powers(POLYNOMIAL_INVERSE, n)
         return mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * MIX_B)
 
 
