@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from runlake.llm import fingerprints, lines, quality, sharding, token_files
+from runlake.llm import fingerprints, lines, mixing, quality, sharding, token_files
 
 LLM_QUERIES = {
+    "op5_mixing": mixing.op5_mixing,
     "op9_line_dedup": lines.op9_line_dedup,
     "op1_sharding": sharding.op1_sharding,
     "op8_token_files": token_files.op8_token_files,
