@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from runlake.llm import fingerprints, lines, mixing, quality, sharding, token_files
+from runlake.llm import fingerprints, jaccard, lines, mixing, quality, sharding, token_files
 
 LLM_QUERIES = {
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
     "op9_line_dedup": lines.op9_line_dedup,
     "op1_sharding": sharding.op1_sharding,
@@ -14,6 +15,7 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLES = {
+    "op2_jaccard_join": jaccard.OP2_SQL,
     "op9_line_dedup": lines.OP9_SQL,
     "op1_sharding": sharding.OP1_SQL,
     "op6_fingerprints": fingerprints.OP6_SQL,
