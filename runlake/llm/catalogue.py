@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from runlake.llm import fingerprints, jaccard, lines, mixing, quality, sharding, token_files
+from runlake.llm import fingerprints, fm_index, jaccard, lines, mixing, quality, sharding, suffix_arrays, token_files
 
 LLM_QUERIES = {
+    "op3_fm_index_dedup": fm_index.op3_fm_index_dedup,
+    "op4_suffix_array_dedup": suffix_arrays.op4_suffix_array_dedup,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
     "op9_line_dedup": lines.op9_line_dedup,
@@ -15,6 +17,8 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLES = {
+    "op3_fm_index_dedup": fm_index.OP3_SQL,
+    "op4_suffix_array_dedup": suffix_arrays.OP4_SQL,
     "op2_jaccard_join": jaccard.OP2_SQL,
     "op9_line_dedup": lines.OP9_SQL,
     "op1_sharding": sharding.OP1_SQL,
