@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from runlake.llm import fingerprints, fm_index, jaccard, lines, mixing, quality, sharding, suffix_arrays, token_files
+from runlake.llm import fingerprints, fm_index, jaccard, lines, mixing, pieces, quality, sharding, suffix_arrays, token_files
 
 LLM_QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_fm_index_dedup": fm_index.op3_fm_index_dedup,
     "op4_suffix_array_dedup": suffix_arrays.op4_suffix_array_dedup,
-    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
-    "op9_line_dedup": lines.op9_line_dedup,
-    "op1_sharding": sharding.op1_sharding,
-    "op8_token_files": token_files.op8_token_files,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
+    "op8_token_files": token_files.op8_token_files,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 LLM_ORACLES = {
+    "op1_sharding": sharding.OP1_SQL,
+    "op2_jaccard_join": jaccard.OP2_SQL,
     "op3_fm_index_dedup": fm_index.OP3_SQL,
     "op4_suffix_array_dedup": suffix_arrays.OP4_SQL,
-    "op2_jaccard_join": jaccard.OP2_SQL,
-    "op9_line_dedup": lines.OP9_SQL,
-    "op1_sharding": sharding.OP1_SQL,
     "op6_fingerprints": fingerprints.OP6_SQL,
+    "op9_line_dedup": lines.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
