@@ -29,10 +29,17 @@ def to_number(text: Column) -> Column:
     return F.when(~java_only & ~F.isnan(number), number)
 
 
+_PLAIN_TIME = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]+\d{1,2}:\d{1,2}(:\d{1,2}(\.\d*)?)?)?\s*$"
+
+
 def to_moment(text: Column, where: Column) -> Column:
-    """Zone-less timestamp from text. Empty cells give null, unreadable ones stop the job."""
+    """Zone-less timestamp from text. Empty cells give null, unreadable ones stop the job.
+
+    A day is needed, and an offset or zone is not read: such a time would mean another moment.
+    """
     complaint = F.raise_error(F.concat(where, F.lit(": cannot read a time from '"), text, F.lit("'")))
-    return F.coalesce(text.try_cast("timestamp_ntz"), F.when(filled(text).isNotNull(), complaint))
+    plain = F.when(text.rlike(_PLAIN_TIME), text.try_cast("timestamp_ntz"))
+    return F.coalesce(plain, F.when(filled(text).isNotNull(), complaint))
 
 
 def whole_text(number: Column) -> Column:

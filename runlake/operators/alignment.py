@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timing import Duration, slot, to_micros
 from ..vocabulary import CONTINUOUS, SPARSE, dimension, variables_of
+from .pivot import known_variable
 from .nearest import closer, looking_ahead, looking_back, reached_spans, span_width
 from .spans import SPAN
 
@@ -42,12 +43,19 @@ def align_sources(
     width_us = span_width(max(near_us, sample_us), width)
 
     # Variables share numbered places: a row holds those of its own source only, so seven
-    # means serve all nineteen variables. The join also drops what no source reports.
+    # means serve all nineteen variables. A reading that has no place stops the job.
     places = [(s, v, i) for s, names in columns.items() for i, v in enumerate(names)]
     known = F.broadcast(dimension(obs.sparkSession, places, "source string, variable string, _place int"))
     rows = obs.filter(F.col("run_id").isin(list(run_ids))) if run_ids else obs
+    if run_ids:
+        there = rows.filter(F.col("source") == reference).select("run_id").distinct().collect()  # as many as asked for
+        absent = sorted(set(run_ids) - {r["run_id"] for r in there})
+        if absent:
+            raise ValueError(f"no {reference} readings for run {', '.join(absent)}")
+    placed = rows.join(known, ["source", "variable"], "left")
     moments = (
-        rows.join(known, ["source", "variable"])
+        placed.withColumn("variable", known_variable(F.col("_place").isNotNull()))
+        .filter(F.col("variable").isNotNull())
         .groupBy("run_id", "source", "timestamp")
         .agg(
             F.min("elapsed_h").alias("elapsed_h"),

@@ -54,7 +54,8 @@ def backdate(obs: DataFrame, samples: DataFrame) -> DataFrame:
     moved = _matched(obs.filter("source = 'analytical'"), samples).withColumn(
         "timestamp", F.coalesce("draw_time", "timestamp")
     )
-    return obs.filter("source <> 'analytical'").unionByName(moved.select(*names))
+    # null-safe, so that rows without a source stay for the quality report to show
+    return obs.filter("NOT (source <=> 'analytical')").unionByName(moved.select(*names))
 
 
 def unresolved_injections(obs: DataFrame, samples: DataFrame) -> DataFrame:

@@ -15,14 +15,26 @@ def mean_of(variable: str) -> Column:
     return F.avg(F.when(F.col("variable") == variable, F.col("value"))).alias(variable)
 
 
+def known_variable(known: Column) -> Column:
+    """The variable, or an error that names it if there is no column for it."""
+    name = F.concat_ws("/", F.coalesce("source", F.lit("null")), F.coalesce("variable", F.lit("null")))
+    return F.when(F.coalesce(known, F.lit(False)), F.col("variable")).otherwise(F.raise_error(F.concat(F.lit("no column for "), name)))
+
+
 def pivot_readings(obs: DataFrame, source: str, variables: Sequence[str] | None = None) -> DataFrame:
     """One row per (run, time) of a source, the mean of repeated readings per variable.
 
     The columns are named up front rather than looked up in the data, which spares a scan
-    and keeps the schema the same for every run.
+    and keeps the schema the same for every run. Without ``variables`` a variable that is not
+    one of the source's own stops the job; with them, the others are left out as asked.
     """
-    names = list(variables) if variables else variables_of(source)
-    rows = obs.filter((F.col("source") == source) & F.col("variable").isin(names))
+    rows = obs.filter(F.col("source") == source)
+    if variables:
+        names = list(variables)
+        rows = rows.filter(F.col("variable").isin(names))
+    else:
+        names = variables_of(source)
+        rows = rows.withColumn("variable", known_variable(F.col("variable").isin(names)))
     return rows.groupBy("run_id", "timestamp").agg(*[mean_of(v) for v in names])
 
 

@@ -11,9 +11,12 @@ class UnknownRunError(KeyError):
 
 
 def unique_runs(manifest: DataFrame) -> DataFrame:
-    """One row per run id; a repeated id takes its last manifest line (``line_no``)."""
+    """One row per run id; a repeated id takes its last manifest line (``line_no``), or stops the job if there are no line numbers."""
     if "line_no" not in manifest.columns:
-        return manifest.dropDuplicates(["run_id"])
+        # without line numbers nothing says which line counts
+        rows = manifest.groupBy("run_id").agg(F.any_value(F.struct(*manifest.columns)).alias("_row"), F.count("*").alias("_lines"))
+        complaint = F.raise_error(F.concat(F.lit("run listed more than once: "), F.coalesce("run_id", F.lit("null"))))
+        return rows.select(F.when(F.col("_lines") == 1, F.col("_row")).otherwise(complaint).alias("_row")).select("_row.*")
     last = F.max_by(F.struct(*manifest.columns), "line_no").alias("_last")
     return manifest.groupBy("run_id").agg(last).select("_last.*")
 
@@ -40,14 +43,6 @@ def run_record(manifest: DataFrame, run_id: str) -> dict:
     return row.asDict()
 
 
-def assert_known(used: DataFrame, manifest: DataFrame, what: str = "files", show: int = 20) -> None:
-    """Raise with the run ids that the manifest does not list."""
-    ids = used.select("run_id").distinct().join(manifest.select("run_id"), "run_id", "left_anti")
-    unknown = [r["run_id"] for r in ids.orderBy("run_id").limit(show).collect()]
-    if unknown:
-        raise UnknownRunError(f"{what} name runs that are not in the manifest: {unknown}")
-
-
 def known_run(used: Column, listed: Column) -> Column:
     """``listed`` (from a left join with the manifest), or an error that names the unknown run."""
     given = F.coalesce(used, F.lit("null"))

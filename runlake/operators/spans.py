@@ -37,7 +37,10 @@ def with_span_context(
     """
     per_span = df.groupBy(*keys, SPAN).agg(*summary)
     in_order = Window.partitionBy(*keys).orderBy(SPAN)
-    return df.join(per_span.select(*keys, SPAN, *context(in_order)), [*keys, SPAN])
+    attached = per_span.select(*[F.col(k).alias(f"_of_{k}") for k in (*keys, SPAN)], *context(in_order))
+    # null-safe: rows without a key or a time belong to a series, or span, of their own
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, SPAN)]
+    return df.join(attached, same).drop(*[f"_of_{k}" for k in (*keys, SPAN)])
 
 
 def numbered(

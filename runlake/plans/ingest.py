@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
-from ..operators.corrections import add_elapsed_hours, backdate, join_samples, padded
+from ..operators.corrections import add_elapsed_hours, backdate, join_samples, padded, unresolved_injections
 from ..operators.quality import assert_clean, quality_report
 from ..operators.summaries import rows_by_source, table_counts
 from ..sources.layouts import if_present
@@ -32,6 +33,8 @@ class Normalized:
     runs: DataFrame
     observations: DataFrame
     samples: DataFrame
+    #: Analytical rows, and those of them without a draw time to move to (one row).
+    unresolved: DataFrame | None = None
 
     def summary(self) -> tuple[DataFrame, DataFrame]:
         """Rows per table, and observations per source."""
@@ -73,6 +76,9 @@ def samples_of(spark: SparkSession, sheets: Sheets) -> DataFrame:
     """The sample table from both kinds of sheet; either kind may be absent."""
     draws = None if sheets.biomass is None else draw_records(sheets.biomass)
     injections = None if sheets.peaks is None else injection_records(sheets.peaks)
+    # a sheet with a header only says nothing about any sample
+    draws = None if draws is None or draws.isEmpty() else draws
+    injections = None if injections is None or injections.isEmpty() else injections
     if draws is None and injections is None:
         return schemas.empty(spark, schemas.SAMPLES)
     if draws is not None and injections is not None:
@@ -91,6 +97,7 @@ def normalize(spark: SparkSession, root: str) -> Normalized:
         schemas.conform(manifest, schemas.RUNS),
         schemas.conform(timed, schemas.OBSERVATIONS),
         schemas.conform(samples, schemas.SAMPLES),
+        unresolved_injections(raw, samples),
     )
 
 
@@ -105,9 +112,19 @@ def build_store(spark: SparkSession, raw_root: str, store_root: str, rebuild: bo
     """Ingest ``raw_root`` into the store and return the rows of each stored table."""
     data = normalize(spark, raw_root)
     write_store(data.runs, data.observations, data.samples, store_root, rebuild, runs_checked=True)
+    warn_of_unresolved(data)
     return {r["table_name"]: r["n_rows"] for r in stored_counts(spark, store_root).collect()}
 
 
+def warn_of_unresolved(data: Normalized) -> None:
+    """Warn of analytical rows that stayed at their injection time."""
+    found = data.unresolved.first()
+    if found["unresolved"]:
+        total, left = found["analytical_rows"], found["unresolved"]
+        what = "no analytical row has a draw time" if total == left else f"{left} of {total} analytical rows have no draw time"
+        warnings.warn(f"{what}; they stay at injection time", stacklevel=3)
+
+
 def ensure_store(spark: SparkSession, raw_root: str, store_root: str) -> str:
     """Build the store unless it is complete already."""
     if not is_ready(spark, store_root):

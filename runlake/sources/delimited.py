@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 16
-SHEET_WIDTH = 64
 BOM = "\ufeff"
 
 # Position of a row in its file: splits by offset, rows of a split as read.
@@ -46,12 +45,21 @@ def cells(line: Column, separator: str) -> Column:
     return F.transform(parts, lambda cell: F.trim(F.trim(F.trim(cell), F.lit('"'))))
 
 
-def sheet_rows(spark: SparkSession, path: str, width: int = SHEET_WIDTH) -> DataFrame:
+def sheet_width(spark: SparkSession, path: str) -> int:
+    """The most cells that any line of the files has, and so at least as many as any header names."""
+    widest = spark.read.text(path).agg(F.max(F.size(F.split("value", ",")))).first()[0]
+    return max(1, widest or 0)
+
+
+def sheet_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of small hand-made or peak-table files as arrays of cells, quoting included.
 
+    The width comes from the files themselves, so no column is cut off.
+
     Quoted cells may hold line breaks, so each of these files is read by one task, as a
     stream of records.
     """
+    width = sheet_width(spark, path)
     schema = ", ".join(f"c{i} string" for i in range(width))
     rows = spark.read.csv(path, schema=schema, multiLine=True, escape='"', mode="PERMISSIVE")
     row = F.expr(f"array({', '.join(f'c{i}' for i in range(width))})")

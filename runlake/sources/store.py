@@ -5,10 +5,16 @@ run id, so a read of few runs lists and opens few files; inside a file they are
 run, source, variable and time, so row-group statistics skip most of the rest. Rows are
 brought together by a rebalancing shuffle, which splits the folder of a run that holds much
 of the table into several files and joins small ones.
+
+Every build or append writes a version of its own, as a subfolder of each table. The state
+folder lists the versions that count, in numbered files; a new one is written when all tables
+are there, as the last step. Readers take the highest number, so a write that broke off, at
+whatever point, is never read, and what was readable before stays so.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -22,6 +28,7 @@ from ..operators.summaries import table_counts as counted
 
 TABLES = {"runs": schemas.RUNS, "samples": schemas.SAMPLES, "observations": schemas.OBSERVATIONS}
 MARKER = "store_state"
+VERSION = "version"
 BUCKET = "run_bucket"
 DEFAULT_BUCKETS = 64
 _NOT_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
@@ -39,7 +46,7 @@ def _load(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     reader = spark.read
     if table == "observations":
         # Named here because a folder without any rows has no file to take it from.
-        reader = reader.schema(T.StructType([*schemas.OBSERVATIONS, T.StructField(BUCKET, T.IntegerType())]))
+        reader = reader.schema(T.StructType([*schemas.OBSERVATIONS, T.StructField(VERSION, T.StringType()), T.StructField(BUCKET, T.IntegerType())]))
     try:
         return reader.parquet(table_path(root, table))
     except AnalysisException as error:
@@ -53,9 +60,15 @@ def _bucket_of(run_id: Column, buckets: int) -> Column:
 
 
 def _state(spark: SparkSession, root: str) -> Row | None:
-    """The marker of a complete store."""
+    """The last state of a store: number, versions that count, buckets."""
     state = _load(spark, root, MARKER)
-    return None if state is None else state.filter("complete").first()
+    return None if state is None else state.orderBy(F.col("number").desc()).first()
+
+
+def _current(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The rows of a table in the versions that count."""
+    rows = _load(spark, root, table)
+    return rows.filter(F.col(VERSION).isin(list(_state(spark, root)["versions"])))
 
 
 def missing_tables(spark: SparkSession, root: str) -> list[str]:
@@ -83,9 +96,11 @@ def require_store(spark: SparkSession, root: str) -> None:
         )
 
 
-def _mark(spark: SparkSession, root: str, complete: bool, buckets: int) -> None:
-    state = spark.range(1).select(F.lit(complete).alias("complete"), F.lit(buckets).alias("buckets"))
-    state.coalesce(1).write.mode("overwrite").parquet(table_path(root, MARKER))
+def _mark(spark: SparkSession, root: str, number: int, versions: list[str], buckets: int) -> None:
+    state = spark.range(1).select(
+        F.lit(number).alias("number"), F.array(*map(F.lit, versions)).alias("versions"), F.lit(buckets).alias("buckets")
+    )
+    state.coalesce(1).write.mode("append").parquet(table_path(root, MARKER))
 
 
 def write_store(
@@ -101,8 +116,8 @@ def write_store(
 
     Runs and samples are checked as a whole first, together with what is stored already.
     Observations carry their checks into the write itself: the job fails on the first bad
-    row and nothing of it becomes visible. The marker is written last, so a build that broke
-    off is never read. ``runs_checked`` says that an earlier join has already rejected
+    row and nothing of it becomes visible. The new state is written last, so a write that broke
+    off is never read and changes nothing for readers. ``runs_checked`` says that an earlier join has already rejected
     observations of unlisted runs, which spares doing it again. ``buckets`` is the number of
     run folders of a new store.
     """
@@ -112,10 +127,12 @@ def write_store(
     observations = schemas.conform(observations, schemas.OBSERVATIONS)
 
     all_runs, all_samples = runs, samples
+    state = _state(spark, root)
+    kept: list[str] = []
     if not rebuild and is_ready(spark, root):
-        buckets = _state(spark, root)["buckets"]
-        all_runs = runs.unionByName(_load(spark, root, "runs"))
-        all_samples = samples.unionByName(_load(spark, root, "samples"))
+        buckets, kept = state["buckets"], list(state["versions"])
+        all_runs = runs.unionByName(_current(spark, root, "runs").select(*schemas.RUNS.names))
+        all_samples = samples.unionByName(_current(spark, root, "samples").select(*schemas.SAMPLES.names))
     nothing = schemas.empty(spark, schemas.OBSERVATIONS)
     assert_clean(quality_report(nothing, all_runs, all_samples))
 
@@ -126,19 +143,18 @@ def write_store(
         .hint("rebalance", BUCKET)
         .sortWithinPartitions(BUCKET, "run_id", "source", "variable", "timestamp")
     )
-    mode = "overwrite" if rebuild else "append"
-    if rebuild:
-        _mark(spark, root, False, buckets)
+    version = f"v{uuid.uuid4().hex}"
+    folder = f"{VERSION}={version}"
     # The one table that can still be refused goes first.
-    laid_out.write.mode(mode).partitionBy(BUCKET).parquet(table_path(root, "observations"))
-    runs.write.mode(mode).parquet(table_path(root, "runs"))
-    samples.write.mode(mode).parquet(table_path(root, "samples"))
-    _mark(spark, root, True, buckets)
+    laid_out.write.partitionBy(BUCKET).parquet(f"{table_path(root, 'observations')}/{folder}")
+    runs.write.parquet(f"{table_path(root, 'runs')}/{folder}")
+    samples.write.parquet(f"{table_path(root, 'samples')}/{folder}")
+    _mark(spark, root, 1 if state is None else state["number"] + 1, [*kept, version], buckets)
 
 
 def read_runs(spark: SparkSession, root: str, ordered: bool = True) -> DataFrame:
     require_store(spark, root)
-    runs = _load(spark, root, "runs").select(*schemas.RUNS.names)
+    runs = _current(spark, root, "runs").select(*schemas.RUNS.names)
     return runs.orderBy("run_id") if ordered else runs
 
 
@@ -169,7 +185,7 @@ def read_observations(
     Operators do not need sorted input: pass ``ordered=False`` when feeding one.
     """
     require_store(spark, root)
-    obs = _load(spark, root, "observations")
+    obs = _current(spark, root, "observations")
     if run_ids:
         buckets = _state(spark, root)["buckets"]
         obs = obs.filter(F.col(BUCKET).isin([_bucket_of(F.lit(r), buckets) for r in set(run_ids)]))
@@ -181,7 +197,7 @@ def read_samples(
     spark: SparkSession, root: str, run_ids: Sequence[str] | None = None, ordered: bool = True
 ) -> DataFrame:
     require_store(spark, root)
-    samples = _load(spark, root, "samples").select(*schemas.SAMPLES.names)
+    samples = _current(spark, root, "samples").select(*schemas.SAMPLES.names)
     if run_ids:
         samples = samples.filter(F.col("run_id").isin(list(run_ids)))
     return samples.orderBy("run_id", "sample_id") if ordered else samples
@@ -189,4 +205,4 @@ def read_samples(
 
 def stored_counts(spark: SparkSession, root: str) -> DataFrame:
     require_store(spark, root)
-    return counted(*(_load(spark, root, t) for t in ("runs", "observations", "samples")))
+    return counted(*(_current(spark, root, t) for t in ("runs", "observations", "samples")))

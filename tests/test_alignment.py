@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import runlake
 from runlake.operators.nearest import match_nearest, snap_samples
+from runlake.operators.pivot import pivot_readings
 
 T0 = datetime(2026, 3, 2, 8)
 
@@ -137,46 +138,61 @@ def observations(spark):
     ).cache()
 
 
-def pandas_aligned(obs, reference, near, far):
-    """The same alignment, run by run, in pandas."""
-    frames = []
-    for run, mine in obs.groupby("run_id"):
-        wide = {
-            s: g.pivot_table(index="timestamp", columns="variable", values="value", aggfunc="mean").reset_index()
-            for s, g in mine.groupby("source")
-        }
-        if reference not in wide:
-            continue
-        base = wide[reference]
-        for s in ("bioreactor", "offgas", "capacitance"):
-            if s != reference and s in wide:
-                base = pd.merge_asof(base, wide[s], on="timestamp", direction="nearest", tolerance=pd.Timedelta(near))
-        for s in ("analytical", "offline"):
-            spot = pd.merge_asof(
-                wide[s], base[["timestamp"]].assign(place=base.timestamp), on="timestamp",
-                direction="nearest", tolerance=pd.Timedelta(far),
-            ).dropna(subset=["place"]).drop_duplicates("place").drop(columns="timestamp")
-            base = base.merge(spot.rename(columns={"place": "timestamp"}), on="timestamp", how="left")
-        frames.append(base.assign(run_id=run, elapsed_h=(base.timestamp - pd.Timestamp(T0)) / pd.Timedelta("1h")))
-    return pd.concat(frames)
+VARIABLES = ["DO", "pH", "offgas_co2", "permittivity", "glucose", "product", "dcw"]
 
 
-VARIABLES = ["DO", "pH", "offgas_co2", "permittivity", "glucose", "product", "dcw"]
+def closest(times, moment, seconds):
+    """The time nearest to a moment, the earlier of two equally near ones; None beyond the tolerance."""
+    gaps = [(abs((t - moment).total_seconds()), t) for t in times]
+    gap, found = min(gaps, default=(None, None))
+    return found if gap is not None and gap <= seconds else None
+
+
+def brute_aligned(rows, reference, near_s, far_s):
+    """(run, time) -> values in the order of VARIABLES, by looking at every pair of times."""
+    means = {}
+    for r in rows:
+        means.setdefault((r["run_id"], r["source"], r["timestamp"]), {}).setdefault(r["variable"], []).append(r["value"])
+    means = {key: {v: sum(x) / len(x) for v, x in cells.items()} for key, cells in means.items()}
+    table = {(run, at): dict(cells) for (run, source, at), cells in means.items() if source == reference}
+    for run, at in list(table):
+        for source in {"bioreactor", "offgas", "capacitance"} - {reference}:
+            hit = closest([t for r, s, t in means if (r, s) == (run, source)], at, near_s)
+            if hit is not None:
+                table[run, at].update(means[run, source, hit])
+    taken = set()
+    for run, source, at in sorted((k for k in means if k[1] in ("analytical", "offline")), key=lambda k: k[2]):
+        home = closest([t for r, t in table if r == run], at, far_s)
+        if home is not None and (run, source, home) not in taken:
+            taken.add((run, source, home))
+            table[run, home].update(means[run, source, at])
+    return {key: [cells.get(v) for v in VARIABLES] for key, cells in table.items()}
 
 
 @pytest.mark.parametrize(
     ("reference", "near", "far", "width"),
-    [("bioreactor", "5min", "10min", None), ("bioreactor", "40s", "90s", "3min"), ("offgas", "2min", "1min", None)],
+    [("bioreactor", 300, 600, None), ("bioreactor", 40, 90, "3min"), ("offgas", 120, 60, None)],
 )
-def test_alignment_equals_pandas(spark, observations, reference, near, far, width):
+def test_alignment_equals_brute_force(spark, observations, reference, near, far, width):
     found = runlake.align_sources(
-        observations, reference=reference, continuous_tolerance=near, sample_tolerance=far, width=width
-    )
-    expected = pandas_aligned(observations.toPandas(), reference, near, far)
-    for name in VARIABLES:
-        if name not in expected:
-            expected[name] = np.nan
-    same(found, expected, ["run_id", "timestamp", "elapsed_h", *VARIABLES])
+        observations, reference=reference, continuous_tolerance=f"{near}s", sample_tolerance=f"{far}s", width=width
+    ).collect()
+    want = brute_aligned(observations.collect(), reference, near, far)
+    assert len(found) == len(want)
+    for r in found:
+        assert [r[v] for v in VARIABLES] == [x if x is None else pytest.approx(x) for x in want[r["run_id"], r["timestamp"]]]
+        assert r["elapsed_h"] == pytest.approx((r["timestamp"] - T0).total_seconds() / 3600)
+
+
+def test_what_cannot_be_aligned_is_named(spark, observations):
+    with pytest.raises(ValueError, match="no bioreactor readings for run C"):
+        runlake.align_sources(observations, run_ids=["A", "C"])
+    strange = observations.withColumn("variable", F.when(F.col("variable") == "pH", "mood").otherwise(F.col("variable")))
+    with pytest.raises(Exception, match="no column for bioreactor/mood"):
+        runlake.align_sources(strange).collect()
+    with pytest.raises(Exception, match="no column for bioreactor/mood"):
+        pivot_readings(strange, "bioreactor").collect()
+    assert pivot_readings(strange, "bioreactor", ["DO"]).count() > 0
 
 
 def test_alignment_schema_and_run_choice(spark, observations):

@@ -34,23 +34,56 @@ def observations(spark, seed=1):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-@pytest.mark.parametrize("step", ["5min", "7min", "6h", "2D", "45s"])
-def test_grid_equals_pandas_resample(spark, step):
+def bins_of(readings, seconds):
+    """For [(time, value)] of one series the mean of each bin, by its number from midnight of the first day on."""
+    per_time = {}
+    for at, value in readings:
+        per_time.setdefault(at, []).append(value)
+    midnight = datetime.combine(min(per_time).date(), datetime.min.time())
+    filled = {}
+    for at, values in per_time.items():
+        number = int((at - midnight) / timedelta(seconds=seconds))
+        filled.setdefault(number, []).append(sum(values) / len(values))
+    return midnight, {k: sum(v) / len(v) for k, v in filled.items()}
+
+
+@pytest.mark.parametrize(("step", "seconds"), [("5min", 300), ("7min", 420), ("6h", 21_600), ("2D", 172_800), ("45s", 45)])
+def test_grid_equals_bin_arithmetic(spark, step, seconds):
     obs = observations(spark)
     names = ["DO", "offgas_co2"]
-    found = runlake.resample_grid(obs, names, step).toPandas().sort_values(["run_id", "timestamp"])
-    parts = []
-    for run, mine in obs.toPandas().query("variable in @names").groupby("run_id"):
-        wide = mine.pivot_table(index="timestamp", columns="variable", values="value", aggfunc="mean")
-        grid = wide.resample(step).mean()
-        row = mine.iloc[0]
-        start = row.timestamp - pd.Timedelta(hours=row.elapsed_h)
-        parts.append(grid.reset_index().assign(run_id=run, elapsed_h=lambda d: (d.timestamp - start) / pd.Timedelta("1h")))  # noqa: B023
-    want = pd.concat(parts)[["run_id", "timestamp", "elapsed_h", *names]].reset_index(drop=True)
-    got = found[want.columns].reset_index(drop=True)
-    for d in (got, want):
-        d["timestamp"] = d.timestamp.astype("datetime64[us]")
-    pd.testing.assert_frame_equal(got, want, check_dtype=False, check_names=False)
+    found = {(r["run_id"], r["timestamp"]): r for r in runlake.resample_grid(obs, names, step).collect()}
+    rows = [r for r in obs.collect() if r["variable"] in names]
+    seen = 0
+    for run, start in (("A", T0), ("B", T0 + timedelta(seconds=90_000))):
+        times = [r["timestamp"] for r in rows if r["run_id"] == run]
+        midnight, every = bins_of([(t, 0.0) for t in times], seconds)
+        columns = {}
+        for v in names:
+            own = [(r["timestamp"], r["value"]) for r in rows if (r["run_id"], r["variable"]) == (run, v)]
+            # numbered from the first day of the run, not of the variable
+            columns[v] = bins_of([*own, (midnight, 0.0)], seconds)[1] if min(own)[0].date() != midnight.date() else bins_of(own, seconds)[1]
+        for k in range(min(every), max(every) + 1):
+            at = midnight + timedelta(seconds=k * seconds)
+            row = found[run, at]
+            seen += 1
+            assert row["elapsed_h"] == pytest.approx((at - start).total_seconds() / 3600)
+            for v in names:
+                assert row[v] == (pytest.approx(columns[v][k]) if k in columns[v] else None)
+    assert seen == len(found)
+
+
+def test_grid_by_hand(spark):
+    """Two readings in the bin of 08:00, none in that of 08:05, one in that of 08:10."""
+    start = datetime(2026, 3, 2, 8)
+    rows = [("A", start + timedelta(seconds=s), s / 3600, "bioreactor", "DO", v, "", "f") for s, v in ((10, 1.0), (299, 2.0), (600, 5.0))]
+    found = runlake.resample_grid(spark.createDataFrame(rows, SCHEMA), ["DO"], "5min").orderBy("timestamp").collect()
+    assert [(r["timestamp"] - start, r["DO"]) for r in found] == [(timedelta(minutes=m), v) for m, v in ((0, 1.5), (5, None), (10, 5.0))]
+
+
+def test_rows_without_key_or_time_are_numbered_too(spark):
+    rows = [("A", T0), ("A", None), (None, T0), (None, None)]
+    found = every_nth(spark.createDataFrame(rows, "run_id string, timestamp timestamp_ntz"), 1)
+    assert sorted(map(str, found.collect())) == sorted(str(r) for r in spark.createDataFrame(rows, "run_id string, timestamp timestamp_ntz").collect())
 
 
 def test_repeated_times_are_averaged_before_bins(spark):

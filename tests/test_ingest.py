@@ -1,5 +1,7 @@
 """Vendor files to the common schema."""
 
+import csv
+import io
 from datetime import datetime
 
 import pytest
@@ -192,3 +194,55 @@ def test_checked_ingest_reports_the_sample_without_a_run(spark, raw):
     sizes, by_source = found.summary()
     assert {r["table_name"]: r["n_rows"] for r in sizes.collect()} == {"runs": 4, "observations": 55, "samples": 3}
     assert by_source.first()["source"] == "bioreactor"
+
+
+def test_sheets_keep_all_their_columns(spark, tmp_path):
+    """A sheet with its measurement in the 69th column."""
+    files = dict(FILES)
+    name = next(n for n in files if "biomass" in n and n.startswith("offline") or n.endswith("_biomass.csv"))
+    table = list(csv.reader(io.StringIO(files[name])))
+    head = next(i for i, row in enumerate(table) if "DCW_g_L" in row)
+    place = table[head].index("DCW_g_L")
+    for k, row in enumerate(table[head:]):
+        if len(row) > place:
+            value = row.pop(place)
+            row += [f"extra{i}" if k == 0 else "" for i in range(68 - len(row))] + [value]
+    wide = io.StringIO()
+    csv.writer(wide).writerows(table)
+    before = normalize(spark, write_tree(tmp_path / "narrow", files)).observations.filter("variable = 'dcw'").count()
+    files[name] = wide.getvalue()
+    after = normalize(spark, write_tree(tmp_path / "wide", files)).observations.filter("variable = 'dcw'").count()
+    assert after == before > 0
+
+
+def test_header_only_sheets_leave_the_samples_their_runs(spark, tmp_path):
+    files = dict(FILES)
+    for name in [n for n in files if n.endswith("_biomass.csv")]:
+        lines = files[name].splitlines()
+        head = next(i for i, line in enumerate(lines) if "Sample_ID" in line)
+        files[name] = "\n".join(lines[: head + 1]) + "\n"
+    samples = normalize(spark, write_tree(tmp_path, files)).samples
+    assert samples.count() > 0 and samples.filter("run_id is null").isEmpty()
+
+
+def test_rows_without_a_source_survive_backdating(spark):
+    from runlake.operators.corrections import backdate
+
+    at = datetime(2026, 3, 2, 8)
+    rows = spark.createDataFrame([("R1", at, 0.0, s, "pH", 7.0, "", "f") for s in (None, "analytical", "offgas")], schemas.OBSERVATIONS.simpleString().removeprefix("struct<").removesuffix(">"))
+    assert backdate(rows, spark.createDataFrame([], schemas.SAMPLES)).count() == 3
+
+
+def test_the_build_warns_of_injections_without_a_draw(spark, raw):
+    from runlake.plans.ingest import warn_of_unresolved
+
+    with pytest.warns(UserWarning, match="have no draw time"):
+        warn_of_unresolved(normalize(spark, raw))
+
+
+def test_repeated_runs_need_line_numbers(spark):
+    from runlake.operators.registry import unique_runs
+
+    rows = spark.createDataFrame([("R1", 1), ("R1", 2)], "run_id string, x int")
+    with pytest.raises(Exception, match="run listed more than once: R1"):
+        unique_runs(rows).collect()

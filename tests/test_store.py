@@ -53,7 +53,8 @@ def test_filters_reach_the_scan(spark, store):
     plan = obs.select("timestamp", "value")._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
     assert "EqualTo(run_id,R1)" in scan and "EqualTo(variable,pH)" in scan
-    assert "PartitionFilters: [isnotnull(run_bucket" in scan
+    filters = scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "run_bucket" in filters and "version" in filters
     assert "ReadSchema: struct<run_id:string,timestamp:timestamp_ntz,variable:string,value:double>" in plan
 
 
@@ -158,6 +159,42 @@ def test_a_bad_row_leaves_nothing_behind(spark, store, tmp_path):
     assert runlake.is_ready(spark, good) and counts(spark, good)["observations"] == 52
 
 
+@pytest.mark.parametrize("rebuild", [True, False])
+@pytest.mark.parametrize("broken", ["runs", "samples", MARKER])
+def test_a_write_that_breaks_off_changes_nothing(spark, store, tmp_path, monkeypatch, rebuild, broken):
+    """The old state stays readable, and writing again doubles no row."""
+    from runlake.sources import store as module
+
+    root = str(tmp_path / "s")
+    runs, obs, samples = stored(spark, store)
+    runlake.write_store(runs, obs, samples, root)
+    more = runs.filter("run_id = 'R1'").withColumn("run_id", F.lit("R7"))
+    reading = obs.filter("run_id = 'R1'").withColumn("run_id", F.lit("R7"))
+    if rebuild:
+        more, reading = runs.unionByName(more), obs.unionByName(reading)
+    extra = samples if rebuild else samples.filter("false")
+    wanted = {"runs": 5, "observations": 52 + obs.filter("run_id = 'R1'").count(), "samples": 2}
+    if broken == MARKER:
+        monkeypatch.setattr(module, "_mark", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    else:
+        # the table cannot be written, though it can be read
+        writer = type(runs.write)
+        parquet = writer.parquet
+
+        def refusing(self, target, *a, **k):
+            if f"/{broken}/" in target:
+                raise OSError("lost")
+            return parquet(self, target, *a, **k)
+
+        monkeypatch.setattr(writer, "parquet", refusing)
+    with pytest.raises(OSError, match="lost"):
+        runlake.write_store(more, reading, extra, root, rebuild=rebuild)
+    monkeypatch.undo()
+    assert runlake.is_ready(spark, root) and counts(spark, root) == {"runs": 4, "observations": 52, "samples": 2}
+    runlake.write_store(more, reading, extra, root, rebuild=rebuild)
+    assert counts(spark, root) == wanted
+
+
 def test_build_only_if_missing(spark, clean_raw, tmp_path):
     root = str(tmp_path / "once")
     assert runlake.ensure_store(spark, clean_raw, root) == root

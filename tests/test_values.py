@@ -81,3 +81,16 @@ def test_cadence_in_words(spark):
 def test_run_id_from_file_name(spark):
     names = ["R1_offgas.csv", "A_B_offgas.csv", "R1.csv", "R1_offgas.txt"]
     assert column(spark, names, "string", lambda c: stem_without(c, "_offgas")) == ["R1", "A_B", None, None]
+
+
+@pytest.mark.parametrize("text", ["2026-03-02T08:00:00+05:00", "2026-03-02T08:00:00Z", "2026", "2026-03", "08:00"])
+def test_times_with_an_offset_or_without_a_day_are_refused(spark, text):
+    frame = spark.createDataFrame([(text,)], "t string")
+    with pytest.raises(Exception, match="cannot read a time"):
+        frame.select(to_moment(F.col("t"), F.lit("x.csv"))).collect()
+
+
+@pytest.mark.parametrize("text", ["2026-03-02", "2026-03-02 08:00", "2026-3-2 8:00:01.25", " 2026-03-02T08:00:00 "])
+def test_plain_times_are_read(spark, text):
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.select(to_moment(F.col("t"), F.lit("x.csv")).alias("m")).first()["m"].day == 2
