@@ -13,7 +13,6 @@ All stages but the last return the columns of their input. Nulls, empty and repe
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from runlake.llm import jaccard, lines, mixing, pieces, quality
 from runlake.llm.common import documents, stored
@@ -27,9 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = lines.dedup_lines(docs)
-    changed = {"text": F.col("lines.kept_text"), "n_chars": F.length("lines.kept_text").cast("long")}
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    return lines.without_repeats(docs)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +34,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.take(mixing.mixed_to(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return mixing.taken(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

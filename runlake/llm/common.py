@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Odd multipliers of the integer mixes, fixed so that hashes are equal on every machine.
@@ -52,6 +52,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it if ``docs`` has such a column already."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
+def with_text(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of ``docs`` from ``rows``, with another ``text`` and ``n_chars`` counted anew."""
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[changed.get(c, kept).alias(c) for c, kept in zip(docs.columns, columns_of(docs), strict=True)])
+
+
 def ids_and_texts(docs: DataFrame) -> DataFrame:
     """The two columns that text operators read, as (doc_id, text), whatever else ``docs`` carries."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -111,12 +130,15 @@ def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * MIX_B)
 
 
-def byte_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each row: starts, ends, and the first word of each row (with the total at the end)."""
+def byte_words(raw: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each row: starts, ends, and the first word of each row (with the total at the end).
+
+    ``blank`` tells which bytes are none of a word.
+    """
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~blank[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[offsets] = True
     opens = inside.copy()

@@ -23,8 +23,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from runlake.llm.common import documents, slices
+from runlake.llm.common import columns_of, documents, free_name, slices, with_text
 
 #: Phrases of site furniture, lower case.
 PHRASES = (
@@ -93,11 +94,10 @@ def judge(text: str | None) -> tuple:
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns of :data:`METRICS` added, in a struct ``quality`` so that no name can clash."""
+    """``docs`` with the columns of :data:`METRICS` added, in a struct ``quality`` (``quality_`` if there is such a column)."""
     names = [x.split()[0] for x in METRICS.split(", ")]
-    kept = [c for c in docs.columns if c != "quality"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    out = f"{schema}, quality struct<{', '.join(x.replace(' ', ':') for x in METRICS.split(', '))}>"
+    name = free_name(docs, "quality")
+    out = StructType([*docs.schema.fields, StructField(name, StructType.fromDDL(METRICS))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column=text):
@@ -105,16 +105,15 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
             kinds = {"base_failed": pa.bool_(), "kept": pa.bool_(), "clean_text": pa.string()}
             fields = [pa.field(x, kinds.get(x, pa.int64())) for x in names]
             columns = [pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), fields, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(columns, fields=fields)], [*batch.schema.names, "quality"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(columns, fields=fields)], [*batch.schema.names, name])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(work, out)
+    return docs.select(*columns_of(docs)).mapInArrow(work, out)
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with failing lines gone from ``text`` and ``n_chars`` counted anew; same columns."""
-    rows = judged(docs).filter("quality.kept")
-    changed = {"text": F.col("quality.clean_text"), "n_chars": F.length("quality.clean_text").cast("long")}
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns if c != "quality"])
+    name = free_name(docs, "quality")
+    return with_text(judged(docs).filter(F.col(f"{name}.kept")), docs, F.col(f"{name}.clean_text"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

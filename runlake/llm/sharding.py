@@ -13,7 +13,7 @@ together they get overflow pages, as in any hash file: a page number from runnin
 so that no task needs them all. A single document above the limit is a shard of its own (``oversized``).
 
 Null ``doc_id`` hashes as the word ``null``; null or empty text has 0 bytes. Extra columns pass through; the columns that are
-added are in one struct ``shard``. An empty table gives no shards.
+added are in one struct ``shard`` (``shard_`` if there is such a column). An empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlake.llm.common import cut, documents
+from runlake.llm.common import columns_of, cut, documents, free_name
 
 BITS, STEP = 60, 12
 #: Production limit for the text of a shard: what one read request of an object store brings.
@@ -54,8 +54,7 @@ def level(rows: DataFrame, limit: int, known: int, deep: int) -> tuple[DataFrame
 def sharded(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", size: Column | None = None) -> DataFrame:
     """``docs`` with a struct ``shard``: depth, prefix, page, shard_bytes, shard_docs (over all pages), n_bytes, oversized."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") if size is None else size
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "shard"]
-    rows = docs.select(F.struct(*kept).alias("row"), hash_bits(F.col(key)).alias("bits"), size.alias("bytes"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), hash_bits(F.col(key)).alias("bits"), size.alias("bytes"))
     left = rows.select("bits", "bytes")
     total = left.agg(F.sum("bytes")).first()[0] or 0
     known, deep = 0, min(BITS, (total // limit).bit_length() + 5)
@@ -74,7 +73,7 @@ def sharded(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", size
     if deep == BITS and not still.isEmpty():
         out = out.filter("at IS NOT NULL").unionByName(overflow(out.filter("at IS NULL").drop("at", "page"), still, limit))
     shard = F.struct("at.*", "page", F.col("bytes").alias("n_bytes"), (F.col("bytes") > limit).alias("oversized"))
-    return out.select("row.*", shard.alias("shard"))
+    return out.select("row.*", shard.alias(free_name(docs, "shard")))
 
 
 def overflow(rows: DataFrame, still: DataFrame, limit: int) -> DataFrame:
@@ -90,10 +89,12 @@ def overflow(rows: DataFrame, still: DataFrame, limit: int) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
     """Write each shard as one folder of Parquet, named by its bits; the rows of a shard meet in one task."""
-    rows = sharded(docs, limit)
-    bits = F.right(F.lpad(F.conv(F.col("shard.prefix").cast("string"), 10, 2), BITS, "0"), F.col("shard.depth"))
-    name = F.concat(F.lit("s"), bits, F.when(F.col("shard.page") != 0, F.concat(F.lit("-"), F.col("shard.page"))).otherwise(""))
-    rows.withColumn("shard", name).repartition("shard").write.partitionBy("shard").parquet(path)
+    shard = free_name(docs, "shard")
+    at = F.col(shard)
+    bits = F.right(F.lpad(F.conv(at["prefix"].cast("string"), 10, 2), F.lit(BITS), F.lit("0")), at["depth"])
+    page = F.when(at["page"] != 0, F.concat(F.lit("-"), at["page"].cast("string"))).otherwise("")
+    rows = sharded(docs, limit).withColumn(shard, F.concat(F.lit("s"), bits, page))
+    rows.repartition(shard).write.partitionBy(shard).parquet(path)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
