@@ -12,8 +12,9 @@ a smaller (doc_id, line number). Lines are judged on the input, not on what is l
    only its earliest entry, not its pairs: the join is linear in the variants.
 4. The edit distance of each line and its earlier candidates is verified on the texts; the earliest that holds decides.
 
-Null text has no line. Repeated ``doc_id`` are ordered by text (equal rows: all lines but the first copy's go); a null ``doc_id``
-comes last. Extra columns pass through. An empty table gives an empty result.
+Null text counts as one empty line. Rows that repeat a ``doc_id`` share its places: they are judged alike, and a line of one is
+earlier than a line of the other only if its number is smaller. A null ``doc_id`` comes first. Extra columns pass through. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlake.llm.common import POLYNOMIAL, POLYNOMIAL_INVERSE, cut, documents, mixed, powers, slices, stored
+from runlake.llm.common import POLYNOMIAL, POLYNOMIAL_INVERSE, columns_of, cut, documents, free_name, mixed, powers, slices, stored, with_text
 
 MAX_EDITS = 1
 MIN_CHARS = 20
 #: Blocks of a line in the second filter.
 BLOCKS = 16
+#: Up to so many lines (about 100 bytes each) are sent to the documents by broadcast; more are joined.
+BROADCAST_LINES = 1_000_000
 _LINE_SPAN = 1 << 31
 
 
@@ -130,8 +133,9 @@ def near_places(found: DataFrame, docs: DataFrame) -> DataFrame:
     spans = F.lit(_LINE_SPAN).cast("decimal(11,0)")
     wanted = candidates.select("h", "g", "first", F.floor(F.col("first") / spans).cast("long").alias("key"))
     wanted = wanted.withColumn("line_no", (F.col("first") - F.col("key").cast("decimal(20,0)") * spans).cast("int"))
-    by_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("line_no", "h", "g", "first")).alias("lines"))
-    texts = docs.join(by_doc, "key").select(F.split("text", "\n", -1).alias("all"), F.explode("lines").alias("l"))
+    by_doc = cut(wanted.groupBy("key").agg(F.collect_list(F.struct("line_no", "h", "g", "first")).alias("lines")))
+    few = (by_doc.agg(F.sum(F.size("lines"))).first()[0] or 0) <= BROADCAST_LINES
+    texts = docs.join(F.broadcast(by_doc) if few else by_doc, "key").select(F.split("text", "\n", -1).alias("all"), F.explode("lines").alias("l"))
     texts = texts.select("l.h", "l.g", "l.first", F.col("all")[F.col("l.line_no")].alias("line"))
     # of rows with a repeated doc_id, those with another text do not have the line
     texts = texts.filter(F.xxhash64("line") == F.col("h")).dropDuplicates(["h", "g"])
@@ -170,11 +174,10 @@ def removals(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct ``lines``: n_lines, n_removed, kept_text. Extra columns pass through."""
+    """``docs`` with a struct ``lines`` (``lines_`` if there is such a column): n_lines, n_removed, kept_text."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1))
     texts = docs.select(key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "lines"]
-    rows = docs.select(key.alias("key"), F.struct(*kept).alias("row")).join(removals(texts), "key", "left")
+    rows = docs.select(key.alias("key"), F.struct(*columns_of(docs)).alias("row")).join(removals(texts), "key", "left")
     rows = rows.withColumn("all", F.split(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "\n", -1))
     left = F.filter("all", lambda x, i: ~F.array_contains(F.col("gone"), i))
     rows = rows.withColumn("left", F.when(F.col("gone").isNull(), F.col("all")).otherwise(left))
@@ -183,7 +186,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         (F.size("all") - F.size("left")).cast("long").alias("n_removed"),
         F.array_join("left", "\n").alias("kept_text"),
     )
-    return rows.select("row.*", result.alias("lines"))
+    return rows.select("row.*", result.alias(free_name(docs, "lines")))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` without the lines that go; same columns."""
+    return with_text(dedup_lines(docs), docs, F.col(f"{free_name(docs, 'lines')}.kept_text"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
