@@ -17,21 +17,31 @@ Repeated documents are rated alike, one by one. Extra columns pass through. An e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from runlake.llm.common import cut, documents, stored
+from runlake.llm.common import byte_words, columns_of, cut, documents, free_name, range_hashes, raw_text, slices, stored
 
 DOMAINS = ("good", "low", "toxic")
 #: Production targets: shares of the token total, which stays as it is.
 SHARES = {"good": 0.95, "low": 0.05, "toxic": 0.0}
 FIT_ROWS, WORDS, FIT_STEPS = 4000, 300, 40
-MOST_STEPS, TOLERANCE = 60, 1e-6
-RATIOS = ("symbols", "capitals", "distinct", "word_chars", "line_ends")
+MOST_STEPS, TOLERANCE = 60, 1e-5
+RATIOS = 5
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SYMBOLS = np.zeros(256, bool)
+_SYMBOLS[list(b"#*$%&|<>!")] = True
+#: Words of the classifier: runs of letters, digits and bytes beyond ASCII.
+_BETWEEN = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -41,74 +51,113 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return worst.select(F.col("doc_id").cast("long").alias("label_id"), F.when(F.col("toxic") > 0, 2).when(F.col("quality") < 1, 1).otherwise(0).cast("double").alias("label"))
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
-def measured(rows: DataFrame) -> DataFrame:
-    """``rows`` (with ``text``) and their words, tokens and ratios."""
-    rows = rows.withColumn("words", words(F.lower("text")))
-    n = F.greatest(F.size("words"), F.lit(1)).cast("double")
-    size = F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1)).cast("double")
-
-    def share(characters: str) -> Column:
-        return F.coalesce(size - F.length(F.translate("text", characters, "")), F.lit(0.0)) / size
-
-    return rows.select(
-        "*",
-        F.size("words").cast("long").alias("n_tokens"),
-        share("#*$%&|<>!").alias("symbols"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("capitals"), share("\n").alias("line_ends"),
-        (F.size(F.array_distinct("words")) / n).alias("distinct"), (size / n / 10).alias("word_chars"),
-    )
-
-
-def telling_words(sample: DataFrame, counts: dict[int, int]) -> list[str]:
-    """For each domain the ``WORDS`` words whose presence says most about it."""
-    present = sample.select("label", F.explode(F.array_distinct(F.transform("words", bare))).alias("word")).filter("word <> ''")
-    by_domain = [F.sum((F.col("label") == k).cast("long")).alias(f"in_{k}") for k in counts]
-    per_word = present.groupBy("word").agg(F.count("*").alias("docs"), *by_domain).filter("docs >= 3").persist()
+def present_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of each text, in lower case and as hashes: text numbers and hashes."""
+    low = _LOWER[raw]
+    starts, ends, first = byte_words(low, offsets, _BETWEEN)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    hashes = range_hashes(low, starts, ends)
+    order = np.lexsort((hashes, text))
+    text, hashes = text[order], hashes[order]
+    new = np.append(True, (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1]))
+    return text[new], hashes[new]
+
+
+def features(texts: pa.Array, telling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each text, and its ratios and which of the (sorted) telling words it has."""
+    raw, offsets = raw_text(texts)
+    sizes = np.diff(offsets)
+    tokens = np.diff(byte_words(raw, offsets)[2])
+    out = np.zeros((len(sizes), RATIOS + len(telling)), np.float32)
+
+    def counted(which: np.ndarray) -> np.ndarray:
+        return np.diff(np.append(0, np.cumsum(which))[offsets]) / np.maximum(sizes, 1)
+
+    text, hashes = present_words(raw, offsets)
+    out[:, 0], out[:, 1], out[:, 2] = counted(_SYMBOLS[raw]), counted((raw >= 65) & (raw <= 90)), counted(raw == 10)
+    out[:, 3] = np.bincount(text, minlength=len(sizes)) / np.maximum(tokens, 1)
+    out[:, 4] = sizes / np.maximum(tokens, 1) / 10
+    if len(telling) and len(hashes):
+        place = np.minimum(np.searchsorted(telling, hashes), len(telling) - 1)
+        hit = telling[place] == hashes
+        out[text[hit], RATIOS + place[hit]] = 1
+    return tokens, out
+
+
+def telling_words(sample: DataFrame, counts: dict[int, int]) -> np.ndarray:
+    """For each domain the ``WORDS`` words of (text, label) whose presence says most about it, as sorted hashes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            text, hashes = present_words(*raw_text(batch.column(0)))
+            labels = batch.column(1).to_numpy()[text].astype(np.int64)
+            order = np.lexsort((labels, hashes))
+            hashes, labels = hashes[order], labels[order]
+            new = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (labels[1:] != labels[:-1]))) if len(hashes) else np.zeros(0, np.int64)
+            n = np.diff(np.append(new, len(hashes)))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64)), pa.array(labels[new]), pa.array(n)], ["word", "label", "n"])
+
+    found = sample.select("text", "label").mapInArrow(count, "word long, label long, n long")
+    per_word = found.groupBy("word").agg(F.sum("n").alias("docs"), *[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"in_{k}") for k in counts])
+    per_word = cut(per_word.filter("docs >= 3"))
     n = sum(counts.values())
-    chosen: set[str] = set()
+    chosen: set[int] = set()
     for k, n_k in counts.items():
         inside, outside = F.col(f"in_{k}"), F.col("docs") - F.col(f"in_{k}")
         gap = inside / n_k - outside / (n - n_k)
         score = gap * gap / (F.col("docs") / n * (1.0001 - F.col("docs") / n))
         chosen |= {r["word"] for r in per_word.orderBy(score.desc(), "word").limit(WORDS).select("word").collect()}
-    per_word.unpersist()
-    return sorted(chosen)
-
-
-def bare(word: Column) -> Column:
-    """A word without the punctuation around it."""
-    return F.btrim(word, F.lit(".,;:!?\"'()[]"))
+    return np.sort(np.array(sorted(chosen), np.int64).view(np.uint64))
 
 
 def posteriors(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, text, ...) with ``n_tokens`` and the array ``p`` of posteriors in the order of ``DOMAINS``."""
+    """``rows`` (row, doc_id, text) as (row, n_tokens, p): ``p`` are the posteriors in the order of ``DOMAINS``."""
     ids = rows.select(F.col("doc_id").alias("label_id")).distinct()
     known = cut(domain_labels(labels).join(ids, "label_id"))
     counts = {int(r["label"]): r["count"] for r in known.groupBy("label").count().collect()}
-    if len(counts) < 2:
-        sure = F.array(*[F.lit(float(k == next(iter(counts), 0))) for k in range(len(DOMAINS))])
-        return measured(rows).drop("words", *RATIOS).withColumn("p", sure)
-    position = F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) / 1e6
-    wanted = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (float(k), FIT_ROWS / n)])
-    chosen = known.filter(position < F.element_at(wanted, F.col("label")))
-    sample = cut(measured(rows.join(chosen, F.col("doc_id") == F.col("label_id")).select("text", "label")).drop("text"))
-    taken = {int(r["label"]): r["count"] for r in sample.groupBy("label").count().collect()}
-    bag = CountVectorizerModel.from_vocabulary(telling_words(sample, taken), inputCol="bare", outputCol="bag")
-    bag.setBinary(True)
-    assembled = VectorAssembler(inputCols=[*RATIOS, "bag"], outputCol="features")
-
-    def vectors(x: DataFrame) -> DataFrame:
-        x = bag.transform(x.withColumn("bare", F.transform("words", bare)))
-        return assembled.transform(x).drop("words", "bare", "bag", *RATIOS)
-
-    fit = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=FIT_STEPS)
-    model = fit.fit(vectors(sample).select("features", "label").coalesce(8))
-    pad = F.array(*[F.lit(0.0)] * (len(DOMAINS) - model.numClasses)).cast("array<double>")
-    scored = model.transform(vectors(measured(rows)))
-    return scored.withColumn("p", F.concat(vector_to_array("probability"), pad)).drop("features", "rawPrediction", "probability", "prediction")
+    telling, weights, bias = np.zeros(0, np.uint64), np.zeros((len(DOMAINS), RATIOS)), np.full(len(DOMAINS), -1e9)
+    bias[list(counts) or [0]] = 0.0
+    if len(counts) > 1:
+        position = F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) / 1e6
+        wanted = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (float(k), FIT_ROWS / n)])
+        chosen = known.filter(position < F.element_at(wanted, F.col("label")))
+        # at most about FIT_ROWS labels of each domain: a bounded table
+        sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "label")
+        sample = stored(sample.repartition(12), "sample")
+        taken = {int(r["label"]): r["count"] for r in sample.groupBy("label").count().collect()}
+        if len(taken) > 1:
+            telling = telling_words(sample, taken)
+            weights, bias = fitted(sample, telling)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            tokens, x = features(batch.column(1), telling)
+            logits = x.astype(np.float64) @ weights.T + bias
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), lists], ["row", "n_tokens", "p"])
+
+    schema = StructType([rows.schema["row"], StructField("n_tokens", LongType()), StructField("p", ArrayType(DoubleType()))])
+    return rows.select("row", "text").mapInArrow(score, schema)
+
+
+def fitted(sample: DataFrame, telling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of the domains by multinomial logistic regression on (text, label)."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = features(batch.column(0), telling)[1].astype(np.float64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([lists, batch.column(1)], ["x", "label"])
+
+    vectors = sample.select("text", "label").mapInArrow(measure, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
+    model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=FIT_STEPS).fit(vectors)
+    weights, bias = np.zeros((len(DOMAINS), RATIOS + len(telling))), np.full(len(DOMAINS), -1e9)
+    weights[: model.numClasses], bias[: model.numClasses] = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    return weights, bias
 
 
 def rate_of(steps: list[np.ndarray], p: list[Column]) -> Column:
@@ -129,24 +178,24 @@ def fitted_steps(rows: DataFrame, targets: list[float]) -> list[np.ndarray]:
         return []
     weight = np.linalg.inv(np.array([[square[f"m{i}{j}"] / total for j in k] for i in k]) + 1e-6 * np.eye(len(targets)))
     steps: list[np.ndarray] = []
+    last = np.full(len(targets), np.inf)
     for _ in range(MOST_STEPS):
         rate = rate_of(steps, p)
         found = rows.agg(*[F.sum(rate * n * p[i]) for i in k]).first()
         miss = (np.array(found, float) - np.array(targets)) / total
-        if np.abs(miss).max() < TOLERANCE:
+        # met, or as near as rates of 0 and more can come
+        if np.abs(miss).max() < TOLERANCE or np.abs(miss - last).max() < TOLERANCE:
             break
+        last = miss
         steps.append(weight @ miss)
     return steps
 
 
 def mixed_to(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with a struct ``mix``: n_tokens, p (by domain), rate, copies. ``shares`` are target shares of the token total."""
+    """``docs`` with a struct ``mix`` (``mix_`` if there is such a column): n_tokens, p (by domain), rate, copies. ``shares`` are target shares of the token total."""
     shares = SHARES if shares is None else shares
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "mix"]
-    rows = docs.select(F.struct(*kept).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = posteriors(rows, labels).drop("text", "doc_id")
-    scored = scored.withColumn("key", F.col("row.doc_id"))
-    scored = stored(scored, "posteriors")
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = stored(posteriors(rows, labels).withColumn("key", F.col("row.doc_id")), "posteriors")
     total = scored.agg(F.sum("n_tokens")).first()[0] or 0
     steps = fitted_steps(scored.select("n_tokens", "p"), [shares.get(d, 0.0) * total for d in DOMAINS])
     rate = F.when(F.col("n_tokens") == 0, 0.0).otherwise(F.round(rate_of(steps, [F.col("p")[i] for i in range(len(DOMAINS))]), 6))
@@ -154,13 +203,15 @@ def mixed_to(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None
     p = F.struct(*[F.round(F.col("p")[i], 6).alias(d) for i, d in enumerate(DOMAINS)]).alias("p")
     rows = scored.select("row", "n_tokens", p, rate.alias("rate"), part.alias("part"))
     copies = (F.floor("rate") + (F.col("part") < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
-    return rows.select("row.*", F.struct("n_tokens", "p", "rate", copies.alias("copies")).alias("mix"))
+    return rows.select("row.*", F.struct("n_tokens", "p", "rate", copies.alias("copies")).alias(free_name(docs, "mix")))
 
 
-def take(mixed: DataFrame) -> DataFrame:
-    """The rows of :func:`mixed_to` as often as ``copies`` says, without the struct."""
-    rows = mixed.filter("mix.copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies"))))
-    return rows.drop("mix", "copy")
+def taken(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
+    """``docs`` mixed: every row as often as its ``copies`` says; same columns."""
+    copies = F.col(f"{free_name(docs, 'mix')}.copies")
+    rows = mixed_to(docs, labels, shares).filter(copies > 0)
+    row = F.struct(*columns_of(docs)).alias("row")
+    return rows.select(row, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,7 +256,7 @@ def test_fingerprints_add_up_and_ignore_order(spark):
 
 def test_next_document_with_ties_and_nulls(spark, odd):
     docs = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = fingerprints.with_next(docs, {"body": F.col("text")}).collect()
+    found = fingerprints.with_next(docs, {"body": F.col("text")}).select("doc_id", "text", "next_body").collect()
     order = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
     want = [(*x, y[1]) for x, y in zip(order, order[1:] + order[:1])]
     assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
