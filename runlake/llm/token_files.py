@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,20 +35,31 @@ from runlake.llm.common import documents, fresh_path, ids_and_texts, slices
 END_ID = 2
 BLOCK_IDS = 1 << 20
 #: Pieces whose ids a worker remembers.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 1_000_000
 
 BLOCK = (
     "part int, seq int, n_docs int, n_ids long, part_start long, doc_ids array<bigint>, id_bytes int, ids binary, "
     "low_bits int, low binary, high binary"
 )
 
-#: Places where a byte-level pre-tokeniser always cuts, so that the pieces can be encoded one by one: between a Latin letter or
-#: a full stop or comma and what cannot continue it, before a single blank, and between a line feed and a letter.
-_CUT = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[ \n.,])|(?<=[.,])(?=[ \n])|(?<=\n)(?=[A-Za-zÀ-ÖØ-öø-ɏ])")
+#: A byte-level pre-tokeniser always cuts before a single blank between two other characters, between a Latin letter, full stop or
+#: comma and what cannot continue it, and between a line feed and a letter. So the pieces can be encoded one by one.
+_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BEFORE_BLANK = re.compile(r"(?<=\S)(?= \S)")
+_CUT = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[\n.,])|(?<=[.,])(?=\n)|(?<=\n)(?=[A-Za-zÀ-ÖØ-öø-ɏ])")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+
+def blanks_stand_alone(text: str) -> bool:
+    """True if every blank has other characters than white space on both sides."""
+    return not ("  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _OTHER_SPACE.search(text))
 
 
 class PieceEncoder:
-    """Ids of texts by the tokenizers library; pieces that return are encoded once."""
+    """Ids of texts by the tokenizers library; pieces that return are encoded once.
+
+    ``after_blank`` remembers what stands behind a blank, up to the next one; ``inner`` all other pieces.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,23 +68,54 @@ class PieceEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.id_bytes = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        self.kind = np.dtype(f"<u{self.id_bytes}")
-        self.end = np.array([END_ID], self.kind).tobytes()
-        self.memo: dict[str, bytes] = {}
+        self.code = "H" if self.id_bytes == 2 else "I"
+        self.end = array(self.code, [END_ID]).tobytes()
+        self.after_blank: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text, with the end id."""
-        cut = [_CUT.split(x) if x else [] for x in texts]
-        new = list({p for pieces in cut for p in pieces if p not in self.memo})
-        if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo.clear()
-            new = list({p for pieces in cut for p in pieces})
-        for start in range(0, len(new), 20_000):
-            some = new[start : start + 20_000]
-            for piece, found in zip(some, self.model.encode_batch(some, add_special_tokens=False), strict=True):
-                self.memo[piece] = np.array(found.ids, self.kind).tobytes()
-        memo, end = self.memo, self.end
-        return [b"".join([*map(memo.__getitem__, pieces), end]) for pieces in cut]
+        return [b"".join([*self.pieces_of(x), self.end]) if x else self.end for x in texts]
+
+    def pieces_of(self, text: str) -> list[bytes]:
+        if not blanks_stand_alone(text):
+            return self.known([p for q in _BEFORE_BLANK.split(text) for p in _CUT.split(q)])
+        first, *rest = text.split(" ")
+        found = list(map(self.after_blank.get, rest))
+        if None in found:
+            new = self.learned({p for p, ids in zip(rest, found, strict=True) if ids is None})
+            found = [new[p] if ids is None else ids for p, ids in zip(rest, found, strict=True)]
+        return [*self.known(_CUT.split(first)), *found]
+
+    def learned(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of pieces behind a blank that are not remembered yet."""
+        if len(self.after_blank) > MEMO_PIECES:
+            self.after_blank.clear()
+        parts = {p: _CUT.split(p) for p in missing}
+        words = list({x[0] for x in parts.values() if x[0] not in self.after_blank and _LETTERS.fullmatch(x[0])})
+        for start in range(0, len(words), 500):
+            some = words[start : start + 500]
+            found = self.model.encode(" " + " ".join(some), add_special_tokens=False)
+            edges = np.searchsorted(found.word_ids, np.arange(len(some) + 1)).tolist()
+            ids = array(self.code, found.ids)
+            self.after_blank.update({p: ids[a:b].tobytes() for p, a, b in zip(some, edges, edges[1:], strict=False)})
+        out = {}
+        for piece, (head, *tail) in parts.items():
+            begin = self.after_blank.get(head) if _LETTERS.fullmatch(head) else self.known([" " + head])[0]
+            out[piece] = b"".join([begin, *self.known(tail)]) if tail else begin
+        self.after_blank.update(out)
+        return out
+
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of each piece."""
+        new = list({p for p in pieces if p not in self.inner})
+        if new:
+            if len(self.inner) > MEMO_PIECES:
+                self.inner.clear()
+                new = list(set(pieces))
+            for piece, found in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
+                self.inner[piece] = array(self.code, found.ids).tobytes()
+        return [self.inner[p] for p in pieces]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -129,7 +172,7 @@ class Boundaries:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLOCK_IDS) -> None:
     """Encode (doc_id, text) and write the blocks to ``path``."""
-    ordered = ids_and_texts(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = ids_and_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, seq, written = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
