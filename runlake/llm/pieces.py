@@ -29,12 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from runlake.llm.common import documents, slices, stored
+from runlake.llm.common import columns_of, cut, documents, free_name, slices, stored
 
 CHUNK = 8192
 #: Words whose ids a worker remembers.
 MEMO_WORDS = 500_000
+#: The states of up to so many chunks are broadcast to them; more are joined.
+BROADCAST_CHUNKS = 1_000_000
 BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _BEGIN = re.compile(f"(?<=[^{BLANK}]){BLANK}")
@@ -64,16 +67,19 @@ class PieceModel:
 
     def merged(self, text: str) -> list[str]:
         """The BPE encoding as pieces; characters without a piece stay alone. The best-scored, leftmost pair merges first."""
-        parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
+        parts, score = list(text), self.scores.get
+        pairs = [score(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            best = max(pairs)
+            if best == NEVER:
                 break
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at], NEVER)
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1], NEVER)
         return parts
 
     def compatible(self, left: str | None, right: str) -> bool:
@@ -272,7 +278,7 @@ def traced_ids(model: PieceModel, row: dict) -> bytes:
 
 def giant_ids(rows: DataFrame, path: str, chunk: int) -> DataFrame:
     """For (row, text): row, ids (packed)."""
-    cuts = stored(rows.mapInArrow(lambda b: chunks(b, model_of(path).longest, chunk), CHUNKS).repartition("row", "chunk"), "chunks")
+    cuts = stored(rows.mapInArrow(lambda b: chunks(b, model_of(path).longest, chunk), CHUNKS), "chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
@@ -295,7 +301,9 @@ def giant_ids(rows: DataFrame, path: str, chunk: int) -> DataFrame:
             out = [traced_ids(model, r) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["row", "chunk", "ids"])
 
-    parts = cuts.join(ways, ["row", "chunk"]).select("row", "chunk", "last", "text", "cut", "stop", "enter", "leave")
+    ways = cut(ways)
+    few = ways.count() <= BROADCAST_CHUNKS
+    parts = cuts.join(F.broadcast(ways) if few else ways, ["row", "chunk"]).select("row", "chunk", "last", "text", "cut", "stop", "enter", "leave")
     parts = parts.mapInArrow(trace, "row long, chunk int, ids binary")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda p: p["ids"])
     joined = F.aggregate(ordered, F.unhex(F.lit("")), lambda a, b: F.concat(a, b))
@@ -303,9 +311,8 @@ def giant_ids(rows: DataFrame, path: str, chunk: int) -> DataFrame:
 
 
 def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with a binary column ``piece_ids`` added: the ids as little-endian 32-bit integers."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "piece_ids"]
-    rows = docs.select(F.struct(*kept).alias("kept"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """``docs`` with a binary column ``piece_ids`` (``piece_ids_`` if there is one): the ids as little-endian 32-bit integers."""
+    rows = docs.select(F.struct(*columns_of(docs)).alias("kept"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     giant = F.length("text") >= chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,28 +321,25 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
             ids = pa.array([model.encode(x) for x in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["kept", "ids"])
 
-    schema = f"kept {rows.schema['kept'].dataType.simpleString()}, ids binary"
+    schema = StructType([rows.schema["kept"], StructField("ids", BinaryType())])
     usual = rows.filter(~giant).mapInArrow(whole, schema)
-    giants = stored(rows.filter(giant).withColumn("row", F.monotonically_increasing_id()), "giants")
-    long = giants.select("row", "kept").join(giant_ids(giants.select("row", "text"), path, chunk), "row")
-    return usual.unionByName(long.select("kept", "ids")).select("kept.*", F.col("ids").alias("piece_ids"))
+    giants = stored(rows.filter(giant).select(F.monotonically_increasing_id().alias("row"), "kept"), "giants")
+    long = giants.join(giant_ids(giants.select("row", F.col("kept.text").cast("string").alias("text")), path, chunk), "row")
+    return usual.unionByName(long.select("kept", "ids")).select("kept.*", F.col("ids").alias(free_name(docs, "piece_ids")))
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "piece_ids") -> DataFrame:
-    """``rows`` with a string column ``decoded`` added, from the ids alone."""
-    kept = [c for c in rows.columns if c != "decoded"]
-    rows = rows.select(*[F.col(f"`{c}`") for c in kept])
-    at = kept.index(ids)
+    """``rows`` with a string column ``decoded`` (``decoded_`` if there is one), from the ids alone."""
+    name, at = free_name(rows, "decoded"), rows.columns.index(ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, byte_of = model_of(path).names, model_of(path).byte_of
         as_bytes = [bytes([byte_of[i]]) if i in byte_of else n.replace(BLANK, " ").encode() for i, n in enumerate(names)]
         for batch in slices(batches, column=ids):
             texts = [b"".join(map(as_bytes.__getitem__, array("I", x or b"")))[1:].decode(errors="replace") for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "decoded string"])
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(work, StructType([*rows.schema.fields, StructField(name, StringType())]))
 
 
 def default_model() -> str:
