@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlake.llm.common import MIX_A, MIX_B, byte_words, cut, documents, ids_and_texts, mixed, range_hashes, raw_text, slices, stored
+from runlake.llm.common import MIX_A, MIX_B, byte_words, columns_of, cut, documents, ids_and_texts, mixed, range_hashes, raw_text, slices, stored
 from runlake.llm.components import components
 
 CELL_BITS, CLASS_SHIFT, FRAGMENT_SHIFT = 20, 57, 54
 LIGHT_FRAGMENTS = 1 << (CLASS_SHIFT - FRAGMENT_SHIFT)
-#: Up to so many node ids are broadcast to pick their documents; more are joined.
+#: Up to so many node ids, or candidate pairs, are broadcast to their documents or fragments; more are joined.
 BROADCAST_NODES = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -144,7 +144,7 @@ def fragments(docs: DataFrame, wanted: DataFrame, size: int, classes) -> DataFra
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32()), lists], ["node", "fragment", "shingles"])
 
-    return rows.mapInArrow(work, "node long, fragment int, shingles array<bigint>").dropDuplicates(["node", "fragment"])
+    return rows.mapInArrow(work, "node long, fragment int, shingles array<bigint>")
 
 
 def needed(percent: int):
@@ -162,9 +162,12 @@ def linked(pairs: DataFrame, shared: DataFrame, cut_sets, percent: int) -> DataF
     rest = F.when(F.col("la") == F.col("lb"), F.ceil(F.lit(percent) * F.least("na", "nb") / 100) - 1).otherwise(rest)
     heads = cut(heads.filter(F.size(F.array_intersect("pa", "pb")) + rest >= needed(percent)).select("a", "na", "b", "nb"))
     parts = cut_sets(heads.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    left = heads.join(parts.select(F.col("node").alias("a"), "fragment", F.col("shingles").alias("sa")), "a")
+    few = heads.count() <= BROADCAST_NODES
+    left = (F.broadcast(heads) if few else heads).join(parts.select(F.col("node").alias("a"), "fragment", F.col("shingles").alias("sa")), "a")
     partial = left.join(parts.select(F.col("node").alias("b"), "fragment", F.col("shingles").alias("sb")), ["b", "fragment"])
-    partial = partial.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("overlap"))
+    partial = partial.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("sa", "sb")).cast("long").alias("overlap"))
+    # one count per fragment, also where a repeated row brought its fragments twice
+    partial = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("overlap").alias("overlap"))
     return cut(partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap")).filter(F.col("overlap") >= needed(percent)))
 
 
@@ -224,7 +227,7 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of linked ones: the one with the smallest ``doc_id``; same columns."""
     kept = joined(ids_and_texts(docs), size, percent).filter("component_id = doc_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*columns_of(docs))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
