@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlake.llm.common import MIX_A, MIX_B, cut, mixed, slices, stored
+from runlake.llm.common import MIX_A, MIX_B, POLYNOMIAL, POLYNOMIAL_INVERSE, cut, mixed, powers, slices, stored
 
 NO_ID = (1 << 63) - 1
 HOT_DOCUMENTS = 20_000
@@ -40,11 +40,17 @@ _PLACE = np.uint64((1 << 24) - 1)
 
 class Units:
     """How a text is read: :meth:`of` gives the units of all texts end to end and where each text starts, :meth:`grams` the hashes
-    of the grams that start at each unit, :meth:`pack` the units as bytes."""
+    of the grams that start at each unit.
+
+    ``size`` and ``gram`` are the units of a window and of a gram; ``shards`` is the number of shards for each shuffle partition, ``batch``
+    the bytes of text that are looked at together.
+    """
 
     size: int
     gram: int
     kind: np.dtype
+    shards: int = 2
+    batch: int = 3 << 20
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
@@ -124,7 +130,7 @@ def shared_anchors(rows: DataFrame, how: Units, buckets: int, hot: int) -> DataF
     """Anchors of two or more documents, packed by bucket of their rows: row, anchor, owner (the hash of the owner, 0 if hot)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, how.batch):
             ids, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             units, bounds = how.of(batch.column(2))
             _, text, anchors = anchored(units, bounds, how)
@@ -166,13 +172,14 @@ def regions(rows: DataFrame, shared: DataFrame, how: Units, buckets: int) -> Dat
     def cut_out(docs: pa.Table, anchors: pa.Table) -> pa.Table:
         from_rows, from_anchors = together(anchors["rows"], np.int64), together(anchors["anchors"], np.uint64)
         owners = together(anchors["owners"], np.uint64)
-        found: list[tuple] = []
-        texts: dict[tuple, tuple] = {}
+        seen: list[np.ndarray] = []
+        firsts: list[np.ndarray] = []
+        contents: list[bytes] = []
         if len(from_rows) and docs.num_rows:
             order = np.lexsort((from_anchors, from_rows))
             from_rows, from_anchors, owners = from_rows[order], from_anchors[order], owners[order]
             known = docs.filter(pc.is_in(docs["row"], value_set=pa.array(np.unique(from_rows)))).combine_chunks()
-            for batch in slices(known.to_batches()):
+            for batch in slices(known.to_batches(), how.batch):
                 ids, doc = batch.column(batch.schema.get_field_index("row")).to_numpy(), batch.column(batch.schema.get_field_index("doc")).to_numpy()
                 units, bounds = how.of(batch.column(batch.schema.get_field_index("text")))
                 starts, text, a = anchored(units, bounds, how)
@@ -191,36 +198,41 @@ def regions(rows: DataFrame, shared: DataFrame, how: Units, buckets: int) -> Dat
                 if hot.any():
                     owner[hot] = mixed(a[hot] + second_anchors(units, starts, how)[hot] * MIX_A) | np.uint64(1)
                 runs = first_of_runs(text, owner)
-                stops = np.append(runs[1:], len(owner))
-                for b, e in zip(runs.tolist(), stops.tolist(), strict=True):
-                    if owner[b]:
-                        u, v, i = int(starts[b]), int(starts[e - 1]) + how.size, int(text[b])
-                        content = units[u:v].tobytes()
-                        name = content_hash(units[u:v])
-                        shard = int(owner[b] % np.uint64(buckets))
-                        found.append((shard, name, int(ids[i]), int(doc[i]), u - int(bounds[i]), v - u, None))
-                        if (shard, name) not in texts or texts[shard, name][0] > int(doc[i]):
-                            texts[shard, name] = (int(doc[i]), v - u, content)
-        found += [(shard, name, None, doc, None, n, content) for (shard, name), (doc, n, content) in texts.items()]
-        fields = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
-        columns = list(zip(*found, strict=True)) if found else [[]] * 7
-        return pa.table([pa.array(c, k) for c, k in zip(columns, fields, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+                last = np.append(runs[1:], len(owner)) - 1
+                runs, last = runs[owner[runs] != 0], last[owner[runs] != 0]
+                if not len(runs):
+                    continue
+                begin, end, i = starts[runs], starts[last] + how.size, text[runs]
+                name, shard = unit_range_hashes(units, begin, end).view(np.int64), (owner[runs] % np.uint64(buckets)).astype(np.int64)
+                seen.append(np.stack([shard, name, ids[i], doc[i], begin - bounds[i], end - begin]))
+                order = np.lexsort((doc[i], name, shard))
+                once = order[first_of_runs(shard[order], name[order])]
+                contents += [units[u:v].tobytes() for u, v in zip(begin[once].tolist(), end[once].tolist(), strict=True)]
+                firsts.append(np.stack([shard[once], name[once], doc[i][once], (end - begin)[once]]))
+        none = np.zeros((6, 0), np.int64)
+        shard, name, row, doc, start, size = np.concatenate([none, *seen], axis=1)
+        occurrences = [shard.astype(np.int32), name, row, doc, start, size]
+        shard, name, doc, size = np.concatenate([none[:4], *firsts], axis=1)
+        order = np.lexsort((doc, name, shard))
+        once = order[first_of_runs(shard[order], name[order])]
+        texts = [contents[k] for k in once.tolist()]
+        kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
+        names = [x.split()[0] for x in PIECES.split(", ")]
+        first = [pa.array(c, k) for c, k in zip(occurrences, kinds, strict=False)] + [pa.nulls(len(row), pa.binary())]
+        empty = pa.nulls(len(once), pa.int64())
+        second = [pa.array(shard[once].astype(np.int32)), pa.array(name[once]), empty, pa.array(doc[once]), empty, pa.array(size[once]), pa.array(texts, pa.binary())]
+        return pa.concat_tables([pa.table(first, names=names), pa.table(second, names=names)])
 
     return dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(cut_out, PIECES)
 
 
-def content_hash(units: np.ndarray) -> int:
-    """A 64-bit hash of a row of units."""
+def unit_range_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of units, equal for equal contents."""
+    n = len(units)
     with np.errstate(over="ignore"):
-        if units.dtype != np.uint64:
-            whole = np.zeros(-(-len(units) // 8) * 8, np.uint8)
-            whole[: len(units)] = units
-            words = whole.view(np.uint64)
-        else:
-            words = units
-        places = np.arange(1, len(words) + 1, dtype=np.uint64) * MIX_A
-        total = mixed(words ^ mixed(places)).sum(dtype=np.uint64) + np.uint64(len(units)) * MIX_B
-        return int(mixed(np.array([total])).view(np.int64)[0])
+        terms = mixed(units.astype(np.uint64) + MIX_B) * powers(POLYNOMIAL, n)[:n]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+        return mixed((sums[ends] - sums[starts]) * powers(POLYNOMIAL_INVERSE, n)[starts] + (ends - starts).astype(np.uint64) * MIX_B)
 
 
 def repeated_spans(rows: DataFrame, how: Units, least_docs: Callable, hot: int = HOT_DOCUMENTS) -> DataFrame:
@@ -229,7 +241,7 @@ def repeated_spans(rows: DataFrame, how: Units, least_docs: Callable, hot: int =
     ``least_docs(contents, docs)`` is the index of a shard: for each region the smallest doc of each of its windows.
     """
     spark = rows.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = how.shards * int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = stored(regions(rows, shared_anchors(rows, how, buckets, hot), how, buckets), "regions")
 
     def answer(table: pa.Table) -> pa.Table:
