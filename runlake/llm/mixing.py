@@ -162,10 +162,11 @@ def fitted(sample: DataFrame, telling: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def rate_of(steps: list[np.ndarray], p: list[Column]) -> Column:
     """The rate after the given steps from 1."""
-    rate = F.lit(1.0)
-    for step in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum(F.lit(float(s)) * q for s, q in zip(step, p, strict=True)))
-    return rate
+    if not steps:
+        return F.lit(1.0)
+    # one expression over a table of steps: nested ones would make the plan longer with every step
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
+    return F.aggregate(table, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate - sum(step[i] * q for i, q in enumerate(p))))
 
 
 def fitted_steps(rows: DataFrame, targets: list[float]) -> list[np.ndarray]:
