@@ -202,7 +202,8 @@ def mixed_to(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None
     rate = F.when(F.col("n_tokens") == 0, 0.0).otherwise(F.round(rate_of(steps, [F.col("p")[i] for i in range(len(DOMAINS))]), 6))
     part = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1_000_000)) / 1e6
     p = F.struct(*[F.round(F.col("p")[i], 6).alias(d) for i, d in enumerate(DOMAINS)]).alias("p")
-    rows = scored.select("row", "n_tokens", p, rate.alias("rate"), part.alias("part"))
+    # the rate first: in one select its ``p`` would be taken for the new struct
+    rows = scored.withColumn("rate", rate).select("row", "n_tokens", p, "rate", part.alias("part"))
     copies = (F.floor("rate") + (F.col("part") < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     return rows.select("row.*", F.struct("n_tokens", "p", "rate", copies.alias("copies")).alias(free_name(docs, "mix")))
 
