@@ -43,10 +43,11 @@ BLOCK = (
 )
 
 #: A byte-level pre-tokeniser always cuts before a single blank between two other characters, between a Latin letter, full stop or
-#: comma and what cannot continue it, and between a line feed and a letter. So the pieces can be encoded one by one.
+#: comma and what cannot continue it, and between a line feed and a letter if no white space stands before the line feed (of a run
+#: of white space the last one is apart before a letter, but not at the end of a piece). So the pieces can be encoded one by one.
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= \S)")
-_CUT = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[\n.,])|(?<=[.,])(?=\n)|(?<=\n)(?=[A-Za-zÀ-ÖØ-öø-ɏ])")
+_CUT = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[\n.,])|(?<=[.,])(?=\n)|(?<=\S\n)(?=[A-Za-zÀ-ÖØ-öø-ɏ])")
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
 

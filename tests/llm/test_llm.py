@@ -325,6 +325,17 @@ def test_token_files_hold_what_the_library_gives(spark, odd, tmp_path):
     assert sorted(map(tuple, found.collect()), key=lambda r: r[1]) == want
 
 
+def test_pieces_of_white_space_and_letters_are_those_of_whole_texts():
+    import public_tokenizers
+
+    model = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(10)
+    texts = ["foo.\n\nBar", "foo\n\n\n\nBar", " a\n\nb", "\n\nB", "\n\n\n\nB", "\r\nB", "\t\nB", "a b\n\nc d\ne"]
+    texts += ["".join(rng.choices("aBé \n\n\t\r.,\x85", k=rng.randint(1, 12))) for _ in range(5000)]
+    for text, packed in zip(texts, model.encode(texts), strict=True):
+        assert np.frombuffer(packed, f"<u{model.id_bytes}").tolist() == [*model.model.encode(text, add_special_tokens=False).ids, token_files.END_ID], text
+
+
 def test_elias_fano_boundaries():
     rng = np.random.default_rng(2)
     for n, top in ((1, 1), (5, 3), (700, 40), (1000, 100_000)):
