@@ -2,7 +2,7 @@
 
 A text is a multiset of pieces: it is cut at line feeds and after ``. ! ?`` followed by a blank (the blank stays with its
 piece, so nothing of the text is lost). Every piece is hashed to ``LANES`` = 128 bits (MD5), taken as a vector of 128 zeros
-and ones; the fingerprint is the number of pieces and the sum of their vectors, each lane modulo 2^16. Hence
+and ones; the fingerprint is the number of pieces and the sum of their vectors, each lane in 32 bits (written out modulo 2^16). Hence
 
 * equal texts, and texts with the same pieces in another order, have equal fingerprints;
 * the fingerprint of ``a + "\\n" + b`` is the lane-wise sum of both (:func:`combined`), and a piece is taken out again by
@@ -12,7 +12,7 @@ and ones; the fingerprint is the number of pieces and the sum of their vectors,
 
 Null text counts as empty: one empty piece. Repeated rows each get their row; the next document after a repeated ``doc_id``
 follows the order (doc_id descending, then text ascending); a null ``doc_id`` comes last. A single document is its own next
-one. Counts beyond 65,535 pieces wrap: equality and sums stay exact, likeness is then only a rough figure.
+one. No lane of a text overflows, as a text has less than 2^31 pieces; sums of several fingerprints are exact below 2^31 pieces.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from runlake.llm.common import documents, ids_and_texts
 
-LANES, WIDTH = 128, 65536
+LANES, WIDTH = 128, 1 << 32
 #: Rows for which one range of ids is meant, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 2000, 2048
 
@@ -39,18 +39,21 @@ def _word(piece: Column, half: int) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """Struct of the piece count ``n`` and 32 ``sums`` of four packed 16-bit lanes each, made in one pass over the pieces."""
-    every_16th = F.lit(0x0001000100010001)
+    """Struct of the piece count ``n`` and 64 ``sums`` of two packed 32-bit lanes each, made in one pass over the pieces.
+
+    Sum ``32 * h + j`` has bits ``j + 32`` and ``j`` of word ``h`` of each piece.
+    """
+    every_32nd = F.lit(0x0000000100000001)
     words = F.transform(pieces(text), lambda p: F.struct(_word(p, 0).alias("hi"), _word(p, 1).alias("lo")))
 
     def counted(w: Column) -> Column:
-        return F.array(F.lit(1).cast("long"), *[F.shiftrightunsigned(w[h], j).bitwiseAND(every_16th) for h in ("hi", "lo") for j in range(16)])
+        return F.array(F.lit(1).cast("long"), *[F.shiftrightunsigned(w[h], j).bitwiseAND(every_32nd) for h in ("hi", "lo") for j in range(32)])
 
     return F.aggregate(
         words,
-        F.array_repeat(F.lit(0).cast("long"), 33),
+        F.array_repeat(F.lit(0).cast("long"), 65),
         lambda total, w: F.zip_with(total, counted(w), lambda x, y: x + y),
-        lambda total: F.struct(total[0].alias("n"), F.slice(total, 2, 32).alias("sums")),
+        lambda total: F.struct(total[0].alias("n"), F.slice(total, 2, 64).alias("sums")),
     )
 
 
@@ -60,9 +63,12 @@ def combined(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def as_hex(print_: Column) -> Column:
-    """The piece count (8 hex digits) and the lanes (4 digits each)."""
+    """The piece count (8 hex digits) and the lanes modulo 2^16 (4 digits each; bits 48 + j, 32 + j, 16 + j and j of a word follow each other)."""
     count = F.lpad(F.lower(F.hex(print_["n"])), 8, "0")
-    return F.concat(count, F.array_join(F.transform(print_["sums"], lambda s: F.lpad(F.lower(F.hex(s)), 16, "0")), ""))
+    sums, low = print_["sums"], F.lit(0x0000FFFF0000FFFF)
+    # sums j and j + 16 of a word: the upper one moves into the gaps of the lower one
+    pairs = F.zip_with(F.concat(F.slice(sums, 17, 16), F.slice(sums, 49, 16)), F.concat(F.slice(sums, 1, 16), F.slice(sums, 33, 16)), lambda u, v: F.shiftleft(u.bitwiseAND(low), 16).bitwiseOR(v.bitwiseAND(low)))
+    return F.concat(count, F.array_join(F.transform(pairs, lambda s: F.lpad(F.lower(F.hex(s)), 16, "0")), ""))
 
 
 def lanes(print_: Column) -> Column:
@@ -70,13 +76,13 @@ def lanes(print_: Column) -> Column:
     return F.flatten(
         F.transform(
             print_["sums"],
-            lambda s: F.array(*[2 * F.shiftrightunsigned(s, 16 * i).bitwiseAND(F.lit(WIDTH - 1)) - print_["n"] for i in (3, 2, 1, 0)]),
+            lambda s: F.array(*[2 * F.shiftrightunsigned(s, 32 * i).bitwiseAND(F.lit(WIDTH - 1)) - print_["n"] for i in (1, 0)]),
         )
     )
 
 
 def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def likeness(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:

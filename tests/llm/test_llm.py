@@ -262,6 +262,18 @@ def test_next_document_with_ties_and_nulls(spark, odd):
     assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
 
 
+def test_fingerprints_of_very_many_pieces_equal_sql(spark, tmp_path):
+    """More than 65,535 equal pieces, and 200,000 different ones."""
+    rng = random.Random(12)
+    many = "\n".join(f"{rng.randrange(10**9)}" for _ in range(200_000))
+    rows = [(1, "\n" * 70_000), (2, many), (3, "one line\n" * 150_000), (4, many[: len(many) // 2] + "x. y"), (5, "a short text. of two pieces")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = fingerprints.op6_fingerprints(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(con.sql(fingerprints.OP6_SQL).select(*found.columns).fetchall())
+
+
 def test_next_document_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
     docs = spark.createDataFrame([(i * i, f"t{i}") for i in range(100)], "doc_id long, text string")
