@@ -2,7 +2,9 @@
 
 Two lines are near if their edit distance in code points is at most ``MAX_EDITS`` = 1. A line (text between line feeds, with
 its white space) of ``MIN_CHARS`` or more code points is removed if a near or equal line of ``MIN_CHARS`` or more stands earlier in the corpus, that is at
-a smaller (doc_id, line number). Lines are judged on the input, not on what is left; shorter lines stay.
+a smaller (doc_id, line number). Lines are judged on the input, not on what is left; shorter lines stay in :func:`dedup_lines` and
+the query, as its SQL says. With ``short`` (:func:`without_repeats`, so the pipeline), a shorter line goes too if an equal one stands
+earlier; near matches keep the floor. Blank lines (nothing but white space) of less than ``MIN_CHARS`` stay: they part paragraphs.
 
 1. Equal lines are one entry with their earliest place (partial aggregation, so a line in a third of all documents is one row).
 2. Two near lines share their first or their last ``m // 2`` code points, ``m`` being the shorter length. Entries that share no
@@ -37,10 +39,12 @@ BROADCAST_LINES = 1_000_000
 _LINE_SPAN = 1 << 31
 
 
-def long_lines(docs: DataFrame) -> DataFrame:
-    """The lines that take part: key, line_no, line, and their hashes ``h``, ``g`` (128 bits together)."""
+def lines_of(docs: DataFrame, short: bool = False) -> DataFrame:
+    """The lines that take part (with ``short`` those under the floor too, but blank ones): key, line_no, line, and their hashes
+    ``h``, ``g`` (128 bits together)."""
     lines = docs.select("key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.filter(F.char_length("line") >= MIN_CHARS)
+    long = F.char_length("line") >= MIN_CHARS
+    lines = lines.filter(long | F.col("line").rlike(r"(?U)\S") if short else long)
     return lines.select("key", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
@@ -61,8 +65,9 @@ def half_keys(line: Column) -> list[Column]:
 
 
 def entries(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: h, g, its half keys, its earliest place and its number of places."""
-    keyed = lines.select("h", "g", F.array(*half_keys(F.col("line"))).alias("halves"), place(F.col("key"), F.col("line_no")).alias("at"))
+    """One row per distinct line: h, g, its half keys (null under the floor), its earliest place and its number of places."""
+    halves = F.when(F.char_length("line") >= MIN_CHARS, F.array(*half_keys(F.col("line"))))
+    keyed = lines.select("h", "g", halves.alias("halves"), place(F.col("key"), F.col("line_no")).alias("at"))
     keyed = keyed.select("h", "g", *[F.col("halves")[i].alias(f"k{i}") for i in range(4)], "at")
     return keyed.groupBy("h", "g", "k0", "k1", "k2", "k3").agg(F.min("at").alias("first"), F.count("*").alias("places"))
 
@@ -128,6 +133,7 @@ def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_places(found: DataFrame, docs: DataFrame) -> DataFrame:
     """For lines (h, g) with a near line at an earlier place: that place, ``near_first``."""
+    found = found.filter("k0 IS NOT NULL")
     halves = found.select("h", F.explode(F.array("k0", "k1", "k2", "k3")).alias("half"))
     candidates = found.join(shares(halves, "half").select("h").distinct(), "h", "left_semi").select("h", "g", "first")
     spans = F.lit(_LINE_SPAN).cast("decimal(11,0)")
@@ -161,9 +167,9 @@ def near_places(found: DataFrame, docs: DataFrame) -> DataFrame:
     return checked.groupBy("h", "g").agg(F.min("other").alias("near_first"))
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, short: bool = False) -> DataFrame:
     """For (key, text): the numbers of the lines that go, as ``gone``, for each key that loses any."""
-    lines = long_lines(docs)
+    lines = lines_of(docs, short)
     found = stored(entries(lines), "lines")
     near = near_places(found, docs)
     decided = found.join(near, ["h", "g"], "left").select("h", "g", F.least("first", "near_first").alias("earliest"), "places", "near_first")
@@ -173,11 +179,14 @@ def removals(docs: DataFrame) -> DataFrame:
     return gone.groupBy("key").agg(F.collect_set("line_no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct ``lines`` (``lines_`` if there is such a column): n_lines, n_removed, kept_text."""
+def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """``docs`` with a struct ``lines`` (``lines_`` if there is such a column): n_lines, n_removed, kept_text.
+
+    ``short``: equal lines under ``MIN_CHARS`` go too.
+    """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1))
     texts = docs.select(key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = docs.select(key.alias("key"), F.struct(*columns_of(docs)).alias("row")).join(removals(texts), "key", "left")
+    rows = docs.select(key.alias("key"), F.struct(*columns_of(docs)).alias("row")).join(removals(texts, short), "key", "left")
     rows = rows.withColumn("all", F.split(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "\n", -1))
     left = F.filter("all", lambda x, i: ~F.array_contains(F.col("gone"), i))
     rows = rows.withColumn("left", F.when(F.col("gone").isNull(), F.col("all")).otherwise(left))
@@ -190,8 +199,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that go; same columns."""
-    return with_text(dedup_lines(docs), docs, F.col(f"{free_name(docs, 'lines')}.kept_text"))
+    """``docs`` without the lines that go, short repeats among them; same columns."""
+    return with_text(dedup_lines(docs, short=True), docs, F.col(f"{free_name(docs, 'lines')}.kept_text"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -398,6 +398,13 @@ def test_lines_equal_brute_force(spark):
     assert {r.doc_id: tuple(r)[1:] for r in found} == want and len(found) == len(rows)
 
 
+def test_short_lines_go_if_equal(spark):
+    rows = [(1, "Share\n\nRead more\n \u3000\nShare"), (2, "Shore\n\nRead more\n \u3000\nRead  more"), (3, "Share"), (None, "x\nShore")]
+    found = lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {1: "Share\n\nRead more\n \u3000", 2: "\n \u3000\nRead  more", 3: "", None: "x\nShore"}
+    assert {r.doc_id: r.text for r in found} == want
+
+
 def test_lines_of_odd_rows(spark, odd):
     out = lines.without_repeats(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
