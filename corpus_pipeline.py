@@ -1,8 +1,8 @@
 """The corpus pipeline: documents in five stages, each written as Parquet and read again.
 
 1. ``quality``: lines that fail the line rules go, then documents that lost too much or fail the base rules.
-2. ``lines``: lines that repeat an earlier one, exactly (of any length, but for blank ones) or but for one edit, go. A document that loses all its lines stays as an
-   empty text (stage 4 gives it no copies).
+2. ``lines``: lines that repeat an earlier one, exactly (of any length, but for blank ones) or but for one edit or one word,
+   go. A document that loses all its lines stays as an empty text (stage 4 gives it no copies).
 3. ``near_duplicates``: of documents linked by five-word shingles at a similarity of 0.8 the one with the smallest id stays.
 4. ``mixture``: documents are taken as often as their rate for the target domain weights says.
 5. ``pieces``: ids of the SentencePiece model, decoded again as a check.

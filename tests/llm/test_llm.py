@@ -405,6 +405,35 @@ def test_short_lines_go_if_equal(spark):
     assert {r.doc_id: r.text for r in found} == want
 
 
+def test_lines_with_one_other_word_equal_brute_force(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcé", k=rng.randint(1, 40)))
+    base = [[word() for _ in range(rng.choice([7, 8, 9, 30, 60]))] for _ in range(14)]
+    rows = []
+    for i in range(60):
+        some = []
+        for _ in range(rng.randint(1, 4)):
+            line = list(rng.choice(base))
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                k = rng.randrange(len(line))
+                line[k : k + rng.randrange(2)] = [word()] * rng.randrange(2)
+            some.append(" ".join(line))
+        rows.append((i, "\n".join(some)))
+    places = [(i, k, x) for i, t in rows for k, x in enumerate(t.split("\n"))]
+
+    def near(x, y):
+        v, w = x.split(" "), y.split(" ")
+        if x == y or min(len(x), len(y)) < lines.MIN_CHARS:
+            return x == y
+        if abs(len(x) - len(y)) < 2 and distance(x, y) <= 1:
+            return True
+        return min(len(v), len(w)) >= lines.MIN_WORDS and abs(len(v) - len(w)) < 2 and distance(v, w) <= 1
+
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if not any((j, m) < (i, k) and near(x, y) for j, m, y in places)) for i, t in rows}
+    found = lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in found} == want
+
+
 def test_lines_of_odd_rows(spark, odd):
     out = lines.without_repeats(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
