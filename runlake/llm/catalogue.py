@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runlake.llm import fingerprints, fm_index, jaccard, lines, mixing, pieces, quality, sharding, suffix_arrays, token_files
+from runlake.llm import fingerprints, fm_index, jaccard, lines, mixing, pieces, quality, repair, sharding, suffix_arrays, token_files
 
 LLM_QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ LLM_QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_conversation_repair": repair.op11_conversation_repair,
 }
 
 LLM_ORACLES = {
@@ -25,4 +26,5 @@ LLM_ORACLES = {
     "op6_fingerprints": fingerprints.OP6_SQL,
     "op9_line_dedup": lines.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op11_conversation_repair": repair.OP11_SQL,
 }
