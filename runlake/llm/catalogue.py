@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runlake.llm import fingerprints, fm_index, jaccard, lines, minhash, mixing, pieces, quality, repair, sharding, suffix_arrays, token_files
+from runlake.llm import fingerprints, fm_index, jaccard, lines, minhash, mixing, pieces, prefix_trie, quality, repair, sharding, suffix_arrays, token_files
 
 LLM_QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ LLM_QUERIES = {
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_conversation_repair": repair.op11_conversation_repair,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_minhash_dedup": minhash.op13_minhash_dedup,
 }
 
@@ -28,5 +29,6 @@ LLM_ORACLES = {
     "op9_line_dedup": lines.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,
     "op11_conversation_repair": repair.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
     "op13_minhash_dedup": minhash.OP13_SQL,
 }

@@ -8,9 +8,12 @@ import zlib
 from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
+import pytest
+
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-from runlake.llm import repair  # noqa: E402
+from runlake.llm import prefix_trie, repair  # noqa: E402
 
 SCHEMA = "conv_id long, turn long, role string, text string, copies string, `nr` int, `a b` int"
 
@@ -136,3 +139,81 @@ def test_repaired_rows_are_sound(spark):
 
 def test_repair_of_an_empty_table(spark):
     assert repair.repair_report(repair.damaged(table(spark, []))).collect() == []
+
+
+# --- 12
+
+
+def brute_trie(rows):
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            own[conv].append((turn is not None, turn or 0, hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest(), role, text))
+    own = {c: [t[3:] for t in sorted(ts)] for c, ts in own.items()}
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        block = c - (abs(c) % 100) * (1 if c >= 0 else -1)
+        seq = tuple(own.get(block, [])[:h] + turns[h:])
+        ends[seq].append(c)
+        for d in range(len(seq) + 1):
+            members[seq[:d]].append(c)
+    children = defaultdict(set)
+    for seq in members:
+        if seq:
+            children[seq[:-1]].add(seq)
+
+    @functools.cache
+    def below(seq):
+        parts = [below(c) for c in children[seq]]
+        mine = (len(members[seq]) - 1) * len(seq[-1][1]) if seq else 0
+        return sum(p[0] for p in parts) or (0 if parts else 1), mine + sum(p[1] for p in parts)
+
+    return sorted(
+        (
+            (min(m), len(seq), min(members[seq[:-1]]) if seq else None, len(m), len(children[seq]), *below(seq),
+             hashlib.sha256(",".join(map(str, sorted(ends[seq]))).encode()).hexdigest())
+            for seq, m in members.items()
+        ),
+        key=str,
+    )
+
+
+def shared_starts(seed):
+    rng = random.Random(seed)
+    rows = odd_rows()
+    for conv in range(1000, 1400):
+        for turn in range(rng.choice((1, 2, 3, 3, 4, 70))):
+            rows.append((conv, turn, "user", f"t{rng.choice((0, 0, 0, 1)) if turn < 66 else rng.randrange(9)}"))
+    rows += [(conv, t, "user", "same") for conv in range(2000, 2300) for t in range(3)]
+    return rows
+
+
+@pytest.mark.parametrize("shard", [400_000, 60])
+def test_trie_equals_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(prefix_trie, "SHARD_TURNS", shard)
+    sys.setrecursionlimit(20_000)
+    rows = shared_starts(1)
+    found = prefix_trie.trie(prefix_trie.rebuilt(table(spark, rows)))
+    assert sorted(map(tuple, found.collect()), key=str) == brute_trie(rows)
+
+
+def test_sorted_matrix_equals_sorted_lists():
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(1, 3, rng.choice((0, 1, 2, 40, 70))).tolist() for _ in range(200)] + [[1] * k for k in range(31, 100)] * 2
+    conv = rng.permutation(len(lists))
+    offsets = np.cumsum([0, *map(len, lists)])
+    order, shared = prefix_trie.lexsorted(conv, np.concatenate(lists).astype(np.int64), offsets)
+    want = sorted(range(len(lists)), key=lambda i: (lists[i], conv[i]))
+    assert order.tolist() == want
+    for k in range(1, len(want)):
+        a, b = lists[want[k - 1]], lists[want[k]]
+        assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_trie_of_few_conversations(spark):
+    assert prefix_trie.trie(prefix_trie.rebuilt(table(spark, []))).collect() == []
+    turnless = table(spark, [(-5, None, None, None), (None, 1, "user", "left out")])
+    found = prefix_trie.trie(prefix_trie.rebuilt(turnless)).collect()
+    assert sorted(map(tuple, found), key=str) == brute_trie([(-5, None, None, None)])
