@@ -5,7 +5,8 @@ whole sequence if it has fewer words, or nothing. Two sets are linked if 100 * i
 
 1. *Equal sets* are one node (128-bit digest and size), however many documents share them.
 2. *Signatures* of ``BANDS * ROWS`` minima. Nodes that agree in all rows of a band, and whose sizes allow a link, are candidates.
-   At the threshold of 0.8 a pair is in no common band once in two million times, at 0.85 once in 10^10.
+   At the threshold of 0.8 a pair is in no common band with a probability of 3e-6, at 0.85 of 7e-9. Bands take all 32 bits of the
+   minima; for the comparison 16 of them are kept.
 3. *Sequential verification*. The signatures of a candidate pair are compared in batches. After n minima with m equal ones the
    similarity has the posterior Beta(1 + m, 1 + n - m); a pair whose posterior probability of reaching the threshold is
    below ``MISS`` goes no further. The least m that goes on is computed once per batch (:func:`least_matches`).
@@ -36,10 +37,10 @@ from pyspark.sql import functions as F
 from runlake.llm.common import MIX_A, MIX_B, byte_words, columns_of, cut, documents, free_name, ids_and_texts, mixed, range_hashes, raw_text, slices, stored
 from runlake.llm.components import components
 
-#: Rows 6 of 0.8 agree in 26 % of the bands of a pair at the threshold: (1 - 0.8^6)^48 = 5e-7.
-BANDS, ROWS = 48, 6
+#: A pair at the threshold of 0.8 agrees in 33 % of the bands, and in none with (1 - 0.8^5)^32 = 3e-6.
+BANDS, ROWS = 32, 5
 #: Minima compared at a time, and the posterior probability below which a pair is dropped.
-BATCH, MISS = 48, 1e-9
+BATCH, MISS = 32, 1e-6
 #: Rounds of comparing each bucket with a hub before its remaining pairs are compared.
 HUB_ROUNDS = 3
 
@@ -137,7 +138,7 @@ def set_rows(docs: DataFrame, size: int) -> DataFrame:
             keys = band_keys(np.array([m for m in minima if m is not None], np.uint32))
             ends = np.cumsum([0, *there]) * BANDS
             bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()), mask=pa.array([not t for t in there]))
-            values = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array([None if m is None else m.tobytes() for m in minima], pa.binary()), bands]
+            values = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array([None if m is None else m.astype(np.uint16).tobytes() for m in minima], pa.binary()), bands]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *values], ["doc_id", "text_key", "n", "node", "minima", "bands"])
 
     return keyed(docs).mapInArrow(work, "doc_id long, text_key long, n long, node binary, minima binary, bands array<long>")
@@ -171,8 +172,8 @@ def promising(pairs: DataFrame, percent: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = np.frombuffer(b"".join(batch.column("sa").to_pylist()), np.uint32).reshape(-1, _N)
-            right = np.frombuffer(b"".join(batch.column("sb").to_pylist()), np.uint32).reshape(-1, _N)
+            left = np.frombuffer(b"".join(batch.column("sa").to_pylist()), np.uint16).reshape(-1, _N)
+            right = np.frombuffer(b"".join(batch.column("sb").to_pylist()), np.uint16).reshape(-1, _N)
             going, equal = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for k, at in enumerate(range(0, _N, BATCH), 1):
                 equal = equal + (left[going, at : at + BATCH] == right[going, at : at + BATCH]).sum(axis=1)
