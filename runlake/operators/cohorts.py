@@ -107,10 +107,14 @@ def divergence(
     focus = focus.withColumn("focus", F.when(F.col("_n") > 1, several).otherwise(F.col("focus"))).drop("_n")
     late = _late_rows(obs, placed.join(focus, list(COHORT_KEYS)), variables)
 
+    # Mean and median come from the same counts of equal values.
+    counts = late.groupBy(*_GROUP, "focus", "run_id", "value").agg(F.count(F.lit(1)).alias("_times"))
     is_focus = F.col("run_id") == F.col("focus")
     keys = [*_GROUP, "focus"]
-    own = late.filter(is_focus).groupBy(*keys).agg(F.avg("value").alias("highlighted"))
-    rest = exact_median(late.filter(~is_focus), keys, "value", name="cohort_median")
+    valued = counts.filter(is_focus & F.col("value").isNotNull())
+    mean = F.sum(F.col("value") * F.col("_times")) / F.sum("_times")
+    own = valued.groupBy(*keys).agg(mean.alias("highlighted"))
+    rest = exact_median(counts.filter(~is_focus), keys, "value", "_times", "cohort_median")
     return _difference(own.join(rest, keys).withColumnRenamed("focus", "run_id"))
 
 

@@ -1,10 +1,13 @@
-"""Exact medians of groups too large for one task.
+"""Exact medians of groups too large for one task, by radix selection.
 
 Spark's exact ``percentile`` keeps all distinct values of a group in one place. Here equal
-values are counted first, and each group is cut into value buckets by a fixed,
-order-preserving rule. Running counts inside a bucket plus the counts of the buckets below
-give every value its exact rank. The rule needs no look at the data, and a group has a
-bounded number of buckets, however many rows it has.
+values are counted first. A value has an order-preserving 64-bit form, the one of IEEE
+doubles with the sign folded in; its first 24 bits are the coarse prefix, its first 44 the
+fine one. Counts per prefix say which prefix holds a rank, and only what shares that prefix
+is looked at more closely: the coarse prefixes of a group, the fine prefixes of one coarse
+prefix, the values of one fine prefix. Each step is partitioned by the prefix before it, so
+no task holds more than 2^20 counts of a step (2^24 for the coarse one), however the values
+of a group lie: nearly equal values differ in their fine prefixes.
 """
 
 from __future__ import annotations
@@ -14,30 +17,46 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged
+# Bits below the two prefixes.
+COARSE_BITS, FINE_BITS = 40, 20
 
-# Buckets per doubling of the value: neighbours differ by 0.004 %. Magnitudes are taken
-# between 2^-40 and 2^40; whatever lies beyond shares the outermost buckets, still in order.
-PER_OCTAVE = 16_384
-OCTAVES = 40
 
+def ordered_bits(value: Column) -> Column:
+    """The bits of a double as a long that rises with it; both zeros give 0, NaN the largest.
 
-def value_bucket(value: Column) -> Column:
-    """Bucket number that never falls while the value rises."""
-    octave = F.greatest(F.least(F.log2(F.abs(value)), F.lit(float(OCTAVES))), F.lit(float(-OCTAVES)))
-    size = F.floor((octave + F.lit(OCTAVES + 1)) * PER_OCTAVE).cast("int")
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
+    Built from exponent and mantissa, as Spark has no function for the bits. Powers of two
+    and divisions by them are exact; only the logarithm may be off by one, which is mended.
+    """
+    size = F.abs(value)
+    near = F.least(F.floor(F.log2(size)), F.lit(1023)).cast("int")
+    two = F.lit(2.0)
+    exponent = near - (F.pow(two, near) > size).cast("int") + (F.pow(two, near + 1) <= size).cast("int")
+    mantissa = size / F.pow(two, exponent) - 1
+    normal = ((exponent + 1023).cast("bigint") * F.lit(1 << 52)) + (mantissa * float(1 << 52)).cast("bigint")
+    tiny = (size * 2.0**537 * 2.0**537).cast("bigint")
+    infinite = F.lit(2047 << 52)
+    bits = (
+        F.when(F.isnan(value), infinite + 1)
+        .when(size == float("inf"), infinite)
+        .when(size < 2.0**-1022, tiny)
+        .otherwise(normal)
+    )
+    return F.when(value < 0, -bits).otherwise(bits)
 
 
 def _counts(df: DataFrame, keys: Sequence[str], value: str, times: Column) -> DataFrame:
+    """How often each value occurs, with its two prefixes."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(times.alias("_n"))
-    return counts.withColumn("_bucket", value_bucket(F.col(value)))
+    bits = ordered_bits(F.col(value).cast("double"))
+    return counts.withColumn("_fine", F.shiftright(bits, FINE_BITS)).withColumn(
+        "_coarse", F.shiftright("_fine", COARSE_BITS - FINE_BITS)
+    )
 
 
-def _below(size: str, *keys: str) -> Column:
-    """Rows in lower buckets of the key."""
-    w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(size).over(w), F.lit(0))
+def _per_prefix(counts: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows per coarse prefix, and per fine one; the first are added up from the second."""
+    fine = counts.groupBy(*keys, "_coarse", "_fine").agg(F.sum("_n").alias("_n"))
+    return fine.groupBy(*keys, "_coarse").agg(F.sum("_n").alias("_n")), fine
 
 
 def _middle(total: str) -> dict[str, Column]:
@@ -45,6 +64,16 @@ def _middle(total: str) -> dict[str, Column]:
     return {"_lo": F.expr(f"({total} + 1) div 2"), "_hi": F.expr(f"({total} + 2) div 2")}
 
 
+def _holding(rows: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+    """The rows in which the middle ranks lie, with the rows of the key below them (``_below``).
+
+    ``rows`` are counts whose ``_below`` says how many rows of the key lie below their group.
+    """
+    upto = F.col("_below") + F.sum("_n").over(Window.partitionBy(*group).orderBy(order))
+    held = rows.withColumn("_upto", upto).filter("_upto >= _lo and _upto - _n < _hi")
+    return held.withColumn("_below", F.col("_upto") - F.col("_n"))
+
+
 def exact_median(
     df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, name: str = "median"
 ) -> DataFrame:
@@ -54,23 +83,55 @@ def exact_median(
     """
     keys = list(keys)
     counts = _counts(df, keys, value, F.sum(weight) if weight else F.count(F.lit(1)))
-    middle = (
-        counts.groupBy(*keys, "_bucket")
-        .agg(F.sum("_n").alias("_in"))
-        .withColumns({"_below": _below("_in", *keys), "_total": F.sum("_in").over(Window.partitionBy(*keys))})
-        .withColumns(_middle("_total"))
-        # Only the one or two buckets that hold the middle ranks go on.
-        .filter("_below < _hi and _below + _in >= _lo")
-        .drop("_in", "_total")
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    ranked = counts.join(middle, [*keys, "_bucket"]).withColumn("_upto", F.sum("_n").over(inside) + F.col("_below"))
+    coarse, fine = _per_prefix(counts, keys)
+    found = ["_below", "_lo", "_hi"]
+    whole = coarse.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys))).withColumns(_middle("_total"))
+    chosen = _holding(whole.withColumn("_below", F.lit(0).cast("bigint")), keys, "_coarse").select(*keys, "_coarse", *found)
+    chosen = _holding(fine.join(chosen, [*keys, "_coarse"]), [*keys, "_coarse"], "_fine").select(*keys, "_fine", *found)
+    held = _holding(counts.join(chosen, [*keys, "_fine"]), [*keys, "_fine"], value)
 
     def at(rank: str) -> Column:
-        holds = (F.col("_upto") >= F.col(rank)) & (F.col("_upto") - F.col("_n") < F.col(rank))
-        return F.max(F.when(holds, F.col(value)))
+        return F.max(F.when((F.col("_upto") >= F.col(rank)) & (F.col("_below") < F.col(rank)), F.col(value)))
+
+    return held.groupBy(*keys).agg(((at("_lo") + at("_hi")) / 2).alias(name))
+
+
+def _before(group: Sequence[str], order: str) -> Column:
+    """Rows of the group before the current one in order."""
+    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_n").over(w), F.lit(0))
+
+
+def _prefix_sums(counts: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Coarse and fine prefixes with the rows of the key below each.
 
-    return ranked.groupBy(*keys).agg(((at("_lo") + at("_hi")) / 2).alias(name))
+    What a partition of fine prefixes adds up by itself gets the offset of its coarse prefix
+    added back.
+    """
+    coarse, fine = _per_prefix(counts, keys)
+    coarse = coarse.withColumn("_below", _before(keys, "_coarse"))
+    offsets = coarse.select(*keys, "_coarse", F.col("_below").alias("_offset"))
+    fine = fine.join(offsets, [*keys, "_coarse"]).withColumn(
+        "_below", F.col("_offset") + _before([*keys, "_coarse"], "_fine")
+    )
+    return coarse.drop("_n"), fine.drop("_n", "_offset")
+
+
+def _rows_upto(counts: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Attach how many rows of the key have this value or a smaller one."""
+    _, fine = _prefix_sums(counts, keys)
+    # rows of one value are peers in the range frame, so all of them count
+    inside = Window.partitionBy(*keys, "_fine").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.join(fine.drop("_coarse"), [*keys, "_fine"])
+    return placed.withColumn(name, F.sum("_n").over(inside) + F.col("_below")).drop("_below")
+
+
+def _reached(targets: DataFrame, firsts: DataFrame, group: Sequence[str], found: str) -> DataFrame:
+    """Give each target the ``found`` of the last of ``firsts`` in its group whose ``_rank`` is not above its own."""
+    upwards = Window.partitionBy(*group).orderBy("_rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    stacked = targets.withColumn("_target", F.lit(True)).unionByName(firsts, allowMissingColumns=True)
+    placed = stacked.withColumn(found, F.last(found, ignorenulls=True).over(upwards))
+    return placed.filter("_target").drop("_target")
 
 
 def leave_one_out_median(
@@ -81,73 +142,34 @@ def leave_one_out_median(
     No member is paired with the rows of the others. Along the sorted pool, let ``rest`` be
     the rows so far minus the member's own rows so far; it never falls. The k-th value of the
     rest then is the pool's value at rank k + c, where c counts the member's own rows up to
-    its last value at which ``rest`` is still below k. One sort of the pool serves everyone.
+    its last value at which ``rest`` is still below k. Both row numbers come from the prefix
+    sums above, and so does the value at a rank, so nothing is kept between the steps.
     """
     keys = list(keys)
-    # Six branches below start from these counts, so they are computed once and kept.
-    counts = staged(_counts(df, [*keys, member], value, F.count(F.lit(1))))
-    own = counts.groupBy(*keys, member, "_bucket").agg(F.sum("_n").alias("_in"))
-    own_sizes = own.select(
-        *keys,
-        member,
-        "_bucket",
-        _below("_in", *keys, member).alias("_own_below"),
-        F.sum("_in").over(Window.partitionBy(*keys, member)).alias("_own_total"),
-    )
-    pool_sizes = (
-        own.groupBy(*keys, "_bucket")
-        .agg(F.sum("_in").alias("_in"))
-        .select(
-            *keys,
-            "_bucket",
-            _below("_in", *keys).alias("_pool_below"),
-            F.sum("_in").over(Window.partitionBy(*keys)).alias("_pool_total"),
-        )
-    )
-    # Rows of one value are peers in the pool's range frame, so all members' rows count.
-    own_order = Window.partitionBy(*keys, member, "_bucket").orderBy(value)
-    pool_order = (
-        Window.partitionBy(*keys, "_bucket").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = (
-        counts.join(own_sizes, [*keys, member, "_bucket"])
-        .withColumn("_own_upto", F.sum("_n").over(own_order) + F.col("_own_below"))
-        .join(pool_sizes, [*keys, "_bucket"])
-        .withColumn("_pool_upto", F.sum("_n").over(pool_order) + F.col("_pool_below"))
-    )
+    counts = _counts(df, [*keys, member], value, F.count(F.lit(1)))
+    ranked = _rows_upto(counts, [*keys, member], value, "_own_upto")
+    ranked = _rows_upto(ranked, keys, value, "_pool_upto")
+    own = counts.groupBy(*keys, member).agg(F.sum("_n").alias("_own"))
+    sizes = own.join(own.groupBy(*keys).agg(F.sum("_own").alias("_pool")), keys)
+    sizes = sizes.select(*keys, member, (F.col("_pool") - F.col("_own")).alias("_others")).filter("_others > 0")
 
     def rank(middle: str) -> Column:
         short = F.col("_pool_upto") - F.col("_own_upto") < F.col(middle)
         return F.max(middle) + F.coalesce(F.max(F.when(short, F.col("_own_upto"))), F.lit(0))
 
     targets = (
-        ranked.withColumn("_others", F.col("_pool_total") - F.col("_own_total"))
-        .filter("_others > 0")
-        .withColumns(_middle("_others"))
+        ranked.join(sizes.withColumns(_middle("_others")), [*keys, member])
         .groupBy(*keys, member)
         .agg(F.array(rank("_lo"), rank("_hi")).alias("_ranks"))
         .select(*keys, member, F.explode("_ranks").alias("_rank"))
     )
-    # Ranks are looked up in two steps: the bucket that reaches the rank, then the value in
-    # it. Both are "last row at or before" searches over stacked rows; each holds two rows
-    # per member beside the buckets, or the values of one bucket.
-    upwards = Window.partitionBy(*keys).orderBy("_rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    first_ranks = pool_sizes.select(*keys, (F.col("_pool_below") + 1).alias("_rank"), F.col("_bucket").alias("_from"))
-    in_bucket = (
-        targets.unionByName(first_ranks, allowMissingColumns=True)
-        .withColumn("_bucket", F.last("_from", ignorenulls=True).over(upwards))
-        .filter(F.col(member).isNotNull())
-        .drop("_from")
-    )
-    values = ranked.select(*keys, "_bucket", F.col("_pool_upto").alias("_rank"), F.col(value).alias("_value"))
-    downwards = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(F.col("_rank").desc())
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    found = (
-        in_bucket.unionByName(values, allowMissingColumns=True)
-        .withColumn("_at", F.last("_value", ignorenulls=True).over(downwards))
-        .filter(F.col(member).isNotNull())
-    )
+    # The prefix that reaches the rank, then the finer one, then the value.
+    coarse, fine = _prefix_sums(counts, keys)
+    first = (F.col("_below") + 1).alias("_rank")
+    targets = _reached(targets, coarse.select(*keys, "_coarse", first), keys, "_coarse")
+    targets = _reached(targets, fine.select(*keys, "_coarse", "_fine", first), [*keys, "_coarse"], "_fine")
+    pool = counts.groupBy(*keys, "_fine", value).agg(F.sum("_n").alias("_n")).join(fine.drop("_coarse"), [*keys, "_fine"])
+    at = F.col("_below") + _before([*keys, "_fine"], value) + 1
+    values = pool.select(*keys, "_fine", at.alias("_rank"), F.col(value).alias("_at"))
+    found = _reached(targets.withColumn("_at", F.lit(None).cast("double")), values, [*keys, "_fine"], "_at")
     return found.groupBy(*keys, member).agg(F.avg("_at").alias(name))

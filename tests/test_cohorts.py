@@ -1,6 +1,8 @@
 """Exact medians, cohorts, divergence."""
 
+import math
 import random
+import struct
 from datetime import datetime
 from statistics import mean, median
 
@@ -8,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import runlake
-from runlake.operators.ranks import exact_median, leave_one_out_median, value_bucket
+from runlake.operators import ranks
+from runlake.operators.ranks import exact_median, leave_one_out_median, ordered_bits
 
 T0 = datetime(2026, 3, 2, 8)
 
@@ -19,10 +22,45 @@ def test_buckets_keep_the_order(spark):
         [0.0, -0.0, 1e-300, -1e-300, 1e300, -1e300, float("inf"), float("-inf"), 1.0, 1.0000001, -1.0, 2.0**40, 2.0**-40]
         + [rng.uniform(-1, 1) * 10 ** rng.randrange(-15, 15) for _ in range(2000)]
     )
+    values += [5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, -5e-324, float("nan")]
+    values += [2.0**k * f for k in range(-1022, 1023, 7) for f in (1.0, 1 - 2.0**-53, 1 + 2.0**-52)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    found = [r["b"] for r in df.withColumn("b", value_bucket(F.col("v"))).orderBy("v").collect()]
-    assert found == sorted(found)
-    assert max(found) <= 82 * 16_384
+    found = df.withColumn("b", ordered_bits(F.col("v"))).orderBy("v").collect()
+    assert [r["b"] for r in found] == sorted(r["b"] for r in found)
+    for r in found:
+        bits = int.from_bytes(struct.pack(">d", abs(r["v"])), "big")
+        assert r["b"] == (bits if not r["v"] < 0 else -bits) or (math.isnan(r["v"]) and r["b"] == (2047 << 52) + 1)
+
+
+def test_a_median_of_nearly_equal_values_is_spread_over_tasks(spark):
+    """1.013 plus or minus 1e-5: all in one coarse prefix, and still in even shares of the last step."""
+    n = 40_000
+    noise = (F.xxhash64("id") % 1_000_000) * 1e-11
+    df = spark.range(n).select(F.lit("H").alias("g"), (1.013 + noise).alias("v"))
+    counts = ranks._counts(df, ["g"], "v", F.count(F.lit(1)))
+    assert counts.select("_coarse").distinct().count() == 1
+    sizes = [r["count"] for r in counts.repartition(8, "g", "_fine").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+    assert exact_median(df, ["g"], "v").first()["median"] == median([r["v"] for r in df.collect()])
+
+
+def test_values_that_share_a_fine_prefix(spark):
+    """Neighbouring doubles, equal ones, infinities; medians and leave-one-out medians."""
+    rows = [("x", f"m{i % 3}", 1.0 + (i % 40) * 2.0**-52) for i in range(101)]
+    rows += [("y", "m0", v) for v in (float("-inf"), -1.0, -1.0, 3.0, float("inf"))] + [("y", "m1", 2.0), ("z", "m0", None), ("z", "m1", 4.0)]
+    df = spark.createDataFrame(rows, "g string, m string, v double")
+    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], "v").collect()}
+    assert got == {g: median([v for h, _, v in rows if h == g and v is not None]) for g in "xyz"}
+    got = {(r["g"], r["m"]): r["median_of_others"] for r in leave_one_out_median(df, ["g"], "m", "v").collect()}
+    pools = {(g, m): [v for h, k, v in rows if h == g and k != m and v is not None] for g, m, v in rows if v is not None}
+    assert got == {key: median(pool) for key, pool in pools.items() if pool}
+
+
+def test_medians_are_lazy(spark):
+    """Nothing runs, and nothing is written, before the result is asked for."""
+    df = spark.range(10).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("m"), F.raise_error(F.lit("ran")).cast("double").alias("v"))
+    leave_one_out_median(df, ["g"], "m", "v")
+    exact_median(df, ["g"], "v")
 
 
 @pytest.mark.parametrize("seed", range(3))
