@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timing import Duration, slot, to_micros
+from ..functions.timing import Duration, to_micros
 from ..vocabulary import CONTINUOUS, SPARSE, dimension, variables_of
 from .pivot import known_variable
-from .nearest import closer, looking_ahead, looking_back, reached_spans, span_width
-from .spans import SPAN
+from .nearest import closer, span_width, with_neighbours
 
 CONTINUOUS_TOLERANCE = "5min"
 SAMPLE_TOLERANCE = "10min"
@@ -72,27 +71,16 @@ def align_sources(
         """What a row of one source holds, under the variables' names."""
         return [*more, *[F.col(f"_v{i}").alias(v) for i, v in enumerate(columns[name])]]
 
-    home = slot(at, width_us)
     # Samples look for reference rows, reference rows for the other continuous sources.
-    spans = (
-        F.when(source == reference, reached_spans(at, sample_us, width_us))
-        .when(source.isin(others), reached_spans(at, near_us, width_us))
-        .otherwise(F.array(home))
-    )
     sought = {reference: F.struct(at), **{s: F.struct(*readings(s, at)) for s in others}}
-    spread = moments.select(
-        *moments.columns,
-        *[F.when(source == s, found).alias(f"_{s}") for s, found in sought.items()],
-        F.explode(spans).alias(SPAN),
-    )
-    back, ahead = looking_back(["run_id"], "timestamp"), looking_ahead(["run_id"], "timestamp")
-    searched = spread.withColumns(
-        {
-            f"_{side}_{s}": F.last(f"_{s}", ignorenulls=True).over(w)
-            for side, w in (("back", back), ("ahead", ahead))
-            for s in sought
-        }
-    ).filter((F.col(SPAN) == home) & ~source.isin(others))
+    searched = with_neighbours(
+        moments,
+        ["run_id"],
+        "timestamp",
+        {s: F.when(source == s, found) for s, found in sought.items()},
+        {s: sample_us if s == reference else near_us for s in sought},
+        width_us,
+    ).filter(~source.isin(others))
 
     is_base = source == reference
     landed = closer(at, F.col(f"_back_{reference}"), F.col(f"_ahead_{reference}"), "timestamp", sample_us)

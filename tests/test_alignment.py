@@ -231,3 +231,52 @@ def test_a_run_with_most_rows_is_spread_over_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert sum(sizes) == n and len(sizes) == 8 and max(sizes) < n / 3
     assert found.filter("abs(x - y) > 3 or y is null").count() <= 4
+
+
+@pytest.mark.parametrize(("tolerance", "width"), [("30d", "10min"), ("30d", None), ("3h", "1min")])
+def test_long_tolerances_equal_pandas(spark, tolerance, width):
+    left = random_series(21, ["A", "B", "C"], 200, 90_000) + [("D", T0, 1.0)]
+    right = random_series(22, ["A", "B"], 25, 90_000) + [("C", T0 + timedelta(days=29), 3.0), ("D", T0 + timedelta(days=31), 4.0)]
+    found = match_nearest(series(spark, left, "x"), series(spark, right, "y"), tolerance, width=width)
+    names = ["run_id", "timestamp"]
+    expected = pandas_nearest(pd.DataFrame(left, columns=[*names, "x"]), pd.DataFrame(right, columns=[*names, "y"]), tolerance)
+    same(found, expected, [*names, "x", "y", "matched_time"])
+
+
+def test_carried_edges_with_null_keys_and_times(spark):
+    left = series(spark, [(None, T0, 1.0), ("A", None, 2.0), ("A", T0 + timedelta(hours=9), 3.0)], "x")
+    right = series(spark, [(None, T0 + timedelta(hours=5), 7.0), ("A", T0, 8.0)], "y")
+    found = {r["x"]: r["y"] for r in match_nearest(left, right, "2d", width="1h").collect()}
+    assert found == {1.0: 7.0, 2.0: None, 3.0: 8.0}
+
+
+def test_a_long_tolerance_copies_no_rows_and_uses_many_tasks(spark):
+    n = 20_000
+    hot = spark.range(n).select(
+        F.lit("H").alias("run_id"), (F.lit(T0).cast("timestamp_ntz") + F.expr("make_dt_interval(0,0,0,id)")).alias("timestamp"),
+        F.col("id").cast("double").alias("x"),
+    )
+    other = hot.filter("x % 7 = 3").withColumnRenamed("x", "y")
+    found = match_nearest(hot, other, "30d", width="5min")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+    assert sum(sizes) == n and len(sizes) == 8 and max(sizes) < n / 3
+    assert found.filter("abs(x - y) > 3 or y is null").count() <= 4
+    far = match_nearest(hot.limit(1), other.filter("y > 19990"), "30d", width="5min").first()
+    assert (far["x"], far["y"]) == (0.0, 19995.0)
+
+
+def test_alignment_with_a_long_tolerance_equals_brute_force(spark, observations):
+    found = runlake.align_sources(observations, continuous_tolerance="2h", sample_tolerance="20h", width="30min").collect()
+    want = brute_aligned(observations.collect(), "bioreactor", 7200, 72_000)
+    assert len(found) == len(want)
+    for r in found:
+        assert [r[v] for v in VARIABLES] == [x if x is None else pytest.approx(x) for x in want[r["run_id"], r["timestamp"]]]
