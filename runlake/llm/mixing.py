@@ -4,12 +4,17 @@
    regression on the presence of telling words and a few ratios of the text is fitted on about ``FIT_ROWS`` labelled rows of
    each domain at most (chosen by a hash of ``doc_id``; the only bounded sample here) and gives every document its domain
    posteriors. Telling are, for each domain, the ``WORDS`` words of the sample with the largest chi-squared statistic.
-2. Rates ``r >= 0`` (how often to take each document) start at 1 and are fitted so that the expected token totals of the
-   domains, ``A_k = sum r * tokens * p_k``, meet the targets ``T``: least squares in ``A - T`` by projected gradient. Every step is
-   one aggregation over all documents to a vector of ``K`` numbers; the rates follow from these vectors in plain column
-   expressions. Residuals are weighted by the inverse of ``M = sum tokens * p p' / sum tokens``, so the step length is 1.
+2. Rates ``0 <= r <= MOST_RATE`` (how often to take each document) start at 1 and are fitted so that the expected token totals of
+   the domains, ``A_k = sum r * tokens * p_k``, meet the targets ``T``: least squares in ``A - T``, all domains by the same measure
+   (tokens), by projected gradient. Every step is one aggregation over all documents to a vector of ``K`` numbers; the rates
+   follow from these vectors in plain column expressions. The step length of a document is 1 over ``sum_k p_k S_k``, with ``S_k``
+   the token share of domain k: the row sums of the Hessian in units of its tokens, so each step lowers the sum of squares, and
+   documents of rare domains move as fast as those of common ones.
 3. ``copies`` is the rate rounded up or down by a hash of ``doc_id``, so that totals hold in expectation.
 
+Targets that cannot be met (a domain that is too rare for its share at the highest rate, or hardly told from another) are
+approached as far as the bound allows, and the rest of the corpus is kept as it is; :func:`mixture_report` states the gap.
+
 Null or empty text: no tokens, rate 0 and no copies. Null or repeated labels: nulls count as 0 for ``toxic`` and 1 for ``quality``;
 of repeated ones the worst counts. With labels of one domain only, every document belongs to it; without any, to ``good``.
 Repeated documents are rated alike, one by one. Extra columns pass through. An empty table gives an empty result.
@@ -33,7 +38,10 @@ DOMAINS = ("good", "low", "toxic")
 #: Production targets: shares of the token total, which stays as it is.
 SHARES = {"good": 0.95, "low": 0.05, "toxic": 0.0}
 FIT_ROWS, WORDS, FIT_STEPS = 4000, 300, 40
-MOST_STEPS, TOLERANCE = 60, 1e-5
+#: No document is taken more often than this.
+MOST_RATE = 4.0
+#: Steps at most, and the change of the shares from one step to the next at which they end.
+MOST_STEPS, TOLERANCE = 20, 2e-4
 RATIOS = 5
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -160,46 +168,49 @@ def fitted(sample: DataFrame, telling: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return weights, bias
 
 
-def rate_of(steps: list[np.ndarray], p: list[Column]) -> Column:
-    """The rate after the given steps from 1."""
+def rate_of(steps: list[np.ndarray], p: list[Column], shares: np.ndarray, most: float = MOST_RATE) -> Column:
+    """The rate after the given steps from 1, in a corpus with these token shares of the domains."""
     if not steps:
         return F.lit(1.0)
     # one expression over a table of steps: nested ones would make the plan longer with every step
     table = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
-    return F.aggregate(table, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate - sum(step[i] * q for i, q in enumerate(p))))
+    length = F.greatest(sum(float(s) * q for s, q in zip(shares, p, strict=True)), F.lit(1e-12))
+
+    def moved(rate: Column, step: Column) -> Column:
+        slope = sum(step[i] * q for i, q in enumerate(p))
+        return F.greatest(F.lit(0.0), F.least(F.lit(float(most)), rate - slope / length))
+
+    return F.aggregate(table, F.lit(1.0), moved)
 
 
-def fitted_steps(rows: DataFrame, targets: list[float]) -> list[np.ndarray]:
-    """The steps of the rates for (n_tokens, p) towards the target totals; each one aggregation to K numbers."""
+def fitted_steps(rows: DataFrame, targets: list[float], most: float = MOST_RATE) -> tuple[list[np.ndarray], np.ndarray]:
+    """The steps of the rates for (n_tokens, p) towards the target totals, each one aggregation to K numbers, and the token shares."""
     k = range(len(targets))
     p, n = [F.col("p")[i] for i in k], F.col("n_tokens").cast("double")
-    square = rows.agg(F.sum(n).alias("all"), *[F.sum(n * p[i] * p[j]).alias(f"m{i}{j}") for i in k for j in k]).first()
-    total = float(square["all"] or 0)
+    tokens = np.array(rows.agg(*[F.coalesce(F.sum(n * p[i]), F.lit(0.0)) for i in k]).first(), float)
+    total = float(tokens.sum())
     if not total:
-        return []
-    weight = np.linalg.inv(np.array([[square[f"m{i}{j}"] / total for j in k] for i in k]) + 1e-6 * np.eye(len(targets)))
-    steps: list[np.ndarray] = []
-    last = np.full(len(targets), np.inf)
-    for _ in range(MOST_STEPS):
-        rate = rate_of(steps, p)
-        found = rows.agg(*[F.sum(rate * n * p[i]) for i in k]).first()
-        miss = (np.array(found, float) - np.array(targets)) / total
-        # met, or as near as rates of 0 and more can come
+        return [], np.zeros(len(targets))
+    shares, steps = tokens / total, []
+    miss = shares - np.array(targets) / total
+    while len(steps) < MOST_STEPS:
+        steps.append(miss)
+        rate = rate_of(steps, p, shares, most)
+        last, miss = miss, np.array(rows.agg(*[F.sum(rate * n * p[i]) for i in k]).first(), float) / total - np.array(targets) / total
+        # met, or as near as the bounds allow
         if np.abs(miss).max() < TOLERANCE or np.abs(miss - last).max() < TOLERANCE:
             break
-        last = miss
-        steps.append(weight @ miss)
-    return steps
+    return steps, shares
 
 
-def mixed_to(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
+def mixed_to(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, most: float = MOST_RATE) -> DataFrame:
     """``docs`` with a struct ``mix`` (``mix_`` if there is such a column): n_tokens, p (by domain), rate, copies. ``shares`` are target shares of the token total."""
     shares = SHARES if shares is None else shares
     rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = stored(posteriors(rows, labels).withColumn("key", F.col("row.doc_id")), "posteriors")
     total = scored.agg(F.sum("n_tokens")).first()[0] or 0
-    steps = fitted_steps(scored.select("n_tokens", "p"), [shares.get(d, 0.0) * total for d in DOMAINS])
-    rate = F.when(F.col("n_tokens") == 0, 0.0).otherwise(F.round(rate_of(steps, [F.col("p")[i] for i in range(len(DOMAINS))]), 6))
+    steps, have = fitted_steps(scored.select("n_tokens", "p"), [shares.get(d, 0.0) * total for d in DOMAINS], most)
+    rate = F.when(F.col("n_tokens") == 0, 0.0).otherwise(F.round(rate_of(steps, [F.col("p")[i] for i in range(len(DOMAINS))], have, most), 6))
     part = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1_000_000)) / 1e6
     p = F.struct(*[F.round(F.col("p")[i], 6).alias(d) for i, d in enumerate(DOMAINS)]).alias("p")
     # the rate first: in one select its ``p`` would be taken for the new struct
@@ -208,10 +219,20 @@ def mixed_to(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None
     return rows.select("row.*", F.struct("n_tokens", "p", "rate", copies.alias("copies")).alias(free_name(docs, "mix")))
 
 
-def taken(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
+def mixture_report(mixed: DataFrame, shares: dict[str, float] | None = None, name: str = "mix") -> DataFrame:
+    """Per domain, of the rows of :func:`mixed_to`: tokens, target and expected tokens, and the gap that is left as a share of all tokens."""
+    shares = SHARES if shares is None else shares
+    mix = F.col(name)
+    sums = [F.struct(F.lit(d).alias("domain"), F.sum(mix["n_tokens"] * mix["p"][d]).alias("tokens"), (F.lit(float(shares.get(d, 0.0))) * F.sum(mix["n_tokens"])).alias("target"),
+                     F.sum(mix["rate"] * mix["n_tokens"] * mix["p"][d]).alias("expected"), F.sum(mix["n_tokens"]).alias("all")) for d in DOMAINS]
+    found = mixed.agg(F.array(*sums).alias("rows")).select(F.inline("rows"))
+    return found.select("domain", "tokens", "target", "expected", ((F.col("expected") - F.col("target")) / F.col("all")).alias("gap"))
+
+
+def taken(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, most: float = MOST_RATE) -> DataFrame:
     """``docs`` mixed: every row as often as its ``copies`` says; same columns."""
     copies = F.col(f"{free_name(docs, 'mix')}.copies")
-    rows = mixed_to(docs, labels, shares).filter(copies > 0)
+    rows = mixed_to(docs, labels, shares, most).filter(copies > 0)
     row = F.struct(*columns_of(docs)).alias("row")
     return rows.select(row, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("row.*")
 

@@ -218,18 +218,54 @@ def test_mixing_meets_targets_and_knows_domains(spark):
     assert np.mean(right) > 0.9
 
 
-def test_rates_equal_brute_force_descent(spark):
+def least_squares(p, n, targets, most):
+    """Rates from 0 to ``most`` by exact minimization along one document at a time."""
+    rate = np.ones(len(n))
+    have = (rate * n) @ p
+    for _ in range(3000):
+        for d in range(len(n)):
+            a = n[d] * p[d]
+            new = min(most, max(0.0, rate[d] - a @ (have - targets) / (a @ a)))
+            have, rate[d] = have + (new - rate[d]) * a, new
+    return have
+
+
+@pytest.mark.parametrize(("alpha", "shares"), [((0.5, 0.5, 0.5), (0.5, 0.3, 0.2)), ((3.0, 0.02, 0.3), (0.7, 0.3, 0.0)), ((0.3, 0.3, 0.01), (0.2, 0.1, 0.7))])
+def test_rates_equal_brute_force_least_squares(spark, alpha, shares):
     rng = np.random.default_rng(4)
-    p, n = rng.dirichlet([0.5, 0.5, 0.5], 200), rng.integers(1, 90, 200)
+    p, n = rng.dirichlet(alpha, 60), rng.integers(1, 90, 60)
     rows = spark.createDataFrame([(int(k), q.tolist()) for k, q in zip(n, p)], "n_tokens long, p array<double>")
-    targets = np.array([0.5, 0.3, 0.2]) * n.sum()
-    steps = mixing.fitted_steps(rows, targets.tolist())
-    rate = np.ones(200)
-    for s in steps:
-        rate = np.maximum(0, rate - p @ s)
-    assert np.abs((rate * n) @ p - targets).max() < 1e-3 * n.sum()
-    found = [r[0] for r in rows.select(mixing.rate_of(steps, [F.col("p")[i] for i in range(3)])).collect()]
-    assert sorted(found) == pytest.approx(sorted(rate.tolist()))
+    targets = np.array(shares) * n.sum()
+    steps, have = mixing.fitted_steps(rows, targets.tolist(), 3.0)
+    found = np.array([r[0] for r in rows.select(mixing.rate_of(steps, [F.col("p")[i] for i in range(3)], have, 3.0)).collect()])
+    assert found.min() >= 0 and found.max() <= 3.0 and len(steps) <= mixing.MOST_STEPS
+
+    def gap(totals):
+        return np.abs(totals - targets).max() / n.sum()
+
+    assert gap((found * n) @ p) < gap(least_squares(p, n, targets, 3.0)) + 0.01
+
+
+def test_a_corpus_without_a_domain_is_kept(spark):
+    """As the pipeline sees it: hardly a ``low`` document is left, though a share of 5 % is wanted."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    low = mixing.domain_labels(labels).filter("label = 1").select("label_id")
+    rest = quality.clean(docs).join(low, F.col("doc_id") == F.col("label_id"), "left_anti")
+    mixed = mixing.mixed_to(rest, labels)
+    rows = mixed.select("mix.*").collect()
+    good = [r for r in rows if r.p.good > 0.9 and r.n_tokens]
+    assert len(good) > 50 and all(0.8 < r.rate <= 1.5 for r in good) and max(r.rate for r in rows) <= mixing.MOST_RATE
+    report = {r.domain: r for r in mixing.mixture_report(mixed).collect()}
+    assert abs(report["good"].gap) < 0.02 and abs(report["toxic"].gap) < 0.05 and -0.05 <= report["low"].gap < 0.001
+
+
+def test_domains_of_held_out_documents(spark):
+    path = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    rows = mixing.mixed_to(docs, labels.filter(~held)).select("doc_id", "mix.p").join(mixing.domain_labels(labels.filter(held)), F.col("doc_id") == F.col("label_id")).collect()
+    right = [mixing.DOMAINS[int(r.label)] == max(mixing.DOMAINS, key=lambda d: r.p[d]) for r in rows]
+    assert len(right) > 50 and np.mean(right) > 0.9
 
 
 @pytest.mark.parametrize("labels", [[], [(4, 1, 0), (None, None, None)], [(4, 0, 0), (5, 1, None), (5, 1, 1), (8, None, 0)]])
