@@ -56,6 +56,7 @@ from .sources.store import (
     read_samples,
     require_store,
     stored_counts,
+    vacuum,
     write_store,
 )
 

@@ -7,22 +7,26 @@ brought together by a rebalancing shuffle, which splits the folder of a run that
 of the table into several files and joins small ones.
 
 Every build or append writes a version of its own, as a subfolder of each table. The state
-folder lists the versions that count, in numbered files; a new one is written when all tables
-are there, as the last step. Readers take the highest number, so a write that broke off, at
-whatever point, is never read, and what was readable before stays so.
+folder lists the versions that count, in numbered files; a new one is written when all tables are
+there, as the last step. Readers take the highest number, so a write that broke off, at
+whatever point, is never read, and what was readable before stays so. A number is given
+once: of two writers at the same time one finds it taken, and builds on what the other left.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions.timing import Duration, to_micros
 from ..operators.quality import assert_clean, guarded, quality_report, reject_orphans
 from ..operators.summaries import table_counts as counted
 
@@ -65,10 +69,10 @@ def _state(spark: SparkSession, root: str) -> Row | None:
     return None if state is None else state.orderBy(F.col("number").desc()).first()
 
 
-def _current(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The rows of a table in the versions that count."""
+def _current(spark: SparkSession, root: str, table: str, state: Row | None = None) -> DataFrame:
+    """The rows of a table in the versions that count, in the given or else the last state."""
     rows = _load(spark, root, table)
-    return rows.filter(F.col(VERSION).isin(list(_state(spark, root)["versions"])))
+    return rows.filter(F.col(VERSION).isin(list((state or _state(spark, root))["versions"])))
 
 
 def missing_tables(spark: SparkSession, root: str) -> list[str]:
@@ -96,11 +100,59 @@ def require_store(spark: SparkSession, root: str) -> None:
         )
 
 
-def _mark(spark: SparkSession, root: str, number: int, versions: list[str], buckets: int) -> None:
+def _mark(spark: SparkSession, root: str, number: int, versions: list[str], buckets: int) -> bool:
+    """Publish a state under its number; False, and nothing changed, if that number is taken.
+
+    The state is drafted in a hidden folder and moved to its name, which the file system
+    refuses if the name exists. Where renames are atomic (HDFS and most others, but not every
+    object store) just one of several writers gets a number.
+    """
+    folder = table_path(root, MARKER)
+    draft = f"{folder}/_draft-{uuid.uuid4().hex}"
     state = spark.range(1).select(
         F.lit(number).alias("number"), F.array(*map(F.lit, versions)).alias("versions"), F.lit(buckets).alias("buckets")
     )
-    state.coalesce(1).write.mode("append").parquet(table_path(root, MARKER))
+    state.coalesce(1).write.parquet(draft)
+    files = _FileSystem(spark, folder)
+    try:
+        return files.moved(files.glob(f"{draft}/part-*")[0], f"{folder}/state-{number:012d}.parquet")
+    finally:
+        files.delete(draft)
+
+
+class _FileSystem:
+    """What a commit needs of Hadoop's file system beyond reading and writing tables."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self._jvm = spark._jvm
+        self._gateway = spark.sparkContext._gateway
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._files = self._path(root).getFileSystem(self._conf)
+
+    def glob(self, pattern: str) -> list[str]:
+        return [str(found.getPath()) for found in self._files.globStatus(self._path(pattern)) or []]
+
+    def age_us(self, path: str) -> int:
+        changed = self._files.getFileStatus(self._path(path)).getModificationTime()
+        return (int(time.time() * 1000) - changed) * 1000
+
+    def moved(self, path: str, target: str) -> bool:
+        """Move a file unless the target exists."""
+        fs = self._jvm.org.apache.hadoop.fs
+        full = self._files.makeQualified(self._path(target))
+        context = fs.FileContext.getFileContext(full.toUri(), self._conf)
+        options = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._path(path), full, options)
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" not in error.java_exception.getClass().getName():
+                raise
+            return False
+        return True
+
+    def delete(self, path: str) -> None:
+        self._files.delete(self._path(path), True)
 
 
 def write_store(
@@ -117,39 +169,76 @@ def write_store(
     Runs and samples are checked as a whole first, together with what is stored already.
     Observations carry their checks into the write itself: the job fails on the first bad
     row and nothing of it becomes visible. The new state is written last, so a write that broke
-    off is never read and changes nothing for readers. ``runs_checked`` says that an earlier join has already rejected
-    observations of unlisted runs, which spares doing it again. ``buckets`` is the number of
-    run folders of a new store.
+    off is never read and changes nothing for readers. If another writer took the number of the
+    new state meanwhile, the state it left is read, everything is checked against that, and
+    the next number is tried: of two appends at once both stay, or the second is refused.
+    ``runs_checked`` says that an earlier join has already rejected observations of unlisted
+    runs, which spares doing it again. ``buckets`` is the number of run folders of a new store.
     """
     spark = runs.sparkSession
     runs = schemas.conform(runs, schemas.RUNS)
     samples = schemas.conform(samples, schemas.SAMPLES)
     observations = schemas.conform(observations, schemas.OBSERVATIONS)
+    nothing = schemas.empty(spark, schemas.OBSERVATIONS)
+
+    def checked_against(state: Row | None) -> tuple[list[str], int, DataFrame]:
+        """The versions that stay, the folders of the store, and all runs; raises if the tables do not fit together."""
+        if rebuild or state is None or not is_ready(spark, root):
+            kept, folders, all_runs, all_samples = [], buckets, runs, samples
+        else:
+            kept, folders = list(state["versions"]), state["buckets"]
+            # of this very state: another writer may have published one since
+            all_runs = runs.unionByName(_current(spark, root, "runs", state).select(*schemas.RUNS.names))
+            all_samples = samples.unionByName(_current(spark, root, "samples", state).select(*schemas.SAMPLES.names))
+        assert_clean(quality_report(nothing, all_runs, all_samples))
+        return kept, folders, all_runs
+
+    def written(folders: int, all_runs: DataFrame) -> str:
+        owned = observations if runs_checked else reject_orphans(observations, all_runs)
+        laid_out = (
+            guarded(owned)
+            .withColumn(BUCKET, _bucket_of(F.col("run_id"), folders))
+            .hint("rebalance", BUCKET)
+            .sortWithinPartitions(BUCKET, "run_id", "source", "variable", "timestamp")
+        )
+        version = f"v{uuid.uuid4().hex}"
+        folder = f"{VERSION}={version}"
+        # The one table that can still be refused goes first.
+        laid_out.write.partitionBy(BUCKET).parquet(f"{table_path(root, 'observations')}/{folder}")
+        runs.write.parquet(f"{table_path(root, 'runs')}/{folder}")
+        samples.write.parquet(f"{table_path(root, 'samples')}/{folder}")
+        return version
 
-    all_runs, all_samples = runs, samples
     state = _state(spark, root)
-    kept: list[str] = []
-    if not rebuild and is_ready(spark, root):
-        buckets, kept = state["buckets"], list(state["versions"])
-        all_runs = runs.unionByName(_current(spark, root, "runs").select(*schemas.RUNS.names))
-        all_samples = samples.unionByName(_current(spark, root, "samples").select(*schemas.SAMPLES.names))
-    nothing = schemas.empty(spark, schemas.OBSERVATIONS)
-    assert_clean(quality_report(nothing, all_runs, all_samples))
-
-    owned = observations if runs_checked else reject_orphans(observations, all_runs)
-    checked = guarded(owned)
-    laid_out = (
-        checked.withColumn(BUCKET, _bucket_of(F.col("run_id"), buckets))
-        .hint("rebalance", BUCKET)
-        .sortWithinPartitions(BUCKET, "run_id", "source", "variable", "timestamp")
-    )
-    version = f"v{uuid.uuid4().hex}"
-    folder = f"{VERSION}={version}"
-    # The one table that can still be refused goes first.
-    laid_out.write.partitionBy(BUCKET).parquet(f"{table_path(root, 'observations')}/{folder}")
-    runs.write.parquet(f"{table_path(root, 'runs')}/{folder}")
-    samples.write.parquet(f"{table_path(root, 'samples')}/{folder}")
-    _mark(spark, root, 1 if state is None else state["number"] + 1, [*kept, version], buckets)
+    kept, folders, all_runs = checked_against(state)
+    version, laid_out_for = written(folders, all_runs), folders
+    while not _mark(spark, root, 1 if state is None else state["number"] + 1, [*kept, version], folders):
+        state = _state(spark, root)
+        kept, folders, all_runs = checked_against(state)
+        if folders != laid_out_for:
+            version, laid_out_for = written(folders, all_runs), folders
+        elif not rebuild and not runs_checked:
+            ours = _load(spark, root, "observations").filter(F.col(VERSION) == version)
+            reject_orphans(ours.select(*schemas.OBSERVATIONS.names), all_runs).agg(F.count("run_id")).first()
+
+
+def vacuum(spark: SparkSession, root: str, older_than: Duration = "7d") -> list[str]:
+    """Delete versions that the last state does not list, and return their folders.
+
+    Young ones stay: a write in progress has not listed its version yet, and readers may still
+    be at work on one that was replaced. ``older_than`` must exceed the longest of both.
+    """
+    require_store(spark, root)
+    files = _FileSystem(spark, root)
+    limit = to_micros(older_than)
+    # Folders first: what is listed after this is not among them.
+    found = [path for table in TABLES for path in files.glob(f"{table_path(root, table)}/{VERSION}=*")]
+    found = [path for path in found if files.age_us(path) >= limit]
+    listed = {f"{VERSION}={v}" for v in _state(spark, root)["versions"]}
+    dead = [path for path in found if path.rsplit("/", 1)[1] not in listed]
+    for path in dead:
+        files.delete(path)
+    return dead
 
 
 def read_runs(spark: SparkSession, root: str, ordered: bool = True) -> DataFrame:
@@ -185,9 +274,10 @@ def read_observations(
     Operators do not need sorted input: pass ``ordered=False`` when feeding one.
     """
     require_store(spark, root)
-    obs = _current(spark, root, "observations")
+    state = _state(spark, root)
+    obs = _current(spark, root, "observations", state)
     if run_ids:
-        buckets = _state(spark, root)["buckets"]
+        buckets = state["buckets"]
         obs = obs.filter(F.col(BUCKET).isin([_bucket_of(F.lit(r), buckets) for r in set(run_ids)]))
     obs = obs.select(*schemas.OBSERVATIONS.names)
     return filter_observations(obs, run_ids, sources, variables, ordered)

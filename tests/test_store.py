@@ -201,3 +201,80 @@ def test_build_only_if_missing(spark, clean_raw, tmp_path):
     before = {r["n_rows"] for r in runlake.stored_counts(spark, root).collect()}
     runlake.ensure_store(spark, str(tmp_path / "no raw data here"), root)
     assert {r["n_rows"] for r in runlake.stored_counts(spark, root).collect()} == before
+
+
+def one_run(spark, name, hour=0):
+    start = datetime(2026, 5, 2, 8)
+    run = spark.createDataFrame([(name, "V8", "dasgip", "batch", "K12", start, 36.0, 5.0, "", 1.0, 1.0)], schemas.RUNS)
+    reading = [(name, start, float(hour), "bioreactor", "pH", 7.0, "", f"{name}.csv")]
+    return run, spark.createDataFrame(reading, schemas.OBSERVATIONS)
+
+
+def racing(monkeypatch, meanwhile):
+    """Let ``meanwhile`` happen just before the next state is published."""
+    from runlake.sources import store as module
+
+    publish, waiting = module._mark, [meanwhile]
+
+    def late(*args):
+        if waiting:
+            waiting.pop()()
+        return publish(*args)
+
+    monkeypatch.setattr(module, "_mark", late)
+
+
+@pytest.mark.parametrize("checked", [True, False])
+def test_two_appends_at_once_both_stay(spark, store, tmp_path, monkeypatch, checked):
+    root = str(tmp_path / "s")
+    runs, obs, samples = stored(spark, store)
+    runlake.write_store(runs, obs, samples, root)
+    none = samples.filter("false")
+    racing(monkeypatch, lambda: runlake.write_store(*one_run(spark, "R8"), none, root, rebuild=False))
+    runlake.write_store(*one_run(spark, "R9"), none, root, rebuild=False, runs_checked=checked)
+    assert counts(spark, root) == {"runs": 6, "observations": 54, "samples": 2}
+    for name in ("R8", "R9"):
+        assert runlake.read_observations(spark, root, run_ids=[name]).count() == 1
+
+
+def test_the_second_of_two_appends_is_checked_against_the_first(spark, store, tmp_path, monkeypatch):
+    root = str(tmp_path / "s")
+    runs, obs, samples = stored(spark, store)
+    runlake.write_store(runs, obs, samples, root)
+    none = samples.filter("false")
+    racing(monkeypatch, lambda: runlake.write_store(*one_run(spark, "R8"), none, root, rebuild=False))
+    with pytest.raises(runlake.QualityError, match="repeated run_id"):
+        runlake.write_store(*one_run(spark, "R8"), none, root, rebuild=False)
+    assert counts(spark, root) == {"runs": 5, "observations": 53, "samples": 2}
+    # readings of a run that a rebuild took away meanwhile
+    _, readings = one_run(spark, "R2")
+    racing(monkeypatch, lambda: runlake.write_store(*one_run(spark, "R8"), none, root))
+    with pytest.raises(Exception, match="run not in the manifest: R2"):
+        runlake.write_store(runs.filter("false"), readings, none, root, rebuild=False)
+    assert counts(spark, root) == {"runs": 1, "observations": 1, "samples": 0}
+
+
+def test_an_append_follows_a_rebuild_with_other_folders(spark, store, tmp_path, monkeypatch):
+    root = str(tmp_path / "s")
+    runs, obs, samples = stored(spark, store)
+    runlake.write_store(runs, obs, samples, root)
+    racing(monkeypatch, lambda: runlake.write_store(runs, obs, samples, root, buckets=3))
+    runlake.write_store(*one_run(spark, "R9"), samples.filter("false"), root, rebuild=False)
+    assert counts(spark, root) == {"runs": 5, "observations": 53, "samples": 2}
+    assert runlake.read_observations(spark, root, run_ids=["R9"]).count() == 1
+
+
+def test_vacuum_removes_what_no_state_lists(spark, store, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    root = str(tmp_path / "s")
+    runs, obs, samples = stored(spark, store)
+    for _ in range(3):
+        runlake.write_store(runs, obs, samples, root)
+    runlake.write_store(*one_run(spark, "R9"), samples.filter("false"), root, rebuild=False)
+    assert runlake.vacuum(spark, root) == []
+    assert len(runlake.vacuum(spark, root, "0s")) == 6
+    assert counts(spark, root) == {"runs": 5, "observations": 53, "samples": 2}
+    for table in ("runs", "samples", "observations"):
+        assert len(list(Path(root, table).glob("version=*"))) == 2
+    assert not list(Path(root, MARKER).glob("_draft-*")) and runlake.vacuum(spark, root, "0s") == []
