@@ -13,6 +13,7 @@ of a group lie: nearly equal values differ in their fine prefixes.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +42,35 @@ def ordered_bits(value: Column) -> Column:
         .when(size < 2.0**-1022, tiny)
         .otherwise(normal)
     )
-    return F.when(value < 0, -bits).otherwise(bits)
+    return bits * F.when(value < 0, -1).otherwise(1)
+
+
+def from_bits(bits: Column) -> Column:
+    """The double of :func:`ordered_bits`; minus zero comes back as zero."""
+    size = F.abs(bits)
+    exponent = F.shiftright(size, 52).cast("int")
+    part = (size.bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
+    value = (
+        F.when(bits.isNull(), F.lit(None).cast("double"))
+        .when(exponent == 0, part * 2.0**-1022)
+        .when(exponent < 2047, (part + 1) * F.pow(F.lit(2.0), exponent - 1023))
+        .when(part == 0, float("inf"))
+        .otherwise(float("nan"))
+    )
+    return value * F.when(bits < 0, -1.0).otherwise(1.0)
+
+
+def last_value(order: Column, value: Column) -> Column:
+    """Aggregate: the value of the largest ``order`` (a long); of equal orders the larger value.
+
+    Both are packed in one decimal, whose ``max`` is a hash aggregation, where ``max_by`` of a
+    struct would sort all rows. Rows without a value do not count, nor do those without an order.
+    """
+    wide, half = F.lit(Decimal(1 << 64)), F.lit(Decimal(1 << 63))
+    packed = order.cast("decimal(19,0)") * wide + (ordered_bits(value).cast("decimal(20,0)") + half)
+    top = F.max(packed.cast("decimal(38,0)"))
+    rest = top - F.floor(top / wide) * wide
+    return from_bits((rest - half).cast("bigint"))
 
 
 def _counts(df: DataFrame, keys: Sequence[str], value: str, times: Column) -> DataFrame:

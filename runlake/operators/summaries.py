@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timing import Duration
+from ..functions.timing import Duration, slot
 from ..functions.values import fixed_text, whole_text
 from ..vocabulary import source_label
-from .ranks import exact_median
+from .ranks import exact_median, last_value, ordered_bits
 from .spans import DEFAULT_SPAN, reading_gaps
 
 
@@ -70,11 +70,23 @@ def source_provenance(obs: DataFrame, width: Duration = DEFAULT_SPAN) -> DataFra
     )
 
 
+def _position(obs: DataFrame, order: str) -> Column:
+    """A time or a number as a long that rises with it."""
+    timed = obs.schema[order].dataType.typeName() == "timestamp_ntz"
+    return slot(F.col(order), 1) if timed else ordered_bits(F.col(order).cast("double"))
+
+
 def end_readings(obs: DataFrame, variables: list[str], order: str = "elapsed_h") -> DataFrame:
-    """Last value and unit of each (run, variable); of equal times the larger value."""
-    last = F.max_by(F.struct("value", "unit"), F.struct(order, "value")).alias("_last")
-    rows = obs.filter(F.col("variable").isin(variables))
-    return rows.groupBy("run_id", "variable").agg(last).select("run_id", "variable", "_last.*")
+    """Last value and unit of each (run, variable); of equal times the larger value.
+
+    Rows without a value or a time do not count. A variable has one unit but for faulty data,
+    so what is left after the first aggregation is about one row per (run, variable).
+    """
+    at = _position(obs, order)
+    rows = obs.filter(F.col("variable").isin(variables) & F.col("value").isNotNull() & F.col(order).isNotNull())
+    per_unit = rows.groupBy("run_id", "variable", "unit").agg(F.max(at).alias("_at"), last_value(at, F.col("value")).alias("value"))
+    last = F.max_by(F.struct("value", "unit"), F.struct("_at", "value")).alias("_last")
+    return per_unit.groupBy("run_id", "variable").agg(last).select("run_id", "variable", "_last.*")
 
 
 def run_outcomes(obs: DataFrame) -> DataFrame:
@@ -95,7 +107,7 @@ def data_table(obs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("points"),
         F.min("value").alias("minimum"),
         F.max("value").alias("maximum"),
-        F.max_by("value", F.struct("timestamp", "value")).alias("final"),
+        last_value(_position(obs, "timestamp"), F.col("value")).alias("final"),
     )
 
 

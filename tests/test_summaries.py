@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import runlake
+from runlake.operators.ranks import from_bits, last_value, ordered_bits
+from runlake.operators.summaries import end_readings
 from runlake.operators.corrections import draw_time_lookup
 from runlake.vocabulary import TRACES, UNITS, dimension
 
@@ -129,3 +131,23 @@ def test_constant_rows_are_part_of_the_plan(spark):
     table = dimension(spark, [("a", 1.5, None), ("it's", None, "x")], "name string, size double, note string")
     assert [tuple(r) for r in table.collect()] == [("a", 1.5, None), ("it's", None, "x")]
     assert "LocalTableScan" in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_last_values_are_packed_in_order(spark):
+    """Any double comes back from its bits; the last one by time, of equal times the larger, without a sort of the rows."""
+    values = [1.5, -2.25, 0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), 0.1, -1e-300]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert all(r["v"] == r["w"] for r in df.withColumn("w", from_bits(ordered_bits(F.col("v")))).collect())
+    rows = [("a", t, v) for t in (63_000_000_000_000_000, -5) for v in values if v < 9] + [("b", None, 1.0), ("b", 2, None)]
+    rows += [("c", 3, -7.25), ("c", 3, -7.5), ("c", 2, 9.0), ("d", -4, float("-inf")), ("d", -5, 1.0), ("e", 1, float("nan")), ("e", 1, 5.0)]
+    found = spark.createDataFrame(rows, "g string, t long, v double").groupBy("g").agg(last_value(F.col("t"), F.col("v")).alias("x"))
+    got = {r["g"]: r["x"] for r in found.collect()}
+    assert got.pop("e") != got.get("e") and got == {"a": 1.5, "b": None, "c": -7.25, "d": float("-inf")}
+
+
+def test_tables_of_last_values_sort_no_readings(obs):
+    for df in (runlake.data_table(obs), end_readings(obs, ["dcw", "product"]), end_readings(obs, ["dcw"], "timestamp")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        first = plan[plan.rindex("partial_max") :]
+        assert "SortAggregate" not in first and "HashAggregate" in plan
+    assert "SortAggregate" not in runlake.data_table(obs)._jdf.queryExecution().executedPlan().toString()
