@@ -76,6 +76,12 @@ def normalize_offgas(spark, sf_dir):
     return sensors.parse_single_run(lines, "offgas", views.runs(spark, sf_dir)).drop("elapsed_h")
 
 
+@query
+def normalize_capacitance(spark, sf_dir):
+    lines = sensors.split_lines(views.capacitance_lines(spark, sf_dir), "capacitance")
+    return sensors.parse_single_run(lines, "capacitance", views.runs(spark, sf_dir)).drop("elapsed_h")
+
+
 @query
 def normalize_multivessel(spark, sf_dir):
     lines = sensors.split_lines(views.multi_vessel_lines(spark, sf_dir), "ambr")
@@ -376,6 +382,11 @@ def cohort_members(spark, sf_dir):
     return cohorts.cohort_members(views.runs(spark, sf_dir)).select("run_id", *cohorts.COHORT_KEYS, "n_runs", "label")
 
 
+@query
+def cohort_of(spark, sf_dir):
+    return cohorts.cohort_of(views.runs(spark, sf_dir), "R1").select("run_id", *cohorts.COHORT_KEYS, "n_runs", "held_constant")
+
+
 @query
 def cohort_outcomes(spark, sf_dir):
     return cohorts.cohort_outcomes(views.runs(spark, sf_dir))
@@ -396,3 +407,22 @@ def divergence(spark, sf_dir):
 @query
 def divergence_of_all(spark, sf_dir):
     return cohorts.divergence_of_all(views.observations(spark, sf_dir), views.runs(spark, sf_dir))
+
+
+@query
+def columns_absent(spark, sf_dir):
+    """What frames lack of the stored layout, with how many of their rows that concerns."""
+    frames = {
+        "observations": views.observations(spark, sf_dir).drop("unit", "elapsed_h"),
+        "runs": views.runs(spark, sf_dir).withColumnRenamed("strain", "Strain_"),
+        "samples": _samples(spark, sf_dir),
+    }
+    counted = [
+        df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(table).alias("table_name"),
+            F.explode(F.array(*map(F.lit, quality.missing_columns(df, table))).cast("array<string>")).alias("column_name"),
+            "n_rows",
+        )
+        for table, df in frames.items()
+    ]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])

@@ -70,6 +70,14 @@ select {RUN} as run_id, {ts(MINUTE, "timestamp")}, 'offgas' as source, 'offgas_c
 from events where event_type = 'click'
 """,
 )
+oracle(
+    "normalize_capacitance",
+    f"""
+select {RUN} as run_id, {ts(MINUTE, "timestamp")}, 'capacitance' as source, 'permittivity' as variable,
+       round(value, 8) as value, 'pF/cm' as unit, concat({RUN}, '_capacitance.csv') as source_file
+from events where event_type = 'error'
+""",
+)
 oracle(
     "normalize_multivessel",
     f"""
@@ -566,6 +574,14 @@ oracle(
     "select run_id, system, strain, mode, n_runs, label from runs join groups using (system, strain, mode)",
     COHORTS,
 )
+oracle(
+    "cohort_of",
+    """
+select run_id, system, strain, mode, n_runs, held_constant from runs join groups using (system, strain, mode)
+where (system, strain, mode) in (select (system, strain, mode) from runs where run_id = 'R1')
+""",
+    COHORTS,
+)
 oracle(
     "cohort_outcomes",
     """
@@ -607,3 +623,11 @@ leaders as (
 """
 oracle("divergence", f"{_APART} where run_id in (select run_id from leaders)", _LATE, _LEADERS)
 oracle("divergence_of_all", _APART, _LATE)
+
+oracle(
+    "columns_absent",
+    """
+select 'observations' as table_name, unnest(['elapsed_h', 'unit']) as column_name, count(*) as n_rows from obs
+union all select 'runs', 'strain', count(*) from runs
+""",
+)

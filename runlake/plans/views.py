@@ -165,6 +165,20 @@ def offgas_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(body, "Time_stamp;CO2_percent;O2_percent")
 
 
+def capacitance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of one probe export per run, with a column that no variable is read from."""
+    body = (
+        _events(spark, sf_dir)
+        .filter("event_type = 'error'")
+        .select(
+            F.concat(_run_id(), F.lit("_capacitance.csv")).alias("file_name"),
+            F.col("event_id").alias("row"),
+            F.concat_ws(",", F.lit("1000"), _minute().cast("string"), F.col("value").cast("string")).alias("line"),
+        )
+    )
+    return _lines(body, "Frequency_kHz,Timestamp,Permittivity_pF_cm")
+
+
 def multi_vessel_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of one wide file that holds a vessel 1 and a vessel 10 next to an unknown one."""
     value = F.col("value").cast("string")
