@@ -17,8 +17,8 @@ out or changed makes one of the other, however long the word; words are what sta
    The same steps over words instead of code points find the lines that differ in one word.
 4. The edit distance of each line and its earlier candidates is verified on the texts; the earliest that holds decides.
 
-Null text counts as one empty line. Rows that repeat a ``doc_id`` share its places: they are judged alike, and a line of one is
-earlier than a line of the other only if its number is smaller. A null ``doc_id`` comes first. Extra columns pass through. An
+Null text counts as one empty line. Rows that repeat a ``doc_id`` share its places, so a line of one is
+earlier than a line of the other only if its number is smaller; each text loses only lines of its own. A null ``doc_id`` comes first. Extra columns pass through. An
 empty table gives an empty result.
 """
 
@@ -46,12 +46,12 @@ CHAR_KEYS, WORD_KEYS = [f"k{i}" for i in range(4)], [f"w{i}" for i in range(4)]
 
 
 def lines_of(docs: DataFrame, short: bool = False) -> DataFrame:
-    """The lines that take part (with ``short`` those under the floor too, but blank ones): key, line_no, line, and their hashes
-    ``h``, ``g`` (128 bits together)."""
-    lines = docs.select("key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """The lines that take part (with ``short`` those under the floor too, but blank ones): key, text_key, line_no, line, and
+    their hashes ``h``, ``g`` (128 bits together). The text key tells apart the texts of a repeated ``key``."""
+    lines = docs.select("key", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     long = F.char_length("line") >= MIN_CHARS
     lines = lines.filter(long | F.col("line").rlike(r"(?U)\S") if short else long)
-    return lines.select("key", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    return lines.select("key", "text_key", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
 def place(key: Column, line_no: Column) -> Column:
@@ -215,7 +215,7 @@ def near_places(found: DataFrame, docs: DataFrame, by_words: bool = False) -> Da
 
 
 def removals(docs: DataFrame, short: bool = False, by_words: bool = False) -> DataFrame:
-    """For (key, text): the numbers of the lines that go, as ``gone``, for each key that loses any."""
+    """For (key, text): the numbers of the lines that go, as ``gone``, for each key and text that loses any."""
     lines = lines_of(docs, short)
     found = stored(entries(lines, by_words), "lines")
     near = near_places(found, docs)
@@ -224,8 +224,8 @@ def removals(docs: DataFrame, short: bool = False, by_words: bool = False) -> Da
     decided = found.join(near, ["h", "g"], "left").select("h", "g", F.least("first", "near_first").alias("earliest"), "places", "near_first")
     decided = decided.filter("places > 1 OR near_first IS NOT NULL").select("h", "g", "earliest")
     at = place(F.col("key"), F.col("line_no"))
-    gone = lines.select("key", "line_no", "h", "g").join(decided, ["h", "g"]).filter(at > F.col("earliest"))
-    return gone.groupBy("key").agg(F.collect_set("line_no").alias("gone"))
+    gone = lines.select("key", "text_key", "line_no", "h", "g").join(decided, ["h", "g"]).filter(at > F.col("earliest"))
+    return gone.groupBy("key", "text_key").agg(F.collect_set("line_no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, short: bool = False, by_words: bool = False) -> DataFrame:
@@ -235,7 +235,9 @@ def dedup_lines(docs: DataFrame, short: bool = False, by_words: bool = False) ->
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1))
     texts = docs.select(key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = docs.select(key.alias("key"), F.struct(*columns_of(docs)).alias("row")).join(removals(texts, short, by_words), "key", "left")
+    text_key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key")
+    rows = docs.select(key.alias("key"), text_key, F.struct(*columns_of(docs)).alias("row"))
+    rows = rows.join(removals(texts, short, by_words), ["key", "text_key"], "left")
     rows = rows.withColumn("all", F.split(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "\n", -1))
     left = F.filter("all", lambda x, i: ~F.array_contains(F.col("gone"), i))
     rows = rows.withColumn("left", F.when(F.col("gone").isNull(), F.col("all")).otherwise(left))

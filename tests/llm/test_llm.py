@@ -470,6 +470,13 @@ def test_lines_with_one_other_word_equal_brute_force(spark):
     assert {r.doc_id: r.text for r in found} == want
 
 
+def test_unique_lines_of_repeated_ids_stay(spark):
+    first, again, only, other = (f"a line that is long enough, number {i}." for i in ("one", "two", "three", "four"))
+    rows = [(1, f"{first}\n{again}"), (2, f"{other}\n{again}"), (2, f"{first}\n{only}"), (2, f"{first}\n{only}"), (None, first)]
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "lines.kept_text").collect()
+    assert sorted((r.doc_id or 0, r.kept_text) for r in found if r.doc_id) == [(1, again), (2, other), (2, only), (2, only)]
+
+
 def test_lines_of_odd_rows(spark, odd):
     out = lines.without_repeats(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
