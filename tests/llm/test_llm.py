@@ -359,9 +359,9 @@ def test_token_files_hold_what_the_library_gives(spark, odd, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
     extra = [(70, " a  b\n\n c. d,e\t f "), (71, "It's 5'll  ok!! ..\n x<|endoftext|>"), (72, "a.b,c\nd .\n,")]
+    extra += [(73, "x <|endoftext|> y"), (74, "<|endoftext|>"), (75, "a  <|endoftext|><|endoftext|>. b"), (-(1 << 62), "far"), ((1 << 62) + 9, "away")]
     docs = odd.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     token_files.write_tokens(docs, f"{tmp_path}/tokens", path, block_ids=100)
-    model.encode_special_tokens = True
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
     start, want = 0, []
     for i, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
@@ -371,6 +371,10 @@ def test_token_files_hold_what_the_library_gives(spark, odd, tmp_path):
     found = token_files.read_tokens(spark, f"{tmp_path}/tokens").select("doc_id", "start", "n_tokens", "ids_crc32")
     # null and empty texts of one id are equal rows
     assert sorted(map(tuple, found.collect()), key=lambda r: r[1]) == want
+    some = [i for i in {w[0] for w in want} if i is not None][::2]
+    few = token_files.read_documents(spark, f"{tmp_path}/tokens", [*some, 10**9]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    assert sorted(map(tuple, few.collect()), key=lambda r: r[1]) == [w for w in want if w[0] in some]
+    assert token_files.read_documents(spark, f"{tmp_path}/tokens", []).count() == 0
 
 
 def test_pieces_of_white_space_and_letters_are_those_of_whole_texts():
@@ -384,14 +388,30 @@ def test_pieces_of_white_space_and_letters_are_those_of_whole_texts():
         assert np.frombuffer(packed, f"<u{model.id_bytes}").tolist() == [*model.model.encode(text, add_special_tokens=False).ids, token_files.END_ID], text
 
 
+def test_token_file_query_equals_the_library(spark):
+    import pandas as pd
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = pd.read_parquet(f"{DATA}/documents.parquet").sort_values("doc_id")
+    start, want = 0, []
+    for i, text in zip(docs.doc_id, docs.text, strict=True):
+        ids = np.array([*model.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, token_files.op8_token_files(spark, DATA).collect())) == want
+
+
 def test_elias_fano_boundaries():
     rng = np.random.default_rng(2)
     for n, top in ((1, 1), (5, 3), (700, 40), (1000, 100_000)):
         ends = np.cumsum(rng.integers(0, top, n))
         packed = token_files.elias_fano(ends)
-        assert token_files.ends_of(n, *packed).tolist() == ends.tolist()
-        access = token_files.Boundaries(n, *packed)
-        assert [access.select_end(i) for i in range(n)] == ends.tolist() and access.span(0) == (0, ends[0])
+        access = token_files.Ascending(n, *packed)
+        assert access.select_range(0, n).tolist() == ends.tolist() and access.spans(0, 1).tolist() == [0, ends[0]]
+        assert [access.select(i) for i in range(n)] == ends.tolist()
+        assert all(access.first_not_below(v) == np.searchsorted(ends, v) for v in (0, 1, *ends[::50].tolist(), int(ends[-1]) + 1))
         assert n < 100 or 8 * (len(packed[1]) + len(packed[2])) < n * (3 + np.log2(max(2, ends[-1] / n)))
 
 
