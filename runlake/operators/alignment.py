@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timing import Duration, to_micros
 from ..vocabulary import CONTINUOUS, SPARSE, dimension, variables_of
-from .pivot import known_variable
+from .pivot import known_variable, with_values
 from .nearest import closer, span_width, with_neighbours
 
 CONTINUOUS_TOLERANCE = "5min"
@@ -23,6 +23,7 @@ def align_sources(
     continuous_tolerance: Duration = CONTINUOUS_TOLERANCE,
     sample_tolerance: Duration = SAMPLE_TOLERANCE,
     width: Duration | None = None,
+    drop_empty: bool = False,
 ) -> DataFrame:
     """Wide rows, one per reference time of every run, with the variables of all sources.
 
@@ -32,7 +33,8 @@ def align_sources(
 
     The long table is read once. It is shuffled three times: to make one row per (run,
     source, time), to search all sources together in (run, span), and to bring samples and
-    reference rows together by (run, reference time).
+    reference rows together by (run, reference time). ``drop_empty`` leaves out variables
+    that have no value in any chosen run; a job looks for them first.
     """
     if reference not in CONTINUOUS:
         raise ValueError(f"the reference must be one of {list(CONTINUOUS)}, not {reference!r}")
@@ -51,6 +53,7 @@ def align_sources(
         absent = sorted(set(run_ids) - {r["run_id"] for r in there})
         if absent:
             raise ValueError(f"no {reference} readings for run {', '.join(absent)}")
+    offered = {s: set(with_values(rows.filter(F.col("source") == s), names)) if drop_empty else set(names) for s, names in columns.items()}
     placed = rows.join(known, ["source", "variable"], "left")
     moments = (
         placed.withColumn("variable", known_variable(F.col("_place").isNotNull()))
@@ -99,10 +102,11 @@ def align_sources(
     # samples of a source have distinct times, so min_by takes all columns of one sample.
     # Flat numeric columns keep this a hash aggregation.
     dense = ["elapsed_h", *columns[reference], *[v for s in others for v in columns[s]]]
+    empty = [v for s, names in columns.items() for v in names if v not in offered[s]]
     return placed.groupBy("run_id", F.col("_place").alias("timestamp")).agg(
         *[F.max(c).alias(c) for c in dense],
         *[F.min_by(v, f"_at_{s}").alias(v) for s in SPARSE for v in columns[s]],
-    )
+    ).drop(*empty)
 
 
 def runs_without_reference(obs: DataFrame, reference: str = "bioreactor") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timing import DAY_US, Duration, hours_between, midnight, origin, slot, slot_start, to_micros
@@ -40,7 +40,8 @@ def resample_grid(
 
     Readings at one time are averaged first, then the times within a bin. Bins are
     left-closed and named by their start; the grid of a run reaches from its first to its
-    last bin over all chosen variables.
+    last bin over all chosen variables. The readings are read once (and once more, for the
+    first day of each run alone, where the step does not divide a day).
     """
     step_us = to_micros(step)
     names = list(variables) if variables else [v for s in CONTINUOUS for v in variables_of(s)]
@@ -48,28 +49,58 @@ def resample_grid(
     if run_ids:
         rows = rows.filter(F.col("run_id").isin(list(run_ids)))
 
-    extent = rows.groupBy("run_id").agg(*_first_reading(), F.max("timestamp").alias("_t1"))
-    anchor = _anchor(step_us)
-    moments = rows.groupBy("run_id", "timestamp").agg(*[mean_of(v) for v in names])
+    moments = (
+        rows.filter(F.col("timestamp").isNotNull())
+        .groupBy("run_id", "timestamp")
+        .agg(F.min("elapsed_h").alias("elapsed_h"), *[mean_of(v) for v in names])
+    )
+    anchor, series = _anchor(step_us), ["run_id"]
     if anchor is None:
-        moments = moments.join(extent.select("run_id", midnight(F.col("_t0")).alias("_anchor")), "run_id")
-        extent = extent.withColumn("_anchor", midnight(F.col("_t0")))
-        anchor = F.col("_anchor")
-    bins = moments.groupBy("run_id", slot(F.col("timestamp"), step_us, anchor).alias("_bin")).agg(
-        *[F.avg(v).alias(v) for v in names]
+        firsts = rows.groupBy(F.col("run_id").alias("_run")).agg(midnight(F.min("timestamp")).alias("_anchor"))
+        moments = moments.join(firsts, F.col("run_id").eqNullSafe(F.col("_run")))
+        anchor, series = F.col("_anchor"), ["run_id", "_anchor"]
+    number = slot(F.col("timestamp"), step_us, anchor)
+    bins = moments.groupBy(*series, number.alias("_bin")).agg(*_first_reading(), *[F.avg(v).alias(v) for v in names])
+    return _filled(bins, names).select(
+        "run_id",
+        slot_start(F.col("_at"), step_us, anchor).alias("timestamp"),
+        _elapsed_at(slot_start(F.col("_at"), step_us, anchor)).alias("elapsed_h"),
+        *names,
     )
 
-    # The grid is laid out in blocks so that one long run is filled by many tasks.
-    first, last = slot(F.col("_t0"), step_us, anchor), slot(F.col("_t1"), step_us, anchor)
-    blocks = extent.withColumns({"_first": first, "_last": last}).withColumn(
-        "_block", F.explode(F.sequence(F.col("_first"), F.col("_last"), F.lit(_BLOCK).cast("bigint")))
+
+def _filled(bins: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Each bin, and the empty ones up to the next bin of its run, as ``_at``; ``_t0`` and ``_e0`` are those of the run.
+
+    Bins are cut into spans, so that a long run is many tasks. Within a span the next bin is the
+    following row; behind its last bin it is the first bin of the next span that has any, from a
+    summary of one row per span. Empty bins are made last and are never shuffled.
+    """
+    bins = bins.withColumn("_span", F.call_function("div", "_bin", F.lit(_BLOCK)))
+    # The summary takes first rows whole: it then reads the very shuffle that made the bins.
+    row = F.struct("_bin", "_t0", "_e0", *names)
+    edges = bins.groupBy(F.col("run_id").alias("_run"), F.col("_span").alias("_of")).agg(F.min(row).alias("_first"))
+    along = Window.partitionBy("_run").orderBy("_of")
+    edges = edges.select(
+        "_run",
+        "_of",
+        F.lead("_first._bin").over(along).alias("_next"),
+        F.first("_first._t0").over(along).alias("_run_t0"),
+        F.first("_first._e0").over(along).alias("_run_e0"),
     )
-    in_block = F.sequence(F.col("_block"), F.least(F.col("_last"), F.col("_block") + F.lit(_BLOCK - 1)))
-    grid = blocks.repartition("run_id", "_block").withColumn("_bin", F.explode(in_block))
-    start = slot_start(F.col("_bin"), step_us, anchor)
-    return grid.join(bins, ["run_id", "_bin"], "left").select(
-        "run_id", start.alias("timestamp"), _elapsed_at(start).alias("elapsed_h"), *names
+    following = F.lead("_bin").over(Window.partitionBy("run_id", "_span").orderBy("_bin"))
+    linked = bins.withColumn("_following", following)
+    # an outer join, though every span has its summary: an inner one would filter one reader of the shuffle only
+    linked = linked.join(edges, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_span") == F.col("_of")), "left")
+    linked = linked.withColumns({"_t0": F.coalesce("_run_t0", "_t0"), "_e0": F.coalesce("_run_e0", "_e0")})
+    upto = F.coalesce("_following", "_next", F.col("_bin") + 1) - 1
+    # a long gap is laid out block by block, never as one array
+    blocks = linked.withColumn("_upto", upto).withColumn(
+        "_block", F.explode(F.sequence(F.col("_bin"), F.col("_upto"), F.lit(_BLOCK).cast("bigint")))
     )
+    in_block = F.sequence(F.col("_block"), F.least(F.col("_upto"), F.col("_block") + F.lit(_BLOCK - 1)))
+    at = blocks.withColumn("_at", F.explode(in_block))
+    return at.withColumns({v: F.when(F.col("_at") == F.col("_bin"), F.col(v)) for v in names})
 
 
 def trace_routes(obs: DataFrame) -> DataFrame:

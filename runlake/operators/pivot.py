@@ -21,12 +21,22 @@ def known_variable(known: Column) -> Column:
     return F.when(F.coalesce(known, F.lit(False)), F.col("variable")).otherwise(F.raise_error(F.concat(F.lit("no column for "), name)))
 
 
-def pivot_readings(obs: DataFrame, source: str, variables: Sequence[str] | None = None) -> DataFrame:
+def with_values(rows: DataFrame, names: Sequence[str]) -> list[str]:
+    """Those of ``names`` that have a value in the long ``rows``, in the same order (a job of one row per variable)."""
+    found = rows.filter(F.col("value").isNotNull() & F.col("variable").isin(list(names))).select("variable").distinct()
+    there = {r["variable"] for r in found.collect()}
+    return [v for v in names if v in there]
+
+
+def pivot_readings(
+    obs: DataFrame, source: str, variables: Sequence[str] | None = None, drop_empty: bool = False
+) -> DataFrame:
     """One row per (run, time) of a source, the mean of repeated readings per variable.
 
     The columns are named up front rather than looked up in the data, which spares a scan
     and keeps the schema the same for every run. Without ``variables`` a variable that is not
     one of the source's own stops the job; with them, the others are left out as asked.
+    ``drop_empty`` leaves out variables without any value, which takes a job to look for them.
     """
     rows = obs.filter(F.col("source") == source)
     if variables:
@@ -35,6 +45,10 @@ def pivot_readings(obs: DataFrame, source: str, variables: Sequence[str] | None
     else:
         names = variables_of(source)
         rows = rows.withColumn("variable", known_variable(F.col("variable").isin(names)))
+    if drop_empty:
+        # times at which only empty variables were read stay, as they do without it
+        kept = with_values(obs.filter(F.col("source") == source), names)
+        return rows.groupBy("run_id", "timestamp").agg(F.count("*").alias("_n"), *[mean_of(v) for v in kept]).drop("_n")
     return rows.groupBy("run_id", "timestamp").agg(*[mean_of(v) for v in names])
 
 

@@ -195,6 +195,23 @@ def test_what_cannot_be_aligned_is_named(spark, observations):
     assert pivot_readings(strange, "bioreactor", ["DO"]).count() > 0
 
 
+def test_drop_empty_leaves_out_variables_without_values(spark, observations):
+    full = runlake.align_sources(observations)
+    slim = runlake.align_sources(observations, drop_empty=True)
+    filled = [c for c in full.columns if full.filter(F.col(c).isNotNull()).count()]
+    present = {r["variable"] for r in observations.filter("value is not null").select("variable").distinct().collect()}
+    assert slim.columns == [c for c in full.columns if c in ("run_id", "timestamp", "elapsed_h") or c in present]
+    assert set(filled) <= set(slim.columns) and len(slim.columns) < len(full.columns)
+    assert sorted(map(str, slim.collect())) == sorted(map(str, full.select(*slim.columns).collect()))
+    wide = pivot_readings(observations, "bioreactor")
+    short = pivot_readings(observations, "bioreactor", drop_empty=True)
+    assert set(short.columns) == {"run_id", "timestamp", *[v for v in wide.columns if v in present]} != set(wide.columns)
+    assert sorted(map(str, short.collect())) == sorted(map(str, wide.select(*short.columns).collect()))
+    none = observations.filter("source = 'bioreactor'").withColumn("value", F.lit(None).cast("double"))
+    assert pivot_readings(none, "bioreactor", drop_empty=True).columns == ["run_id", "timestamp"]
+    assert pivot_readings(none, "bioreactor", drop_empty=True).count() == wide.count()
+
+
 def test_alignment_schema_and_run_choice(spark, observations):
     found = runlake.align_sources(observations, run_ids=["A"])
     assert found.columns[:4] == ["run_id", "timestamp", "elapsed_h", "DO"]

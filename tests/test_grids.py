@@ -80,6 +80,29 @@ def test_grid_by_hand(spark):
     assert [(r["timestamp"] - start, r["DO"]) for r in found] == [(timedelta(minutes=m), v) for m, v in ((0, 1.5), (5, None), (10, 5.0))]
 
 
+def test_grid_fills_gaps_across_spans(spark):
+    """At one second a span is 4096 bins: one gap within a span, one over the edge of two, one over whole spans."""
+    start = datetime(2026, 3, 2)
+    seconds = [5, 9, 4090, 4100, 20_000]
+    rows = [("A", start + timedelta(seconds=s), s / 3600, "bioreactor", "DO", float(s), "", "f") for s in seconds]
+    rows.append(("B", start + timedelta(seconds=8191), 0.0, "bioreactor", "DO", 1.0, "", "f"))
+    rows.append(("B", None, 0.0, "bioreactor", "DO", 2.0, "", "f"))
+    found = runlake.resample_grid(spark.createDataFrame(rows, SCHEMA), ["DO"], "1s").collect()
+    a = sorted((round((r["timestamp"] - start).total_seconds()), r["DO"]) for r in found if r["run_id"] == "A")
+    assert a == [(s, float(s) if s in seconds else None) for s in range(5, 20_001)]
+    assert all(r["elapsed_h"] == pytest.approx((r["timestamp"] - start).total_seconds() / 3600) for r in found if r["run_id"] == "A")
+    assert [r["DO"] for r in found if r["run_id"] == "B"] == [1.0]
+
+
+def test_grid_reads_its_rows_once(spark, tmp_path):
+    observations(spark).write.parquet(f"{tmp_path}/obs")
+    grid = runlake.resample_grid(spark.read.parquet(f"{tmp_path}/obs"), ["DO", "offgas_co2"], "5min")
+    assert grid.count() > 0
+    grid.collect()
+    plan = grid._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
+
+
 def test_rows_without_key_or_time_are_numbered_too(spark):
     rows = [("A", T0), ("A", None), (None, T0), (None, None)]
     found = every_nth(spark.createDataFrame(rows, "run_id string, timestamp timestamp_ntz"), 1)
