@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlake.llm.common import MIX_A, MIX_B, byte_words, columns_of, cut, documents, ids_and_texts, mixed, range_hashes, raw_text, slices, stored
+from runlake.llm.common import MIX_A, MIX_B, byte_words, columns_of, cut, documents, free_name, ids_and_texts, mixed, range_hashes, raw_text, slices, stored
 from runlake.llm.components import components
 
 CELL_BITS, CLASS_SHIFT, FRAGMENT_SHIFT = 20, 57, 54
@@ -103,7 +103,8 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def set_rows(docs: DataFrame, size: int, percent: int, classes) -> DataFrame:
-    """(doc_id, n, node, check, last, prefix) of every document; node and check are the digest of its set, last ends its prefix."""
+    """(doc_id, text_key, n, node, check, last, prefix) of every document; text_key is a hash of its text, node and check are the
+    digest of its set, last ends its prefix."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -116,10 +117,11 @@ def set_rows(docs: DataFrame, size: int, percent: int, classes) -> DataFrame:
                 prefix.append(ordered(found, classes.value)[: len(found) - (percent * len(found) + 99) // 100 + 1 if len(found) else 0])
                 last.append(int(prefix[-1][-1]) if len(found) else 0)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix)))
-            columns = [batch.column(0), *[pa.array(x, pa.int64()) for x in (n, node, check, last)], lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "check", "last", "prefix"])
+            columns = [batch.column(0), batch.column(2), *[pa.array(x, pa.int64()) for x in (n, node, check, last)], lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "node", "check", "last", "prefix"])
 
-    return docs.mapInArrow(work, "doc_id long, n long, node long, check long, last long, prefix array<bigint>")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    return keyed.mapInArrow(work, "doc_id long, text_key long, n long, node long, check long, last long, prefix array<bigint>")
 
 
 def fragments(docs: DataFrame, wanted: DataFrame, size: int, classes) -> DataFrame:
@@ -172,7 +174,12 @@ def linked(pairs: DataFrame, shared: DataFrame, cut_sets, percent: int) -> DataF
 
 
 def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """For (doc_id, text): doc_id, n_shingles, component_id, n_links_tested (pairs found linked for its set)."""
+    """For (doc_id, text): doc_id, n_shingles, component_id, links_found (of the tested pairs those that link its set)."""
+    return grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", "links_found")
+
+
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The columns of :func:`joined` with text_key and root, which is equal for the rows of a component (null: empty set)."""
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(docs, size))
     sets = stored(set_rows(docs, size, percent, classes), "sets")
@@ -213,21 +220,39 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     roots = components(links)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    rows = sets.select("doc_id", "n", "node", "check")
+    rows = sets.select("doc_id", "text_key", "n", "node", "check")
     classes_of = rows.filter("n > 0").groupBy("n", "node", "check").agg(F.min("doc_id").alias("first_doc"))
     named = classes_of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = named.join(firsts, "root").join(counts, "node", "left")
-    named = named.select("n", "node", "check", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    named = named.select("n", "node", "check", "root", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
     return rows.join(named, ["n", "node", "check"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links_found")
+        "doc_id", "text_key", "root", F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links_found"),
     )
 
 
 def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of linked ones: the one with the smallest ``doc_id``; same columns."""
-    kept = joined(ids_and_texts(docs), size, percent).filter("component_id = doc_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*columns_of(docs))
+    """``docs`` with one row of each group of linked ones; same columns.
+
+    That row has the smallest ``doc_id`` (null: largest; of equal ones the text with the smallest hash). Rows equal in id and text are
+    copies of each other like any others: one of them stays, the first by all its columns written as JSON. Rows without words
+    are in no group and stay. What goes is sent to the documents, as it is usually the smaller part.
+    """
+    rows = grouped(ids_and_texts(docs), size, percent).filter("root IS NOT NULL")
+    keys = rows.groupBy("doc_id", "text_key").agg(F.min("root").alias("root"), F.count("*").alias("copies"))
+    top = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("top")
+    tops = keys.groupBy("root").agg(top, F.sum("copies").alias("members")).filter("members > 1")
+    is_top = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("text_key") == F.col("top.text_key"))
+    doc, key = free_name(docs, "of_doc"), free_name(docs, "of_text")
+    found = keys.join(tops, "root").withColumn("is_top", is_top).filter("copies > 1 OR NOT is_top")
+    found = cut(found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("is_top").alias("again")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(key))
+
+    once = docs.join(found.select(doc, key), same, "left_anti").select(*columns_of(docs))
+    row = F.struct(*columns_of(docs))
+    repeated = docs.join(found.filter("again").select(doc, key), same).groupBy(doc, key).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return once.unionByName(repeated.select("row.*"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,20 @@ def test_one_of_a_group_stays(spark, odd):
     assert {1, 2, 3, 4, 7, 8, 9} <= set(ids) and not {5, 6, 10} & set(ids)
 
 
+def test_one_row_of_repeated_ids_and_texts_stays(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    other = " ".join(f"v{i}" for i in range(30))
+    rows = [(1, text, "b"), (1, text, "a"), (None, text, "c"), (None, text, "d"), (1, other, "e"), (4, other, "f"), (None, "lone words", "g"), (None, "lone words", "g")]
+    rows += [(5, "", "h"), (5, "", "h"), (5, None, "i"), (0, text + " more", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id string").withColumns({"of_doc": F.lit(1), "root": F.create_map(F.lit("a"), F.lit(2))})
+    kept = jaccard.first_of_groups(docs)
+    assert kept.columns == docs.columns
+    found = sorted((r.kept_id, r.doc_id) for r in kept.collect())
+    assert found == [("e", 1), ("g", None), ("h", 5), ("h", 5), ("i", 5), ("j", 0)]
+    assert [r.kept_id for r in jaccard.first_of_groups(docs.filter("text = '" + text + "'")).collect()] == ["a"]
+    assert jaccard.first_of_groups(docs.limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "a long, b long")
     assert {(r.node, r.root) for r in components.components(links).collect()} == {(i, 0) for i in range(41)} | {(99, 99), (100, 99)}
