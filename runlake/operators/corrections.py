@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -31,6 +31,16 @@ def join_samples(draws: DataFrame, injections: DataFrame) -> DataFrame:
     return padded(both)
 
 
+def join_if_drawn(draws: DataFrame, injections: DataFrame) -> DataFrame:
+    """:func:`join_samples`; if there is not one draw, the samples keep the run of their peak table.
+
+    Whether there is one is found out by the same job.
+    """
+    theirs = injections.withColumnRenamed("run_id", "_run_id")
+    both = draws.join(theirs, "sample_id", "full_outer")
+    return padded(both.withColumn("run_id", F.when(draws.exists(), F.col("run_id")).otherwise(F.col("_run_id"))))
+
+
 def draw_time_lookup(samples: DataFrame) -> DataFrame:
     """(run, injection time) -> draw time, unique; of several samples the first id counts."""
     usable = samples.filter(F.col("injection_time").isNotNull() & F.col("draw_time").isNotNull())
@@ -44,26 +54,36 @@ def _matched(analytical: DataFrame, samples: DataFrame) -> DataFrame:
     return analytical.join(lookup, ["run_id", "timestamp"], "left")
 
 
-def backdate(obs: DataFrame, samples: DataFrame) -> DataFrame:
+def backdate(obs: DataFrame, samples: DataFrame, watch: Observation | None = None) -> DataFrame:
     """Move analytical rows from injection time to the time the sample was drawn.
 
     Rows without a known draw time stay as they are. Only analytical rows take part in the
-    join; the rest of the table is passed on without a shuffle.
+    join; the rest of the table is passed on without a shuffle. ``watch`` counts, in the job that
+    computes the result, what :func:`unresolved_injections` counts in one of its own.
     """
     names = obs.columns
     moved = _matched(obs.filter("source = 'analytical'"), samples).withColumn(
         "timestamp", F.coalesce("draw_time", "timestamp")
     )
     # null-safe, so that rows without a source stay for the quality report to show
-    return obs.filter("NOT (source <=> 'analytical')").unionByName(moved.select(*names))
+    others = obs.filter("NOT (source <=> 'analytical')")
+    if watch is None:
+        return others.unionByName(moved.select(*names))
+    # watched above the union, as a branch without rows may be left out of the plan with its counts
+    marked = moved.select(*names, F.col("draw_time").isNotNull().alias("_found"))
+    both = others.withColumn("_found", F.lit(None).cast("boolean")).unionByName(marked)
+    return both.observe(watch, *_unresolved(F.col("_found"))).select(*names)
+
+
+def _unresolved(found: Column) -> list[Column]:
+    """``found`` says whether an analytical row has a draw time; null for other rows."""
+    return [F.count(found).alias("analytical_rows"), F.count_if(~found).alias("unresolved")]
 
 
 def unresolved_injections(obs: DataFrame, samples: DataFrame) -> DataFrame:
     """How many analytical rows there are and how many have no draw time to move to."""
     rows = _matched(obs.filter("source = 'analytical'"), samples)
-    return rows.agg(
-        F.count(F.lit(1)).alias("analytical_rows"), F.count_if(F.col("draw_time").isNull()).alias("unresolved")
-    )
+    return rows.agg(*_unresolved(F.col("draw_time").isNotNull()))
 
 
 def add_elapsed_hours(obs: DataFrame, runs: DataFrame) -> DataFrame:

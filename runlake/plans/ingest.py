@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from .. import schemas
-from ..operators.corrections import add_elapsed_hours, backdate, join_samples, padded, unresolved_injections
+from ..operators.corrections import add_elapsed_hours, backdate, join_if_drawn, padded, unresolved_injections
 from ..operators.quality import assert_clean, quality_report
 from ..operators.summaries import rows_by_source, table_counts
 from ..sources.layouts import if_present
@@ -35,6 +37,8 @@ class Normalized:
     samples: DataFrame
     #: Analytical rows, and those of them without a draw time to move to (one row).
     unresolved: DataFrame | None = None
+    #: The observations from given samples (as these are stored, say), with their unresolved injections counted on the way.
+    timed: Callable[[DataFrame, Observation], DataFrame] | None = None
 
     def summary(self) -> tuple[DataFrame, DataFrame]:
         """Rows per table, and observations per source."""
@@ -73,16 +77,13 @@ def read_all_layouts(spark: SparkSession, root: str, manifest: DataFrame, sheets
 
 
 def samples_of(spark: SparkSession, sheets: Sheets) -> DataFrame:
-    """The sample table from both kinds of sheet; either kind may be absent."""
+    """The sample table from both kinds of sheet; either kind may be absent, or have headers only."""
     draws = None if sheets.biomass is None else draw_records(sheets.biomass)
     injections = None if sheets.peaks is None else injection_records(sheets.peaks)
-    # a sheet with a header only says nothing about any sample
-    draws = None if draws is None or draws.isEmpty() else draws
-    injections = None if injections is None or injections.isEmpty() else injections
     if draws is None and injections is None:
         return schemas.empty(spark, schemas.SAMPLES)
     if draws is not None and injections is not None:
-        return join_samples(draws, injections)
+        return join_if_drawn(draws, injections)
     return padded(draws if injections is None else injections)
 
 
@@ -92,12 +93,16 @@ def normalize(spark: SparkSession, root: str) -> Normalized:
     sheets = read_sheets(spark, root)
     samples = samples_of(spark, sheets)
     raw = read_all_layouts(spark, root, manifest, sheets)
-    timed = add_elapsed_hours(backdate(raw, samples), manifest)
+
+    def timed(samples: DataFrame, watch: Observation | None = None) -> DataFrame:
+        return schemas.conform(add_elapsed_hours(backdate(raw, samples, watch), manifest), schemas.OBSERVATIONS)
+
     return Normalized(
         schemas.conform(manifest, schemas.RUNS),
-        schemas.conform(timed, schemas.OBSERVATIONS),
+        timed(samples),
         schemas.conform(samples, schemas.SAMPLES),
         unresolved_injections(raw, samples),
+        timed,
     )
 
 
@@ -109,16 +114,35 @@ def normalize_checked(spark: SparkSession, root: str) -> Normalized:
 
 
 def build_store(spark: SparkSession, raw_root: str, store_root: str, rebuild: bool = True) -> dict[str, int]:
-    """Ingest ``raw_root`` into the store and return the rows of each stored table."""
+    """Ingest ``raw_root`` into the store and return the rows of each stored table.
+
+    Every file is parsed once for each table that it feeds: samples are read back from the store for the draw
+    times, and the unresolved injections are counted while the observations are written.
+    """
     data = normalize(spark, raw_root)
-    write_store(data.runs, data.observations, data.samples, store_root, rebuild, runs_checked=True)
-    warn_of_unresolved(data)
+    watch = Observation()
+    write_store(
+        data.runs, lambda samples: data.timed(samples, watch), data.samples, store_root, rebuild, runs_checked=True
+    )
+    warn_of_unresolved(data, _observed(watch))
     return {r["table_name"]: r["n_rows"] for r in stored_counts(spark, store_root).collect()}
 
 
-def warn_of_unresolved(data: Normalized) -> None:
-    """Warn of analytical rows that stayed at their injection time."""
-    found = data.unresolved.first()
+def _observed(watch: Observation) -> Mapping[str, int] | None:
+    """What a watched write counted; None where Spark left its node out of the plan, as it does without any rows."""
+    try:
+        return watch.get
+    except Py4JJavaError:
+        return None
+
+
+def warn_of_unresolved(data: Normalized, counts: Mapping[str, int] | None = None) -> None:
+    """Warn of analytical rows that stayed at their injection time.
+
+    ``counts`` are those of a watched write; without them they are computed. A watched write that lost
+    executors may count a row twice, but misses none.
+    """
+    found = data.unresolved.first() if counts is None else counts
     if found["unresolved"]:
         total, left = found["analytical_rows"], found["unresolved"]
         what = "no analytical row has a draw time" if total == left else f"{left} of {total} analytical rows have no draw time"

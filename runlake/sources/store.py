@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -157,7 +157,7 @@ class _FileSystem:
 
 def write_store(
     runs: DataFrame,
-    observations: DataFrame,
+    observations: DataFrame | Callable[[DataFrame], DataFrame],
     samples: DataFrame,
     root: str,
     rebuild: bool = True,
@@ -166,21 +166,30 @@ def write_store(
 ) -> None:
     """Write the three tables, replacing the store or adding to it.
 
-    Runs and samples are checked as a whole first, together with what is stored already.
+    Runs and samples are written first, to a version that no state lists yet, and checked as a whole
+    from there, together with what is stored already: wherever they come from, they are computed once.
     Observations carry their checks into the write itself: the job fails on the first bad
     row and nothing of it becomes visible. The new state is written last, so a write that broke
     off is never read and changes nothing for readers. If another writer took the number of the
     new state meanwhile, the state it left is read, everything is checked against that, and
     the next number is tried: of two appends at once both stay, or the second is refused.
+    ``observations`` may be a function of the written samples instead, for rows that need them.
     ``runs_checked`` says that an earlier join has already rejected observations of unlisted
     runs, which spares doing it again. ``buckets`` is the number of run folders of a new store.
     """
     spark = runs.sparkSession
-    runs = schemas.conform(runs, schemas.RUNS)
-    samples = schemas.conform(samples, schemas.SAMPLES)
-    observations = schemas.conform(observations, schemas.OBSERVATIONS)
     nothing = schemas.empty(spark, schemas.OBSERVATIONS)
 
+    def begun(runs: DataFrame, samples: DataFrame) -> tuple[str, DataFrame, DataFrame]:
+        """A new version with the two small tables, and these as stored."""
+        version = f"v{uuid.uuid4().hex}"
+        back = []
+        for name, rows in (("runs", runs), ("samples", samples)):
+            path = f"{table_path(root, name)}/{VERSION}={version}"
+            schemas.conform(rows, TABLES[name]).write.parquet(path)
+            back.append(spark.read.schema(TABLES[name]).parquet(path))
+        return version, *back
+
     def checked_against(state: Row | None) -> tuple[list[str], int, DataFrame]:
         """The versions that stay, the folders of the store, and all runs; raises if the tables do not fit together."""
         if rebuild or state is None or not is_ready(spark, root):
@@ -193,30 +202,29 @@ def write_store(
         assert_clean(quality_report(nothing, all_runs, all_samples))
         return kept, folders, all_runs
 
-    def written(folders: int, all_runs: DataFrame) -> str:
-        owned = observations if runs_checked else reject_orphans(observations, all_runs)
+    def complete(version: str, folders: int, all_runs: DataFrame) -> None:
+        rows = schemas.conform(observations(samples) if callable(observations) else observations, schemas.OBSERVATIONS)
+        owned = rows if runs_checked else reject_orphans(rows, all_runs)
         laid_out = (
             guarded(owned)
             .withColumn(BUCKET, _bucket_of(F.col("run_id"), folders))
             .hint("rebalance", BUCKET)
             .sortWithinPartitions(BUCKET, "run_id", "source", "variable", "timestamp")
         )
-        version = f"v{uuid.uuid4().hex}"
-        folder = f"{VERSION}={version}"
-        # The one table that can still be refused goes first.
-        laid_out.write.partitionBy(BUCKET).parquet(f"{table_path(root, 'observations')}/{folder}")
-        runs.write.parquet(f"{table_path(root, 'runs')}/{folder}")
-        samples.write.parquet(f"{table_path(root, 'samples')}/{folder}")
-        return version
+        laid_out.write.partitionBy(BUCKET).parquet(f"{table_path(root, 'observations')}/{VERSION}={version}")
 
+    version, runs, samples = begun(runs, samples)
     state = _state(spark, root)
     kept, folders, all_runs = checked_against(state)
-    version, laid_out_for = written(folders, all_runs), folders
+    complete(version, folders, all_runs)
+    laid_out_for = folders
     while not _mark(spark, root, 1 if state is None else state["number"] + 1, [*kept, version], folders):
         state = _state(spark, root)
         kept, folders, all_runs = checked_against(state)
         if folders != laid_out_for:
-            version, laid_out_for = written(folders, all_runs), folders
+            version, runs, samples = begun(runs, samples)
+            complete(version, folders, all_runs)
+            laid_out_for = folders
         elif not rebuild and not runs_checked:
             ours = _load(spark, root, "observations").filter(F.col(VERSION) == version)
             reject_orphans(ours.select(*schemas.OBSERVATIONS.names), all_runs).agg(F.count("run_id")).first()

@@ -246,3 +246,31 @@ def test_repeated_runs_need_line_numbers(spark):
     rows = spark.createDataFrame([("R1", 1), ("R1", 2)], "run_id string, x int")
     with pytest.raises(Exception, match="run listed more than once: R1"):
         unique_runs(rows).collect()
+
+
+def test_a_watched_backdating_counts_as_the_query_does(spark, raw):
+    """The counts come with the job that computes the rows, and the rows are those of an unwatched one."""
+    from pyspark.sql import Observation
+
+    from runlake.operators.corrections import backdate, unresolved_injections
+
+    found = normalize(spark, raw)
+    late = found.observations.withColumn("timestamp", F.expr("timestamp + interval 3 hours"))
+    watch = Observation()
+    rows = backdate(late, found.samples, watch).collect()
+    assert watch.get == unresolved_injections(late, found.samples).first().asDict()
+    assert sorted(map(str, rows)) == sorted(map(str, backdate(late, found.samples).collect()))
+
+
+def test_the_build_counts_unresolved_rows_while_it_writes(spark, raw, tmp_path, monkeypatch):
+    from runlake.plans import ingest
+
+    seen = []
+    monkeypatch.setattr(ingest, "warn_of_unresolved", lambda data, counts: seen.append(counts))
+    # the sample without a draw keeps the build from being clean, so it goes
+    files = dict(FILES)
+    files["offline/R1_biomass.csv"] += "2026-03-02,19:30,R1,R1-S009,0.4,10,4.0,,KL,\n"
+    ingest.build_store(spark, write_tree(tmp_path / "raw", files), str(tmp_path / "s"))
+    write_tree(tmp_path / "none", {"run_manifest.csv": files["run_manifest.csv"]})
+    ingest.build_store(spark, str(tmp_path / "none"), str(tmp_path / "e"))
+    assert seen == [{"analytical_rows": 10, "unresolved": 0}, None]
