@@ -120,11 +120,15 @@ def build_store(spark: SparkSession, raw_root: str, store_root: str, rebuild: bo
     times, and the unresolved injections are counted while the observations are written.
     """
     data = normalize(spark, raw_root)
-    watch = Observation()
-    write_store(
-        data.runs, lambda samples: data.timed(samples, watch), data.samples, store_root, rebuild, runs_checked=True
-    )
-    warn_of_unresolved(data, _observed(watch))
+    watches: list[Observation] = []
+
+    def observations(samples: DataFrame) -> DataFrame:
+        # one for each write: the store may have to lay the rows out again, and an observation serves once
+        watches.append(Observation())
+        return data.timed(samples, watches[-1])
+
+    write_store(data.runs, observations, data.samples, store_root, rebuild, runs_checked=True)
+    warn_of_unresolved(data, _observed(watches[-1]))
     return {r["table_name"]: r["n_rows"] for r in stored_counts(spark, store_root).collect()}
 
 

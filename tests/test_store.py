@@ -264,6 +264,16 @@ def test_an_append_follows_a_rebuild_with_other_folders(spark, store, tmp_path,
     assert runlake.read_observations(spark, root, run_ids=["R9"]).count() == 1
 
 
+def test_a_build_that_appends_follows_a_rebuild_with_other_folders(spark, store, clean_raw, tmp_path, monkeypatch):
+    """The rows are laid out, and their unresolved injections counted, a second time."""
+    root = str(tmp_path / "s")
+    none = runlake.read_samples(spark, store).filter("false")
+    runlake.write_store(*one_run(spark, "R8"), none, root)
+    racing(monkeypatch, lambda: runlake.write_store(*one_run(spark, "R9"), none, root, buckets=3))
+    assert runlake.build_store(spark, clean_raw, root, rebuild=False) == {"runs": 5, "observations": 53, "samples": 2}
+    assert runlake.read_observations(spark, root, run_ids=["R1"], ordered=False).count() > 0
+
+
 def test_vacuum_removes_what_no_state_lists(spark, store, tmp_path, monkeypatch):
     from pathlib import Path
 
