@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with a max-plus scan over giant documents (operator 7).
 
 The model is a SentencePiece BPE model with byte fallback; only its pieces and scores are used, the merging is done here. Its
-pieces never hold a word boundary (a blank after another character) inside, so a text falls into words; a word is encoded
-once per worker and remembered.
+pieces never hold a word boundary (a blank after another character) inside, so a text falls into words. The new words of a
+batch are merged together, one merge of each word a round, and a worker remembers up to ``MEMO_WORDS`` of them.
 
 Documents of more than ``CHUNK`` characters are cut into chunks anywhere, also within words, and encoded in parallel:
 
@@ -14,6 +14,8 @@ Documents of more than ``CHUNK`` characters are cut into chunks anywhere, also w
    the state at every cut is found (:func:`states_along`).
 3. Knowing its two states, each chunk traces its own pieces back. The ids of the chunks are put together in order.
 
+Only the chunks are stored: they carry the text, and the first one the other columns, so a giant text is written once.
+
 Decoding joins the pieces (bytes by their pieces) and gives the text back: always the same text, but for a literal ``▁``, which the
 model cannot tell from a blank. Null or empty text: no ids, decoded as the empty text. Repeated rows: one row each.
 Extra columns pass through. An empty table gives an empty result.
@@ -23,19 +25,22 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from runlake.llm.common import columns_of, cut, documents, free_name, slices, stored
+from runlake.llm.common import columns_of, cut, documents, fresh_path, free_name, slices
 
 CHUNK = 8192
-#: Words whose ids a worker remembers.
-MEMO_WORDS = 500_000
+#: Words whose ids a worker remembers, and the bytes of text that it looks at together.
+MEMO_WORDS, BATCH = 150_000, 1 << 20
+#: Longer words are traced, not merged.
+LONG_WORD = 64
 #: The states of up to so many chunks are broadcast to them; more are joined.
 BROADCAST_CHUNKS = 1_000_000
 BLANK = "▁"
@@ -64,6 +69,22 @@ class PieceModel:
             raise ValueError("a piece holds a word boundary")
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        # symbols are the pieces and the characters in them; a merge is looked up by both symbols
+        symbols = {p: k for k, p in enumerate([*self.ids, *sorted(set("".join(self.ids)) - self.ids.keys())])}
+        self.symbol_ids = np.array([self.ids.get(p, -1) for p in symbols], np.int64)
+        self.symbol_points = np.array([ord(p) if len(p) == 1 else 0 for p in symbols], np.int64)
+        self.characters = np.full(0x110000, -1, np.int32)
+        for p, k in symbols.items():
+            if len(p) == 1:
+                self.characters[ord(p)] = k
+        merges = sorted(
+            (symbols[p[:i]] << 32 | symbols[p[i:]], k, self.scores[p])
+            for p, k in symbols.items() if len(p) > 1 for i in range(1, len(p)) if p[:i] in symbols and p[i:] in symbols
+        )
+        # one more that no pair equals
+        self.merge_keys = np.array([m[0] for m in merges] + [1 << 62], np.int64)
+        self.merge_symbols = np.array([m[1] for m in merges] + [-1], np.int32)
+        self.merge_scores = np.array([m[2] for m in merges] + [NEVER])
 
     def merged(self, text: str) -> list[str]:
         """The BPE encoding as pieces; characters without a piece stay alone. The best-scored, leftmost pair merges first."""
@@ -102,18 +123,87 @@ class PieceModel:
                 out.extend(self.of_byte[b] for b in p.encode())
         return out.tobytes()
 
-    def word(self, word: str) -> bytes:
-        known = self.words.get(word)
-        if known is None:
-            if len(self.words) > MEMO_WORDS:
-                self.words.clear()
-            parts = self.merged(word) if len(word) <= 64 else self.traced(word, None, 0, len(word), None)
-            known = self.words[word] = self.pack(parts)
-        return known
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text, packed in 32 bits."""
-        return b"".join(map(self.word, _WORDS.findall(normal(text)))) if text else b""
+    def joins(self, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scores of the symbols at ``at`` merged with the next ones, and the symbols that they make."""
+        left, right = symbols[at].astype(np.int64), symbols[at + 1].astype(np.int64)
+        keys = left << 32 | right
+        place = np.searchsorted(self.merge_keys, keys)
+        place[(left < 0) | (right < 0)] = len(self.merge_keys) - 1
+        place = np.where(self.merge_keys[place] == keys, place, len(self.merge_keys) - 1)
+        return self.merge_scores[place], self.merge_symbols[place]
+
+    def merged_together(self, words: list[str]) -> list[bytes]:
+        """As :meth:`merged` and :meth:`pack` for each word; each round merges the best pair of every word."""
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        # characters without a symbol are negative
+        symbols = self.characters[points]
+        symbols = np.where(symbols < 0, -1 - points, symbols).astype(np.int32)
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        last = np.append(word[1:] != word[:-1], True)
+        scores, makes = np.full(len(word), NEVER), np.full(len(word), -1, np.int32)
+        inner = np.flatnonzero(~last)
+        scores[inner], makes[inner] = self.joins(symbols, inner)
+        done = []
+        while len(word):
+            starts = np.flatnonzero(np.append(True, last[:-1]))
+            sizes = np.diff(np.append(starts, len(word)))
+            best = np.maximum.reduceat(scores, starts)
+            if (ended := best == NEVER).any():
+                over = np.repeat(ended, sizes)
+                done.append((word[over], symbols[over]))
+                word, symbols, last, scores, makes = (x[~over] for x in (word, symbols, last, scores, makes))
+                best, sizes = best[~ended], sizes[~ended]
+                if not len(word):
+                    break
+            # the leftmost of equal scores
+            at = np.flatnonzero(scores == np.repeat(best, sizes))
+            at = at[np.append(True, word[at[1:]] != word[at[:-1]])]
+            symbols[at] = makes[at]
+            last[at] = last[at + 1]
+            keep = np.ones(len(word), bool)
+            keep[at + 1] = False
+            word, symbols, last, scores, makes = (x[keep] for x in (word, symbols, last, scores, makes))
+            at -= np.arange(len(at))
+            scores[at] = NEVER
+            before = at[at > 0] - 1
+            changed = np.concatenate([at, before])
+            changed = changed[~last[changed]]
+            scores[changed], makes[changed] = self.joins(symbols, changed)
+        word, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        word, symbols = word[order], symbols[order]
+        ids = np.where(symbols < 0, -1, self.symbol_ids[np.maximum(symbols, 0)])
+        # characters without a piece are bytes
+        alone = np.flatnonzero(ids < 0)
+        points = np.where(symbols[alone] < 0, -1 - symbols[alone], self.symbol_points[np.maximum(symbols[alone], 0)])
+        kinds, which = np.unique(points, return_inverse=True)
+        as_bytes = [[self.of_byte[b] for b in chr(k).encode()] for k in kinds.tolist()]
+        sizes = np.ones(len(ids), np.int64)
+        sizes[alone] = np.array([len(b) for b in as_bytes], np.int64)[which]
+        at = np.cumsum(sizes) - sizes
+        ids, word = np.repeat(ids, sizes), np.repeat(word, sizes)
+        for k in range(max(map(len, as_bytes), default=0)):
+            has = sizes[alone] > k
+            ids[at[alone[has]] + k] = np.array([b[k] if len(b) > k else 0 for b in as_bytes])[which[has]]
+        edges = (4 * np.searchsorted(word, np.arange(len(words) + 1))).tolist()
+        packed = ids.astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Encodes those of the words that are not remembered."""
+        new = set(words).difference(self.words)
+        if len(self.words) + len(new) > MEMO_WORDS:
+            new |= {w for w in words if w in self.words}
+            self.words.clear()
+        if usual := [w for w in new if len(w) <= LONG_WORD]:
+            self.words.update(zip(usual, self.merged_together(usual), strict=True))
+        self.words.update((w, self.pack(self.traced(w, None, 0, len(w), None))) for w in new if len(w) > LONG_WORD)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, packed in 32 bits."""
+        found = [_WORDS.findall(normal(x)) if x else [] for x in texts]
+        self.learn({*chain.from_iterable(found)})
+        return [b"".join(map(self.words.__getitem__, words)) for words in found]
 
     # --- the lattice of a stretch of text
 
@@ -204,20 +294,31 @@ def combined(matrices: list[np.ndarray]) -> np.ndarray:
 
 # --- chunks
 
-CHUNKS = "row long, chunk int, last boolean, text string, cut int, stop int"
+def chunks_schema(rest: StructType) -> StructType:
+    kinds = {"row": LongType(), "chunk": IntegerType(), "opens": BooleanType(), "last": BooleanType(), "text": StringType(), "cut": IntegerType(), "stop": IntegerType(), "rest": rest}
+    return StructType([StructField(name, kind) for name, kind in kinds.items()])
 
 
 def chunks(batches: Iterator[pa.RecordBatch], longest: int, chunk: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of normal text with a margin of one piece on both sides; ``cut`` and ``stop`` are the chunk's ends in it."""
-    names = [x.split()[0] for x in CHUNKS.split(", ")]
+    """Chunks of texts with a margin of one piece on both sides. ``cut`` and ``stop`` are the chunk's ends in its normal text;
+    ``opens``: it begins where the text does. The first chunk of a text has its other columns, ``rest``."""
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.int32(), pa.int32()]
     for batch in slices(batches):
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text = normal(text)
-            for number, start in enumerate(range(0, len(text), chunk)):
-                begin, end = max(0, start - longest - 1), min(len(text), start + chunk)
-                values = [row, number, end == len(text), text[begin : end + longest], start - begin, end - begin]
-                kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+        out, of = [], []
+        for i, (row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            size = len(text) + 1  # the normal text has a blank in front
+            for number, start in enumerate(range(0, size, chunk)):
+                begin, end = max(0, start - longest - 1), min(size, start + chunk)
+                out.append((row, number, begin == 0, end == size, text[max(0, begin - 1) : end + longest - 1], start - begin, end - begin))
+                of.append(None if number else i)
+        columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns, batch.column(2).take(pa.array(of, pa.int64()))], ["row", "chunk", "opens", "last", "text", "cut", "stop", "rest"])
+
+
+def chunk_rows(batch: pa.RecordBatch) -> list[dict]:
+    """The chunks of a batch with their normal text."""
+    rows = batch.select(["row", "chunk", "opens", "last", "text", "cut", "stop", *[c for c in ("enter", "leave") if c in batch.schema.names]]).to_pylist()
+    return [r | {"text": normal(r["text"]) if r["opens"] else r["text"].replace(" ", BLANK)} for r in rows]
 
 
 def ends_of_chunk(model: PieceModel, row: dict) -> tuple[list, list]:
@@ -262,8 +363,14 @@ def transfer(model: PieceModel, row: dict) -> np.ndarray:
     return out
 
 
-def traced_ids(model: PieceModel, row: dict) -> bytes:
-    """The packed ids of a chunk between its two known states."""
+def inner_words(model: PieceModel, row: dict) -> list[str]:
+    """The words of a chunk that stand alone."""
+    between = whole_words(row, ends_of_chunk(model, row)[0])
+    return _WORDS.findall(row["text"][between[0] : between[1]]) if between else []
+
+
+def traced_ids(model: PieceModel, row: dict, words: list[str]) -> bytes:
+    """The packed ids of a chunk between its two known states. ``words``: its :func:`inner_words`, learned."""
     enter, leave = ends_of_chunk(model, row)
     piece, end = enter[row["enter"]]
     text, stop, at, to = row["text"], row["stop"], row["cut"] + end, leave[row["leave"]]
@@ -272,18 +379,21 @@ def traced_ids(model: PieceModel, row: dict) -> bytes:
     between = whole_words(row, enter)
     if between is None:
         return model.pack(model.traced(text, piece, at, stop, to))
-    words = b"".join(map(model.word, _WORDS.findall(text[between[0] : between[1]])))
-    return model.pack(model.traced(text, piece, at, between[0], None)) + words + model.pack(model.traced(text, None, between[1], stop, to))
+    inner = b"".join(map(model.words.__getitem__, words))
+    return model.pack(model.traced(text, piece, at, between[0], None)) + inner + model.pack(model.traced(text, None, between[1], stop, to))
 
 
 def giant_ids(rows: DataFrame, path: str, chunk: int) -> DataFrame:
-    """For (row, text): row, ids (packed)."""
-    cuts = stored(rows.mapInArrow(lambda b: chunks(b, model_of(path).longest, chunk), CHUNKS), "chunks")
+    """For (row, text, rest): text, rest, ids (packed in 32 bits)."""
+    spark, schema = rows.sparkSession, chunks_schema(rows.schema["rest"].dataType)
+    place = fresh_path(spark, "chunks")
+    rows.mapInArrow(lambda b: chunks(b, model_of(path).longest, chunk), schema).write.option("compression", "zstd").parquet(place)
+    cuts = spark.read.schema(schema).parquet(place)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
         for batch in slices(batches):
-            found = [transfer(model, r) for r in batch.to_pylist()]
+            found = [transfer(model, r) for r in chunk_rows(batch)]
             columns = [batch.column(0), batch.column(1), pa.array([len(m) for m in found], pa.int32()), pa.array([m.tobytes() for m in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "chunk", "height", "matrix"])
 
@@ -293,39 +403,55 @@ def giant_ids(rows: DataFrame, path: str, chunk: int) -> DataFrame:
         states = [0, *states_along(found), 0]
         return pa.table([table["row"], table["chunk"], pa.array(states[:-1], pa.int32()), pa.array(states[1:], pa.int32())], names=["row", "chunk", "enter", "leave"])
 
-    ways = cuts.mapInArrow(matrices, "row long, chunk int, height int, matrix binary").groupBy("row").applyInArrow(scan, "row long, chunk int, enter int, leave int")
+    ways = cuts.drop("rest").mapInArrow(matrices, "row long, chunk int, height int, matrix binary").groupBy("row").applyInArrow(scan, "row long, chunk int, enter int, leave int")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
-        for batch in slices(batches):
-            out = [traced_ids(model, r) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["row", "chunk", "ids"])
+        narrow = np.dtype("<u2" if len(model.names) <= 1 << 16 else "<u4")
+        for batch in slices(batches, BATCH):
+            parts = chunk_rows(batch)
+            words = [inner_words(model, r) for r in parts]
+            model.learn({*chain.from_iterable(words)})
+            ids = [np.frombuffer(traced_ids(model, r, w), "<u4").astype(narrow).tobytes() for r, w in zip(parts, words, strict=True)]
+            # what is the chunk's own, without margins and without the blank in front
+            texts = [t[max(0, r["cut"] - r["opens"]) : r["stop"] - r["opens"]] for t, r in zip(batch.column("text").to_pylist(), parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(texts, pa.string()), batch.column("rest"), pa.array(ids, pa.binary())], names)
+
+    def whole(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk") if table.num_rows > 1 else table
+        narrow = np.dtype("<u2" if len(model_of(path).names) <= 1 << 16 else "<u4")
+        ids = np.frombuffer(b"".join(table["ids"].to_pylist()), narrow).astype("<u4").tobytes()
+        first = table.slice(0, 1)
+        return pa.table([pa.array(["".join(table["text"].to_pylist())], pa.string()), first["rest"], pa.array([ids], pa.binary())], names=["text", "rest", "ids"])
 
     ways = cut(ways)
     few = ways.count() <= BROADCAST_CHUNKS
-    parts = cuts.join(F.broadcast(ways) if few else ways, ["row", "chunk"]).select("row", "chunk", "last", "text", "cut", "stop", "enter", "leave")
-    parts = parts.mapInArrow(trace, "row long, chunk int, ids binary")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda p: p["ids"])
-    joined = F.aggregate(ordered, F.unhex(F.lit("")), lambda a, b: F.concat(a, b))
-    return parts.groupBy("row").agg(joined.alias("ids"))
+    parts = cuts.join(F.broadcast(ways) if few else ways, ["row", "chunk"])
+    traced = StructType([schema["row"], schema["chunk"], schema["text"], schema["rest"], StructField("ids", BinaryType())])
+    names = traced.names
+    return parts.mapInArrow(trace, traced).groupBy("row").applyInArrow(whole, StructType([schema["text"], schema["rest"], StructField("ids", BinaryType())]))
 
 
 def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with a binary column ``piece_ids`` (``piece_ids_`` if there is one): the ids as little-endian 32-bit integers."""
-    rows = docs.select(F.struct(*columns_of(docs)).alias("kept"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    giant = F.length("text") >= chunk
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("kept"), text.alias("text"))
+    name = free_name(docs, "piece_ids")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
-        for batch in slices(batches):
-            ids = pa.array([model.encode(x) for x in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["kept", "ids"])
+        for batch in slices(batches, BATCH):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.encode(batch.column(1).to_pylist()), pa.binary())], ["kept", "ids"])
 
-    schema = StructType([rows.schema["kept"], StructField("ids", BinaryType())])
-    usual = rows.filter(~giant).mapInArrow(whole, schema)
-    giants = stored(rows.filter(giant).select(F.monotonically_increasing_id().alias("row"), "kept"), "giants")
-    long = giants.join(giant_ids(giants.select("row", F.col("kept.text").cast("string").alias("text")), path, chunk), "row")
-    return usual.unionByName(long.select("kept", "ids")).select("kept.*", F.col("ids").alias(free_name(docs, "piece_ids")))
+    usual = rows.filter(F.length("text") < chunk).mapInArrow(whole, StructType([rows.schema["kept"], StructField("ids", BinaryType())]))
+    # a struct must have a field, and row numbers do not go into it
+    rest = F.struct(F.lit(True).alias(free_name(docs, "there")), *[c for c, n in zip(columns_of(docs), docs.columns, strict=True) if n != "text"])
+    long = docs.filter(F.length(text) >= chunk).select(F.monotonically_increasing_id().alias("row"), text.alias("text"), rest.alias("rest"))
+    long = giant_ids(long, path, chunk)
+    columns = [
+        F.col("text").cast(docs.schema["text"].dataType).alias("text") if n == "text" else F.col(f"rest.`{n.replace('`', '``')}`").alias(n) for n in docs.columns
+    ]
+    return usual.select("kept.*", F.col("ids").alias(name)).union(long.select(*columns, F.col("ids").alias(name)))
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "piece_ids") -> DataFrame:
@@ -335,7 +461,7 @@ def decoded(rows: DataFrame, path: str, ids: str = "piece_ids") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, byte_of = model_of(path).names, model_of(path).byte_of
         as_bytes = [bytes([byte_of[i]]) if i in byte_of else n.replace(BLANK, " ").encode() for i, n in enumerate(names)]
-        for batch in slices(batches, column=ids):
+        for batch in slices(batches, BATCH, column=ids):
             texts = [b"".join(map(as_bytes.__getitem__, array("I", x or b"")))[1:].decode(errors="replace") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 

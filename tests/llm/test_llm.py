@@ -20,6 +20,7 @@ from runlake.llm import (  # noqa: E402
     components, fingerprints, fm_index, jaccard, lines, mixing, pieces, quality, sharding, suffix_arrays, token_files, windows,
 )
 from runlake.llm.catalogue import LLM_ORACLES, LLM_QUERIES  # noqa: E402
+from runlake.llm.common import shared_folder  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -351,6 +352,37 @@ def test_pieces_equal_the_library(spark, odd, library, chunk):
         assert np.frombuffer(r.piece_ids, "<u4").tolist() == library.encode(r.text or "") and r.decoded == (r.text or "")
 
 
+def test_words_merged_together_equal_the_library(library):
+    rng = random.Random(21)
+    texts = ["".join(rng.choices("aehinorst.,é日🙂\n", k=rng.randint(1, 40))) for _ in range(300)] + ["  aa  aaa ", "x" * 100, None, ""]
+    model = pieces.PieceModel(pieces.default_model())
+    words = sorted({w for t in texts if t for w in pieces._WORDS.findall(pieces.normal(t))})
+    assert model.merged_together(words) == [model.pack(model.merged(w)) for w in words]
+    for text, ids in zip(texts, model.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "")
+
+
+def test_a_worker_remembers_a_bounded_number_of_words(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMO_WORDS", 50)
+    model = pieces.PieceModel(pieces.default_model())
+    first = model.encode([" ".join(f"a{i}" for i in range(k, k + 40)) for k in range(0, 200, 10)])
+    assert first == [x for k in range(0, 200, 10) for x in model.encode([" ".join(f"a{i}" for i in range(k, k + 40))])]
+    assert len(model.words) <= 50
+
+
+def test_giant_texts_are_stored_once(spark, odd, monkeypatch):
+    """Without the chunks' margins, which are short, no more text is stored than there is."""
+    paths = []
+    monkeypatch.setattr(pieces, "fresh_path", lambda s, name: paths.append(f"{shared_folder(s)}/{name}-{len(paths)}-{random.random()}") or paths[-1])
+    docs = odd.filter("doc_id = 8")
+    text = docs.first().text
+    found = pieces.encoded(docs, pieces.default_model(), 5000).collect()
+    assert [r.text for r in found] == [text] and [c for c in found[0].asDict()] == [*docs.columns, "piece_ids_"]
+    (path,) = paths
+    stored = spark.read.parquet(path).selectExpr("sum(length(text)) AS n", "count(rest) AS rests").first()
+    assert len(text) <= stored.n <= 1.05 * len(text) and stored.rests == 1
+
+
 def test_max_plus_tree_equals_search():
     rng = np.random.default_rng(8)
     matrices = [rng.integers(0, 9, s).astype(float) for s in ((1, 3), (3, 4), (4, 2), (2, 3), (3, 1))]
