@@ -13,9 +13,10 @@ whole sequence if it has fewer words, or nothing. Two sets are linked if 100 * i
 4. *Survivors are verified exactly*, on their full sets, which are cut out of the texts once more for these nodes only.
 5. *No pairs within a group.* Each round compares the nodes of a bucket with one hub of the bucket, the first in a random
    order of all nodes (so that buckets of one group share their hubs), and joins what is linked. Buckets whose nodes are all connected are done; in the others only the
-   nodes outside the largest component go on, with a new hub. After ``HUB_ROUNDS`` rounds what is left open is compared pair by
-   pair between components; these pairs are unlike each other but for a common passage. So every candidate pair is either
-   tested, or connected already: components are those of all candidate pairs.
+   nodes outside the largest component go on, with a new hub. After ``HUB_ROUNDS`` rounds the nodes of what is left open meet by the
+   rarest shingles of their sets instead of by bands (:func:`prefix_pairs`): this misses no link, and leaves out most pairs of a
+   group whose members are alike, but not enough for a link. So every link between candidates is either tested, or connected
+   already: components are those of all candidate pairs.
 
 The miss probability concerns candidates that are wrongly dropped; a link is never wrong. Null or empty text: empty set, linked
 with nothing. Rows that repeat a ``doc_id`` are one row each with their own set; the component carries the smallest ``doc_id`` of
@@ -43,6 +44,8 @@ BANDS, ROWS = 32, 5
 BATCH, MISS = 32, 1e-6
 #: Rounds of comparing each bucket with a hub before its remaining pairs are compared.
 HUB_ROUNDS = 3
+#: Sizes within this ratio are one class when the remaining pairs meet.
+SIZE_STEP = 1.05
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -201,6 +204,50 @@ def linked(pairs: DataFrame, signed: DataFrame, cut_sets, percent: int) -> DataF
     return cut(both.filter(F.size(F.array_intersect("xa", "xb")) >= needed(percent)).select("a", "b"))
 
 
+def prefix_pairs(open_: DataFrame, cut_sets, percent: int) -> DataFrame:
+    """The pairs (a, na, b, nb) of nodes of (band, nr, n, root) that may be linked and have other roots.
+
+    In one order of all shingles, linked sets with an intersection of ``k`` or more share a shingle among the first ``na - k + 1`` of one
+    and the first ``nb - k + 1`` of the other. Rare shingles come first, so members of a group that differ by more than a link allows
+    meet only if they share some of what sets them apart from the group. Sets meet by size class, which tells ``k`` closely.
+    """
+    nodes = cut(open_.select("nr", "n", "root").distinct())
+    each = nodes.join(cut_sets(nodes.select("nr")), "nr").select("nr", "n", "root", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    shared = each.join(often, "shingle").groupBy("nr", "n", "root").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("shared"))
+    # shingles of one node alone come before all others
+    alone = (F.col("n") - F.size("shared")).cast("int")
+    longest = (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int")
+    heads = shared.select("nr", "n", "root", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(longest - alone, F.lit(0)))))
+    heads = heads.select("nr", "n", "root", (F.col("alone") + F.col("pos") + 1).alias("rank"), F.col("col.shingle").alias("shingle"))
+    heads = heads.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP)).cast("int"))
+
+    n, steps = F.col("n").cast("double"), range(int(math.log(100 / percent) / math.log(SIZE_STEP)) + 2)
+
+    def meeting(sign: int) -> DataFrame:
+        """The heads once for each number of classes between smaller and larger set, as the smaller (1) or the larger (-1) one."""
+        ways = []
+        for d in steps:
+            # the least size of a partner, with room for rounding
+            least = F.pow(F.lit(SIZE_STEP), F.col("class") + sign * d) - 1e-6
+            partner = F.greatest(n, least) if sign > 0 else F.greatest(n * percent / 100, least)
+            room = n - F.ceil(F.lit(percent) * (n + partner) / (100 + percent) - 1e-6) + 1
+            ways.append(F.when(F.col("rank") <= room, F.struct((F.col("class") + min(0, sign * d)).alias("low"), F.lit(d).alias("d"))))
+        return heads.select("*", F.explode(F.filter(F.array(*ways), lambda w: w.isNotNull())).alias("way")).select("shingle", "way.*", "nr", "n", "root", "rank")
+
+    small = meeting(1).select("shingle", "low", "d", F.col("nr").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("rank").alias("ka"))
+    large = meeting(-1).select("shingle", "low", "d", F.col("nr").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("rank").alias("kb"))
+    pairs = small.join(large, ["shingle", "low", "d"]).filter(
+        ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("ra") != F.col("rb"))
+        & (F.col("ka") <= F.col("na") - needed(percent) + 1) & (F.col("kb") <= F.col("nb") - needed(percent) + 1)
+    )
+    first = F.col("a") < F.col("b")
+    return pairs.select(
+        F.least("a", "b").alias("a"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"),
+        F.greatest("a", "b").alias("b"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb"),
+    )
+
+
 def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """For (doc_id, text): doc_id, n_shingles, component_id, kept."""
     sets = stored(set_rows(docs, size), "sets")
@@ -236,20 +283,7 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         if open_.isEmpty():
             break
     else:
-        per_root = open_.groupBy("band", "root").agg(F.count(F.lit(1)).alias("members"))
-        largest = per_root.groupBy("band").agg(F.max(F.struct("members", "root")).alias("top")).select("band", F.col("top.root").alias("top"))
-        rest = open_.join(largest, "band")
-        small = rest.filter("root <> top").select("band", F.col("nr").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-        pairs = small.join(rest, "band").filter(
-            ((F.col("root") == F.col("top")) | ((F.col("root") != F.col("rx")) & (F.col("x") < F.col("nr"))))
-            & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
-        )
-        first = F.col("x") < F.col("nr")
-        pairs = pairs.select(
-            F.least("x", "nr").alias("a"), F.when(first, F.col("nx")).otherwise(F.col("n")).alias("na"),
-            F.greatest("x", "nr").alias("b"), F.when(first, F.col("n")).otherwise(F.col("nx")).alias("nb"),
-        )
-        links = links.unionByName(linked(pairs, signed, cut_sets, percent))
+        links = links.unionByName(linked(prefix_pairs(open_, cut_sets, percent), signed, cut_sets, percent))
     roots = components(links)
     named = nodes.join(roots.withColumnRenamed("node", "nr"), "nr", "left").withColumn("root", F.coalesce("root", "nr"))
     firsts = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

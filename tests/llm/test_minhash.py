@@ -98,3 +98,36 @@ def test_posterior_bound_equals_numeric_integration():
             density = m * np.log(grid) + (n - m) * np.log1p(-grid)
             density = np.exp(density - density.max())
             assert (density[grid >= 0.8].sum() / density.sum() >= minhash.MISS * 0.99) == (m >= least)
+
+
+def test_a_group_that_is_alike_but_not_linked_makes_few_pairs(spark, monkeypatch):
+    """80 texts with a common core of 170 words and 30 of their own (similarity 0.74), of some a near copy."""
+    rng = random.Random(17)
+    core = [f"core{i}" for i in range(170)]
+    rows = []
+    for k in range(80):
+        words = core + [f"own{k}x{i}" for i in range(30 + k % 3)]
+        rows.append((k, " ".join(words)))
+        if k % 4 == 0:
+            rows.append((100 + k, " ".join(words[: 170 + rng.randint(0, 30)])))
+            rows.append((200 + k, " ".join([*words, "end", "of", "it"])))
+    sets = {i: {tuple(w) for w in zip(t.split(), t.split()[1:])} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    nodes = spark.createDataFrame([(7, i, len(s), i) for i, s in sets.items()], "band long, nr long, n long, root long")
+    names = {g: k for k, g in enumerate(sorted(set().union(*sets.values())))}
+    lists = spark.createDataFrame([(i, [names[g] for g in s]) for i, s in sets.items()], "nr long, shingles array<long>")
+    pairs = {(r.a, r.b): (r.na, r.nb) for r in minhash.prefix_pairs(nodes, lambda wanted: lists.join(wanted, "nr", "left_semi"), 80).collect()}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert links <= pairs.keys() and all(s == (len(sets[a]), len(sets[b])) for (a, b), s in pairs.items())
+    assert len(pairs) < 10 * len(sets) < len(sets) * (len(sets) - 1) / 4
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", 1)
+    found = minhash.joined(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: top(i) for i in sets}
