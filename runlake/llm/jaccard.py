@@ -13,9 +13,10 @@ whole sequence if it has fewer words, or nothing. Two sets are linked if 100 * i
 4. *Vertical partitioning.* The order is cut into fragments, and the sets of the nodes in such pairs are cut alike; the overlap of a
    pair is counted fragment by fragment and summed per pair.
 5. *No pairs within a group.* First every node is compared with two hubs of each of its prefix shingles, which joins most groups
-   with a number of pairs linear in the nodes. Then, for each shingle whose nodes are still in several components, the nodes
-   outside its largest component are compared with those of other components: every link that can still join anything is
-   tested, links inside a component are not needed.
+   with a number of pairs linear in the nodes. Then the nodes of the shingles whose nodes are still in several components meet once
+   more, by the rarest shingles among them and by size (:func:`runlake.llm.minhash.prefix_pairs`): every link that can still join
+   anything is tested, links inside a component are not needed, and members of a group that differ by more than a link allows
+   hardly ever meet.
 
 Null or empty text: empty set, linked with nothing. Rows that repeat a ``doc_id`` are one row each with their own set; the
 component carries the smallest ``doc_id`` of its rows. Extra columns pass through.
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from runlake.llm.common import MIX_A, MIX_B, byte_words, columns_of, cut, documents, free_name, ids_and_texts, mixed, range_hashes, raw_text, slices, stored
 from runlake.llm.components import components
+from runlake.llm.minhash import prefix_pairs
 
 CELL_BITS, CLASS_SHIFT, FRAGMENT_SHIFT = 20, 57, 54
 LIGHT_FRAGMENTS = 1 << (CLASS_SHIFT - FRAGMENT_SHIFT)
@@ -206,17 +208,17 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     roots = components(links)
     placed = kept.join(roots, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
-    per_root = placed.groupBy("shingle", "root").agg(F.count("*").alias("members"))
-    largest = per_root.groupBy("shingle").agg(F.max(F.struct("members", "root")).alias("top"), F.count("*").alias("roots"))
-    open_ = largest.filter("roots > 1").select("shingle", F.col("top.root").alias("top"))
-    placed = cut(placed.join(open_, "shingle"))
-    small = placed.filter("root <> top").select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    other = placed.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "top")
-    cross = small.join(other, "shingle").filter(
-        (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("top")) | (F.col("a") < F.col("b")))
-        & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    )
-    links = links.unionByName(linked(cross.select("a", "na", "b", "nb"), shared, cut_sets, percent))
+    per_root = placed.select("shingle", "root").distinct()
+    open_ = per_root.groupBy("shingle").agg(F.count("*").alias("roots")).filter("roots > 1").select("shingle")
+    open_nodes = placed.join(open_, "shingle", "left_semi").select(F.col("node").alias("nr"), "n", "root")
+
+    def whole_sets(nodes: DataFrame) -> DataFrame:
+        """The fragments of the nodes, each once."""
+        parts = cut_sets(nodes.withColumnRenamed("nr", "node")).groupBy("node", "fragment").agg(F.first("shingles").alias("shingles"))
+        return parts.select(F.col("node").alias("nr"), "shingles")
+
+    cross = prefix_pairs(open_nodes, whole_sets, percent)
+    links = links.unionByName(linked(cross, shared, cut_sets, percent))
 
     roots = components(links)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))

@@ -332,6 +332,28 @@ def test_next_document_over_many_ranges(spark, monkeypatch):
     assert found == {f"t{i}": f"t{(i - 1) % 100}" for i in range(100)}
 
 
+def test_anchor_buckets_send_at_most_their_square(spark):
+    """Every bucket of anchors sends one row to every bucket of documents: not to every shard."""
+    rng = random.Random(31)
+    texts = ["".join(rng.choices("abcdefghij ", k=600)) for _ in range(120)]
+    rows = windows.keyed(spark.createDataFrame([(i, texts[i // 2]) for i in range(240)], "doc_id long, text string"))
+    how = suffix_arrays.Bytes()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert windows.shared_anchors(rows, how, how.deals * partitions, windows.HOT_DOCUMENTS).count() <= partitions**2
+    assert how.shards > how.deals
+
+
+def test_jaccard_of_a_group_that_is_alike_but_not_linked_tests_few_pairs(spark, monkeypatch):
+    core = [f"core{i}" for i in range(170)]
+    rows = [(k, " ".join([*core, *(f"own{k}x{i}" for i in range(34))])) for k in range(60)]
+    rows += [(100 + k, rows[k][1] + " the end") for k in range(0, 60, 6)]
+    tested, linked = [], jaccard.linked
+    monkeypatch.setattr(jaccard, "linked", lambda pairs, *more: tested.append(pairs.distinct().count()) or linked(pairs, *more))
+    found = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i % 100 if i >= 100 else i for i, _ in rows}
+    assert len(tested) == 2 and tested[1] < 3 * len(rows)
+
+
 # --- 7
 
 
