@@ -13,10 +13,10 @@ whole sequence if it has fewer words, or nothing. Two sets are linked if 100 * i
 4. *Vertical partitioning.* The order is cut into fragments, and the sets of the nodes in such pairs are cut alike; the overlap of a
    pair is counted fragment by fragment and summed per pair.
 5. *No pairs within a group.* First every node is compared with two hubs of each of its prefix shingles, which joins most groups
-   with a number of pairs linear in the nodes. Then the nodes of the shingles whose nodes are still in several components meet once
-   more, by the rarest shingles among them and by size (:func:`runlake.llm.minhash.prefix_pairs`): every link that can still join
-   anything is tested, links inside a component are not needed, and members of a group that differ by more than a link allows
-   hardly ever meet.
+   with a number of pairs linear in the nodes. Then the nodes of each prefix shingle whose nodes are still in several components
+   meet once more. Links inside a component are not needed; a pair whose sizes, places of the shingle or sketches
+   (:mod:`runlake.llm.sketches`) allow no link goes no further than the join. So every link that can still join anything is
+   tested, and members of a group that differ by more than a link allows are no pairs.
 
 Null or empty text: empty set, linked with nothing. Rows that repeat a ``doc_id`` are one row each with their own set; the
 component carries the smallest ``doc_id`` of its rows. Extra columns pass through.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from runlake.llm.common import MIX_A, MIX_B, byte_words, columns_of, cut, documents, free_name, ids_and_texts, mixed, range_hashes, raw_text, slices, stored
 from runlake.llm.components import components
-from runlake.llm.minhash import prefix_pairs
+from runlake.llm.sketches import open_pairs, sketch, sketch_lists
 
 CELL_BITS, CLASS_SHIFT, FRAGMENT_SHIFT = 20, 57, 54
 LIGHT_FRAGMENTS = 1 << (CLASS_SHIFT - FRAGMENT_SHIFT)
@@ -105,12 +105,12 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def set_rows(docs: DataFrame, size: int, percent: int, classes) -> DataFrame:
-    """(doc_id, text_key, n, node, check, last, prefix) of every document; text_key is a hash of its text, node and check are the
+    """(doc_id, text_key, n, node, check, last, prefix, sketch) of every document; text_key is a hash of its text, node and check are the
     digest of its set, last ends its prefix."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n, node, check, last, prefix = [], [], [], [], []
+            n, node, check, last, prefix, sketches = [], [], [], [], [], []
             for found in shingle_sets(batch.column(1), size):
                 a, b = digest(found)
                 n.append(len(found))
@@ -118,12 +118,13 @@ def set_rows(docs: DataFrame, size: int, percent: int, classes) -> DataFrame:
                 check.append(b)
                 prefix.append(ordered(found, classes.value)[: len(found) - (percent * len(found) + 99) // 100 + 1 if len(found) else 0])
                 last.append(int(prefix[-1][-1]) if len(found) else 0)
+                sketches.append(sketch(found) if len(found) else None)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix)))
-            columns = [batch.column(0), batch.column(2), *[pa.array(x, pa.int64()) for x in (n, node, check, last)], lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "node", "check", "last", "prefix"])
+            columns = [batch.column(0), batch.column(2), *[pa.array(x, pa.int64()) for x in (n, node, check, last)], lists, sketch_lists(sketches)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "node", "check", "last", "prefix", "sketch"])
 
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    return keyed.mapInArrow(work, "doc_id long, text_key long, n long, node long, check long, last long, prefix array<bigint>")
+    return keyed.mapInArrow(work, "doc_id long, text_key long, n long, node long, check long, last long, prefix array<bigint>, sketch array<bigint>")
 
 
 def fragments(docs: DataFrame, wanted: DataFrame, size: int, classes) -> DataFrame:
@@ -186,11 +187,13 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = spark.sparkContext.broadcast(frequency_classes(docs, size))
     sets = stored(set_rows(docs, size, percent, classes), "sets")
 
-    exploded = sets.filter("n > 0").select("node", "n", "last", F.explode("prefix").alias("shingle"))
+    exploded = sets.filter("n > 0").select("node", "n", F.posexplode("prefix").alias("place", "shingle"))
     several = exploded.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     kept = exploded.join(several.select("shingle"), "shingle", "left_semi")
-    kept = cut(kept.groupBy("shingle", "node").agg(F.min("n").alias("n"), F.min("last").alias("last")))
-    shared = cut(kept.groupBy("node").agg(F.min("n").alias("n"), F.min("last").alias("last"), F.collect_list("shingle").alias("prefix")))
+    kept = cut(kept.groupBy("shingle", "node").agg(F.min("n").alias("n"), F.min("place").alias("place")))
+    ends = sets.filter("n > 0").groupBy("node").agg(F.min("last").alias("last"), F.first("sketch").alias("sketch"))
+    shared = kept.groupBy("node").agg(F.min("n").alias("n"), F.collect_list("shingle").alias("prefix"))
+    shared = stored(shared.join(ends, "node"), "shared")
 
     def cut_sets(nodes: DataFrame) -> DataFrame:
         of_node = sets.select("node", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("of_doc"))
@@ -206,18 +209,11 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
                          "b", F.when(F.col("b") == F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("nb"))
     links = linked(stars, shared, cut_sets, percent)
 
-    roots = components(links)
-    placed = kept.join(roots, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
-    per_root = placed.select("shingle", "root").distinct()
-    open_ = per_root.groupBy("shingle").agg(F.count("*").alias("roots")).filter("roots > 1").select("shingle")
-    open_nodes = placed.join(open_, "shingle", "left_semi").select(F.col("node").alias("nr"), "n", "root")
-
-    def whole_sets(nodes: DataFrame) -> DataFrame:
-        """The fragments of the nodes, each once."""
-        parts = cut_sets(nodes.withColumnRenamed("nr", "node")).groupBy("node", "fragment").agg(F.first("shingles").alias("shingles"))
-        return parts.select(F.col("node").alias("nr"), "shingles")
-
-    cross = prefix_pairs(open_nodes, whole_sets, percent)
+    placed = shared.select("node", "sketch").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = kept.join(placed, "node").select("shingle", "node", "n", "root", (F.col("place") + 1).alias("rank"), "sketch")
+    spread = placed.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    open_ = stored(placed.join(spread.select("shingle"), "shingle", "left_semi"), "open")
+    cross = open_pairs(open_, "shingle", percent)
     links = links.unionByName(linked(cross, shared, cut_sets, percent))
 
     roots = components(links)

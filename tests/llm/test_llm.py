@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from runlake.llm import (  # noqa: E402
-    components, fingerprints, fm_index, jaccard, lines, mixing, pieces, quality, sharding, suffix_arrays, token_files, windows,
+    components, fingerprints, fm_index, jaccard, lines, mixing, pieces, quality, sharding, sketches, suffix_arrays, token_files, windows,
 )
 from runlake.llm.catalogue import LLM_ORACLES, LLM_QUERIES  # noqa: E402
 from runlake.llm.common import shared_folder  # noqa: E402
@@ -354,6 +354,30 @@ def test_jaccard_of_a_group_that_is_alike_but_not_linked_tests_few_pairs(spark,
     assert len(tested) == 2 and tested[1] < 3 * len(rows)
 
 
+def test_jaccard_reads_no_sets_of_nodes_that_only_share_a_passage(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(k, passage + "".join(f" own{k}x{i}" for i in range(60))) for k in range(50)]
+    wanted, fragments = [], jaccard.fragments
+    monkeypatch.setattr(jaccard, "fragments", lambda docs, nodes, *more: wanted.append(nodes.count()) or fragments(docs, nodes, *more))
+    found = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i for i, _ in rows}
+    assert sum(wanted[1:]) == 0
+
+
+def test_sketches_rule_out_no_link(spark):
+    rng = np.random.default_rng(5)
+    rows, fits = [], []
+    for k in range(400):
+        n, own = int(rng.integers(1, 900)), int(rng.integers(0, 200))
+        both, left, right = (rng.integers(0, 2**63, m).astype(np.uint64) for m in (n, own, int(rng.integers(0, own + 1))))
+        a, b = np.unique(np.concatenate([both, left])), np.unique(np.concatenate([both, right]))
+        fits.append(100 * n >= 80 * len(np.union1d(a, b)))
+        rows.append((k, len(a), sketches.sketch(a).tolist(), len(b), sketches.sketch(b).tolist()))
+    pairs = spark.createDataFrame(rows, "k long, na long, sa array<long>, nb long, sb array<long>")
+    may = {r.k for r in pairs.filter(sketches.may_link(80, F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))).collect()}
+    assert {k for k, fit in enumerate(fits) if fit} <= may and len(may) < sum(fits) + 40
+
+
 # --- 7
 
 
