@@ -11,12 +11,12 @@ whole sequence if it has fewer words, or nothing. Two sets are linked if 100 * i
    similarity has the posterior Beta(1 + m, 1 + n - m); a pair whose posterior probability of reaching the threshold is
    below ``MISS`` goes no further. The least m that goes on is computed once per batch (:func:`least_matches`).
 4. *Survivors are verified exactly*, on their full sets, which are cut out of the texts once more for these nodes only.
-5. *No pairs within a group.* Each round compares the nodes of a bucket with one hub of the bucket, the first in a random
-   order of all nodes (so that buckets of one group share their hubs), and joins what is linked. Buckets whose nodes are all connected are done; in the others only the
-   nodes outside the largest component go on, with a new hub. After ``HUB_ROUNDS`` rounds the nodes of what is left open meet by the
-   rarest shingles of their sets instead of by bands (:func:`prefix_pairs`): this misses no link, and leaves out most pairs of a
-   group whose members are alike, but not enough for a link. So every link between candidates is either tested, or connected
-   already: components are those of all candidate pairs.
+5. *No pairs within a group.* Each round compares the nodes of a bucket with two hubs of the bucket, the first and the last in a
+   random order of all nodes (so that buckets of one group share their hubs), and joins what is linked. Buckets whose nodes are all
+   connected are done. After ``HUB_ROUNDS`` rounds the nodes of what is left open meet each other, but for pairs of one component and
+   those whose sizes or sketches (:mod:`runlake.llm.sketches`) allow no link: this misses no link, and leaves out most pairs of a group
+   whose members are alike, but not enough for a link. So every link between candidates is either tested, or connected already:
+   components are those of all candidate pairs.
 
 The miss probability concerns candidates that are wrongly dropped; a link is never wrong. Null or empty text: empty set, linked
 with nothing. Rows that repeat a ``doc_id`` are one row each with their own set; the component carries the smallest ``doc_id`` of
@@ -37,13 +37,14 @@ from pyspark.sql import functions as F
 
 from runlake.llm.common import MIX_A, MIX_B, byte_words, columns_of, cut, documents, free_name, ids_and_texts, mixed, range_hashes, raw_text, slices, stored
 from runlake.llm.components import components
+from runlake.llm.sketches import open_pairs, sketch, sketch_lists
 
 #: A pair at the threshold of 0.8 agrees in 33 % of the bands, and in none with (1 - 0.8^5)^32 = 3e-6.
 BANDS, ROWS = 32, 5
 #: Minima compared at a time, and the posterior probability below which a pair is dropped.
 BATCH, MISS = 32, 1e-6
-#: Rounds of comparing each bucket with a hub before its remaining pairs are compared.
-HUB_ROUNDS = 3
+#: Rounds of comparing each bucket with two hubs before its remaining pairs are compared.
+HUB_ROUNDS = 1
 #: Sizes within this ratio are one class when the remaining pairs meet.
 SIZE_STEP = 1.05
 
@@ -123,12 +124,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def set_rows(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_key, n, node, minima, bands) of every document; the last two once for each node of a task, else null."""
+    """(doc_id, text_key, n, node, minima, bands, sketch) of every document; the last three once for each node of a task, else null."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
         for batch in slices(batches, 1 << 20):
-            sizes, nodes, minima = [], [], []
+            sizes, nodes, minima, sketches = [], [], [], []
             for found in shingle_sets(batch.column("text"), size):
                 node = digest(found)
                 new = len(found) > 0 and node not in known
@@ -137,14 +138,15 @@ def set_rows(docs: DataFrame, size: int) -> DataFrame:
                 sizes.append(len(found))
                 nodes.append(node)
                 minima.append(signature(found) if new else None)
+                sketches.append(sketch(found) if new else None)
             there = [m is not None for m in minima]
             keys = band_keys(np.array([m for m in minima if m is not None], np.uint32))
             ends = np.cumsum([0, *there]) * BANDS
             bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()), mask=pa.array([not t for t in there]))
-            values = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array([None if m is None else m.astype(np.uint16).tobytes() for m in minima], pa.binary()), bands]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *values], ["doc_id", "text_key", "n", "node", "minima", "bands"])
+            values = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array([None if m is None else m.astype(np.uint16).tobytes() for m in minima], pa.binary()), bands, sketch_lists(sketches)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *values], ["doc_id", "text_key", "n", "node", "minima", "bands", "sketch"])
 
-    return keyed(docs).mapInArrow(work, "doc_id long, text_key long, n long, node binary, minima binary, bands array<long>")
+    return keyed(docs).mapInArrow(work, "doc_id long, text_key long, n long, node binary, minima binary, bands array<long>, sketch array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -252,10 +254,10 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """For (doc_id, text): doc_id, n_shingles, component_id, kept."""
     sets = stored(set_rows(docs, size), "sets")
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    firsts = F.min(one).alias("at"), F.first("minima", ignorenulls=True).alias("minima"), F.first("bands", ignorenulls=True).alias("bands")
+    firsts = F.min(one).alias("at"), *[F.first(c, ignorenulls=True).alias(c) for c in ("minima", "bands", "sketch")]
     # numbers of nodes: smaller to move than digests, and fixed once they are stored
     signed = sets.filter("n > 0").groupBy("n", "node").agg(*firsts).withColumn("nr", F.monotonically_increasing_id())
-    signed = stored(signed.select("nr", "n", "node", "at.doc_id", "at.text_key", "minima", "bands"), "nodes")
+    signed = stored(signed.select("nr", "n", "node", "at.doc_id", "at.text_key", "minima", "bands", "sketch"), "nodes")
     nodes = signed.select("nr", "n", "node", "doc_id", "text_key")
 
     def cut_sets(wanted: DataFrame) -> DataFrame:
@@ -267,7 +269,8 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     links = None
     for round_ in range(HUB_ROUNDS):
         shuffled = F.struct(F.xxhash64("nr", F.lit(round_)).alias("at"), F.col("nr").alias("hub"), F.col("n").alias("hub_n"))
-        hubs = open_.groupBy("band").agg(F.min(shuffled).alias("h")).select("band", "h.hub", "h.hub_n")
+        hubs = open_.groupBy("band").agg(F.min(shuffled).alias("h1"), F.max(shuffled).alias("h2"))
+        hubs = hubs.select("band", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("h")).select("band", "h.hub", "h.hub_n")
         stars = open_.join(hubs, "band").filter("nr <> hub").select(
             F.least("nr", "hub").alias("a"), F.when(F.col("nr") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("na"),
             F.greatest("nr", "hub").alias("b"), F.when(F.col("nr") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("nb"),
@@ -283,7 +286,8 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         if open_.isEmpty():
             break
     else:
-        links = links.unionByName(linked(prefix_pairs(open_, cut_sets, percent), signed, cut_sets, percent))
+        left = open_.join(signed.select("nr", "sketch"), "nr").withColumn("rank", F.lit(1)).withColumnRenamed("nr", "node")
+        links = links.unionByName(linked(open_pairs(left, "band", percent), signed, cut_sets, percent))
     roots = components(links)
     named = nodes.join(roots.withColumnRenamed("node", "nr"), "nr", "left").withColumn("root", F.coalesce("root", "nr"))
     firsts = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

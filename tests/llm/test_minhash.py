@@ -131,3 +131,16 @@ def test_a_group_that_is_alike_but_not_linked_makes_few_pairs(spark, monkeypatch
     monkeypatch.setattr(minhash, "HUB_ROUNDS", 1)
     found = minhash.joined(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
     assert {r.doc_id: r.component_id for r in found} == {i: top(i) for i in sets}
+
+
+def test_open_buckets_meet_after_one_round_without_whole_sets(spark, monkeypatch):
+    """What is left open after the hubs is compared at once, and only pairs that may be linked have their sets read."""
+    core = [f"core{i}" for i in range(170)]
+    rows = [(k, " ".join(core + [f"own{k}x{i}" for i in range(30 + k % 3)])) for k in range(60)]
+    rows += [(100 + k, rows[k][1] + " the end") for k in range(0, 60, 4)]
+    read, calls, sets_of, linked = [], [], minhash.sets_of, minhash.linked
+    monkeypatch.setattr(minhash, "sets_of", lambda docs, wanted, size: read.append(wanted.count()) or sets_of(docs, wanted, size))
+    monkeypatch.setattr(minhash, "linked", lambda pairs, *more: calls.append(pairs.distinct().count()) or linked(pairs, *more))
+    found = minhash.joined(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i % 100 for i, _ in rows}
+    assert len(calls) == len(read) == 2 and calls[1] < len(rows)
