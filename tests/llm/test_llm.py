@@ -196,6 +196,20 @@ def test_suffix_arrays_by_induced_sorting():
         assert suffix_arrays.suffix_array(text, sigma).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
 
 
+def test_suffix_arrays_of_many_names_by_doubling(monkeypatch):
+    rng = random.Random(6)
+    words = [bytes(rng.choices(b"abcdefgh", k=rng.randint(2, 9))) for _ in range(300)]
+    texts = [b" ".join(rng.choices(words, k=3000)), (b"some words again and " * 200)[:-3], b" ".join(words) * 4]
+    sorted_, doubled = [], suffix_arrays.doubled
+    monkeypatch.setattr(suffix_arrays, "doubled", lambda names, sigma: sorted_.append(len(names)) or doubled(names, sigma))
+    for text in texts:
+        found = suffix_arrays.suffix_array(np.frombuffer(text, np.uint8).astype(np.int64) + 1, 257)
+        assert found.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    assert max(sorted_) > suffix_arrays.SMALL_ALPHABET
+    for names in ([0], [3, 3, 3, 3], [600, 1, 600, 1, 600], [rng.randrange(4) for _ in range(500)]):
+        assert doubled(np.array(names), 601).tolist() == sorted(range(len(names)), key=lambda i: names[i:])
+
+
 def test_permuted_common_prefixes():
     text = np.frombuffer(b"abracadabra" * 12, np.uint8).astype(np.int64)
     order = suffix_arrays.suffix_array(text, 257)
@@ -366,16 +380,17 @@ def test_jaccard_reads_no_sets_of_nodes_that_only_share_a_passage(spark, monkeyp
 
 def test_sketches_rule_out_no_link(spark):
     rng = np.random.default_rng(5)
-    rows, fits = [], []
+    rows, fits, far = [], [], set()
     for k in range(400):
         n, own = int(rng.integers(1, 900)), int(rng.integers(0, 200))
         both, left, right = (rng.integers(0, 2**63, m).astype(np.uint64) for m in (n, own, int(rng.integers(0, own + 1))))
         a, b = np.unique(np.concatenate([both, left])), np.unique(np.concatenate([both, right]))
         fits.append(100 * n >= 80 * len(np.union1d(a, b)))
+        far |= {k} if 2 * n < len(np.union1d(a, b)) else set()
         rows.append((k, len(a), sketches.sketch(a).tolist(), len(b), sketches.sketch(b).tolist()))
     pairs = spark.createDataFrame(rows, "k long, na long, sa array<long>, nb long, sb array<long>")
     may = {r.k for r in pairs.filter(sketches.may_link(80, F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))).collect()}
-    assert {k for k, fit in enumerate(fits) if fit} <= may and len(may) < sum(fits) + 40
+    assert {k for k, fit in enumerate(fits) if fit} <= may and len(far) > 20 and not may & far
 
 
 # --- 7
