@@ -37,6 +37,8 @@ from runlake.llm.sketches import open_pairs, sketch, sketch_lists
 
 CELL_BITS, CLASS_SHIFT, FRAGMENT_SHIFT = 20, 57, 54
 LIGHT_FRAGMENTS = 1 << (CLASS_SHIFT - FRAGMENT_SHIFT)
+#: Bytes of text that a task shingles together: it needs some 45 times as much memory for them.
+SLICE = 1 << 19
 #: Up to so many node ids, or candidate pairs, are broadcast to their documents or fragments; more are joined.
 BROADCAST_NODES = 1_000_000
 
@@ -72,9 +74,9 @@ def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(cells, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             found = list(shingle_sets(batch.column(0), size))
-            counts += np.bincount((np.concatenate(found) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells)
+            np.add.at(counts, (np.concatenate(found) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         total = int(counts.sum())
         # a cell that is frequent in the corpus is frequent in most tasks; usual ones are only summed up
         often = np.flatnonzero(counts >= max(8, 8 * total // cells))
@@ -109,7 +111,7 @@ def set_rows(docs: DataFrame, size: int, percent: int, classes) -> DataFrame:
     digest of its set, last ends its prefix."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             n, node, check, last, prefix, sketches = [], [], [], [], [], []
             for found in shingle_sets(batch.column(1), size):
                 a, b = digest(found)
@@ -134,7 +136,7 @@ def fragments(docs: DataFrame, wanted: DataFrame, size: int, classes) -> DataFra
     rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("node", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             nodes, numbers, parts = [], [], []
             for node, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
                 if digest(found)[0] != node:

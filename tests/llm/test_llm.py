@@ -378,6 +378,25 @@ def test_jaccard_reads_no_sets_of_nodes_that_only_share_a_passage(spark, monkeyp
     assert sum(wanted[1:]) == 0
 
 
+def test_jaccard_shingles_little_text_at_a_time(monkeypatch):
+    """A task's memory follows the text that it looks at together."""
+    texts = pa.RecordBatch.from_arrays([pa.array([f"w{i} " * 4000 for i in range(200)])], ["text"])
+    seen, range_hashes = [], jaccard.range_hashes
+    monkeypatch.setattr(jaccard, "range_hashes", lambda raw, *more: seen.append(len(raw)) or range_hashes(raw, *more))
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, work, schema):
+            assert [r for b in work(iter([texts])) for r in b.column("cell").to_pylist()][0] == -1
+            raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        jaccard.frequency_classes(Docs(), 5)
+    assert sum(seen) == sum(map(len, texts.column(0).to_pylist())) > 3 << 20 and max(seen) < 1 << 20
+
+
 def test_sketches_rule_out_no_link(spark):
     rng = np.random.default_rng(5)
     rows, fits, far = [], [], set()
