@@ -286,7 +286,8 @@ def joined(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         if open_.isEmpty():
             break
     else:
-        left = open_.join(signed.select("nr", "sketch"), "nr").withColumn("rank", F.lit(1)).withColumnRenamed("nr", "node")
+        # two nodes that share a bucket which is not open are connected, or one was its hub
+        left = open_.join(signed.select("nr", "sketch", F.col("bands").alias("keys")), "nr").withColumn("rank", F.lit(1)).withColumnRenamed("nr", "node")
         links = links.unionByName(linked(open_pairs(left, "band", percent), signed, cut_sets, percent))
     roots = components(links)
     named = nodes.join(roots.withColumnRenamed("node", "nr"), "nr", "left").withColumn("root", F.coalesce("root", "nr"))
