@@ -8,11 +8,12 @@ whole sequence if it has fewer words, or nothing. Two sets are linked if 100 * i
    this one puts frequent lines last, so that they hardly ever make two documents candidates.
 2. *Equal sets* are one node (128-bit digest and size), however many documents share them.
 3. *Candidates.* Linked sets share shingles among the first ``n - ceil(percent% n) + 1`` of their order. Prefix shingles of only one
-   node are dropped. A pair goes on if the shared ones and all that may follow them can still make up the needed overlap: what
+   node, or of no other node of a size that may be linked, are dropped. A pair goes on if the shared ones and all that may follow them can still make up the needed overlap: what
    the set whose prefix ends first has in common beyond that end lies in its rest.
 4. *Vertical partitioning.* The order is cut into fragments, and the sets of the nodes in such pairs are cut alike; the overlap of a
    pair is counted fragment by fragment and summed per pair.
-5. *No pairs within a group.* First every node is compared with two hubs of each of its prefix shingles, which joins most groups
+5. *No pairs within a group.* First every node is compared with two hubs of each of its prefix shingles (the least
+   node and a random one), which joins most groups
    with a number of pairs linear in the nodes. Then the nodes of each prefix shingle whose nodes are still in several components
    meet once more. Links inside a component are not needed; a pair whose sizes, places of the shingle or sketches
    (:mod:`runlake.llm.sketches`) allow no link goes no further than the join. So every link that can still join anything is
@@ -24,6 +25,7 @@ component carries the smallest ``doc_id`` of its rows. Extra columns pass throug
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from runlake.llm.common import MIX_A, MIX_B, byte_words, columns_of, cut, documents, free_name, ids_and_texts, mixed, range_hashes, raw_text, slices, stored
 from runlake.llm.components import components
-from runlake.llm.sketches import open_pairs, sketch, sketch_lists
+from runlake.llm.sketches import WIDE, folded, may_link, open_pairs, sketch, sketch_lists
 
 CELL_BITS, CLASS_SHIFT, FRAGMENT_SHIFT = 20, 57, 54
 LIGHT_FRAGMENTS = 1 << (CLASS_SHIFT - FRAGMENT_SHIFT)
@@ -120,9 +122,9 @@ def set_rows(docs: DataFrame, size: int, percent: int, classes) -> DataFrame:
                 check.append(b)
                 prefix.append(ordered(found, classes.value)[: len(found) - (percent * len(found) + 99) // 100 + 1 if len(found) else 0])
                 last.append(int(prefix[-1][-1]) if len(found) else 0)
-                sketches.append(sketch(found) if len(found) else None)
+                sketches.append(sketch(found, WIDE) if len(found) else None)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix)))
-            columns = [batch.column(0), batch.column(2), *[pa.array(x, pa.int64()) for x in (n, node, check, last)], lists, sketch_lists(sketches)]
+            columns = [batch.column(0), batch.column(2), *[pa.array(x, pa.int64()) for x in (n, node, check, last)], lists, sketch_lists(sketches, WIDE)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "node", "check", "last", "prefix", "sketch"])
 
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
@@ -154,17 +156,30 @@ def fragments(docs: DataFrame, wanted: DataFrame, size: int, classes) -> DataFra
     return rows.mapInArrow(work, "node long, fragment int, shingles array<bigint>")
 
 
+def of_like_sizes(kept: DataFrame, percent: int) -> DataFrame:
+    """The rows (shingle, node, n, ...) whose shingle another node has too, of a size that may allow a link.
+
+    Such sizes are in the same class or in neighbouring ones; a class is a little wider than the ratio that a link allows.
+    """
+    step = math.log(100 / percent) + 1e-6
+    kept = kept.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step))
+    near = kept.select("shingle", "node", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
+    near = near.groupBy("shingle", "class").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+    return kept.join(near.select("shingle", "class"), ["shingle", "class"], "left_semi").drop("class")
+
+
 def needed(percent: int):
     """The least overlap that links sets of sizes ``na`` and ``nb``: ceil(percent * (na + nb) / (100 + percent))."""
     return F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
 
 
 def linked(pairs: DataFrame, shared: DataFrame, cut_sets, percent: int) -> DataFrame:
-    """The pairs (a, na, b, nb) that are linked, kept in the shared folder. ``shared``: (node, last, prefix) with the shared prefix
-    shingles of each node; ``cut_sets`` gives the fragments of given nodes."""
+    """The pairs (a, na, b, nb) that are linked, kept in the shared folder. ``shared``: (node, last, prefix, sketch) with the shared
+    prefix shingles of each node; ``cut_sets`` gives the fragments of given nodes."""
     pairs = pairs.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))).distinct()
-    heads = pairs.join(shared.select(F.col("node").alias("a"), F.col("last").alias("la"), F.col("prefix").alias("pa")), "a")
-    heads = heads.join(shared.select(F.col("node").alias("b"), F.col("last").alias("lb"), F.col("prefix").alias("pb")), "b")
+    heads = pairs.join(shared.select(F.col("node").alias("a"), F.col("last").alias("la"), F.col("prefix").alias("pa"), F.col("sketch").alias("ha")), "a")
+    heads = heads.join(shared.select(F.col("node").alias("b"), F.col("last").alias("lb"), F.col("prefix").alias("pb"), F.col("sketch").alias("hb")), "b")
+    heads = heads.filter(may_link(percent, F.col("na"), F.col("ha"), F.col("nb"), F.col("hb"), WIDE))
     rest = F.ceil(F.lit(percent) * F.when(F.col("la") <= F.col("lb"), F.col("na")).otherwise(F.col("nb")) / 100) - 1
     rest = F.when(F.col("la") == F.col("lb"), F.ceil(F.lit(percent) * F.least("na", "nb") / 100) - 1).otherwise(rest)
     heads = cut(heads.filter(F.size(F.array_intersect("pa", "pb")) + rest >= needed(percent)).select("a", "na", "b", "nb"))
@@ -192,7 +207,8 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     exploded = sets.filter("n > 0").select("node", "n", F.posexplode("prefix").alias("place", "shingle"))
     several = exploded.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     kept = exploded.join(several.select("shingle"), "shingle", "left_semi")
-    kept = cut(kept.groupBy("shingle", "node").agg(F.min("n").alias("n"), F.min("place").alias("place")))
+    kept = stored(kept.groupBy("shingle", "node").agg(F.min("n").alias("n"), F.min("place").alias("place")), "kept")
+    kept = cut(of_like_sizes(kept, percent))
     ends = sets.filter("n > 0").groupBy("node").agg(F.min("last").alias("last"), F.first("sketch").alias("sketch"))
     shared = kept.groupBy("node").agg(F.min("n").alias("n"), F.collect_list("shingle").alias("prefix"))
     shared = stored(shared.join(ends, "node"), "shared")
@@ -201,20 +217,21 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
         of_node = sets.select("node", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("of_doc"))
         return stored(fragments(docs, cut(of_node), size, classes), "fragments")
 
-    mixing = F.xxhash64("node")
-    hubs = kept.groupBy("shingle").agg(F.min("node").alias("h1"), F.min(mixing).alias("m"), F.count("*").alias("nodes")).filter("nodes > 1")
-    hubs = hubs.join(kept.select("shingle", F.col("node").alias("h2"), mixing.alias("m")), ["shingle", "m"])
-    stars = kept.join(hubs, "shingle").select("node", "n", F.explode(F.array("h1", "h2")).alias("hub"))
-    sizes = shared.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-    stars = stars.distinct().join(sizes, "hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), "hub", "n", "hub_n")
-    stars = stars.select("a", F.when(F.col("a") == F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("na"),
-                         "b", F.when(F.col("b") == F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("nb"))
+    # the first node, and one that is another for each shingle, so that members of a group meet many of the others
+    mixing = F.xxhash64("shingle", "node")
+    hubs = kept.groupBy("shingle").agg(F.min("node").alias("least"), F.min(mixing).alias("m"))
+    hubs = kept.join(hubs, "shingle").filter((F.col("node") == F.col("least")) | (mixing == F.col("m")))
+    hubs = hubs.select("shingle", F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+    stars = kept.join(hubs, "shingle").filter((F.col("node") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+    first = F.col("node") < F.col("hub")
+    stars = stars.select(F.least("hub", "node").alias("a"), F.when(first, F.col("n")).otherwise(F.col("hub_n")).alias("na"),
+                         F.greatest("hub", "node").alias("b"), F.when(first, F.col("hub_n")).otherwise(F.col("n")).alias("nb"))
     links = linked(stars, shared, cut_sets, percent)
 
-    placed = shared.select("node", "sketch").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = kept.join(placed, "node").select("shingle", "node", "n", "root", (F.col("place") + 1).alias("rank"), "sketch")
+    placed = kept.join(components(links), "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"), (F.col("place") + 1).alias("rank"))
     spread = placed.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    open_ = stored(placed.join(spread.select("shingle"), "shingle", "left_semi"), "open")
+    open_ = placed.join(spread.select("shingle"), "shingle", "left_semi").join(shared.select("node", folded(F.col("sketch")).alias("sketch")), "node")
+    open_ = stored(open_, "open")
     cross = open_pairs(open_, "shingle", percent)
     links = links.unionByName(linked(cross, shared, cut_sets, percent))
 
