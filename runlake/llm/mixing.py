@@ -43,6 +43,8 @@ MOST_RATE = 4.0
 #: Steps at most, and the change of the shares from one step to the next at which they end.
 MOST_STEPS, TOLERANCE = 20, 2e-4
 RATIOS = 5
+#: Bytes of text that a task looks at together: words and their hashes need some 45 times as much memory.
+SLICE = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -98,7 +100,7 @@ def telling_words(sample: DataFrame, counts: dict[int, int]) -> np.ndarray:
     """For each domain the ``WORDS`` words of (text, label) whose presence says most about it, as sorted hashes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             text, hashes = present_words(*raw_text(batch.column(0)))
             labels = batch.column(1).to_numpy()[text].astype(np.int64)
             order = np.lexsort((labels, hashes))
@@ -140,7 +142,7 @@ def posteriors(rows: DataFrame, labels: DataFrame) -> DataFrame:
             weights, bias = fitted(sample, telling)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             tokens, x = features(batch.column(1), telling)
             logits = x.astype(np.float64) @ weights.T + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -156,7 +158,7 @@ def fitted(sample: DataFrame, telling: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Weights and biases of the domains by multinomial logistic regression on (text, label)."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             x = features(batch.column(0), telling)[1].astype(np.float64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([lists, batch.column(1)], ["x", "label"])

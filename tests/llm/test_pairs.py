@@ -1,13 +1,15 @@
-"""What near-duplicate search makes on the way: sketches and pairs that meet."""
+"""What near-duplicate search makes on the way: sketches, pairs that meet, and the memory of a slice of text."""
 
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-from runlake.llm import jaccard, sketches  # noqa: E402
-from runlake.llm.common import mixed  # noqa: E402
+from runlake.llm import jaccard, mixing, sketches  # noqa: E402
+from runlake.llm.common import mixed, slices  # noqa: E402
 
 
 def hashes(values):
@@ -63,3 +65,20 @@ def test_first_hubs_do_not_leave_a_group_in_pieces(spark):
     docs = [(i, " ".join(words[2 * i : 2 * i + 120])) for i in range(60)] + [(100, "other words that nobody has"), (101, None)]
     found = {r.doc_id: r.component_id for r in jaccard.joined(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85).collect()}
     assert found == {**dict.fromkeys(range(60), 0), 100: 100, 101: 101}
+
+
+def test_features_take_little_memory_at_a_time():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9999, 600)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    telling = np.sort(hashes(range(300)))
+    tracemalloc.start()
+    for part in slices(iter([batch]), mixing.SLICE):
+        mixing.features(part.column(0), telling)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.start()
+    tracemalloc.clear_traces()
+    for part in slices(iter([batch])):
+        mixing.features(part.column(0), telling)
+    assert 3 * peak < tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
