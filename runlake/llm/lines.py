@@ -41,6 +41,8 @@ MIN_WORDS = 8
 BLOCKS = 16
 #: Up to so many lines (about 100 bytes each) are sent to the documents by broadcast; more are joined.
 BROADCAST_LINES = 1_000_000
+#: Bytes of lines that a task looks at together: their blocks and variants need some hundred times as much memory.
+SLICE = 1 << 17
 _LINE_SPAN = 1 << 31
 CHAR_KEYS, WORD_KEYS = [f"k{i}" for i in range(4)], [f"w{i}" for i in range(4)]
 
@@ -115,7 +117,7 @@ def _sums(line: str, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
 
 def block_keys(batches: Iterator[pa.RecordBatch], by_words: bool = False) -> Iterator[pa.RecordBatch]:
     """For each line, partner length and block: the hash of all that lies outside the block."""
-    for batch in slices(batches, column="line"):
+    for batch in slices(batches, SLICE, "line"):
         rows, keys, shorters, blocks = [], [], [], []
         for i, line in enumerate(batch.column(batch.schema.get_field_index("line")).to_pylist()):
             sums, back = _sums(line, by_words)
@@ -140,7 +142,7 @@ def block_keys(batches: Iterator[pa.RecordBatch], by_words: bool = False) -> Ite
 def variants(batches: Iterator[pa.RecordBatch], by_words: bool = False) -> Iterator[pa.RecordBatch]:
     """For each line and the blocks in which a near line may differ: hashes of the line itself (``p`` -1) and of the line without
     its code point (or word) ``p``."""
-    for batch in slices(batches, column="line"):
+    for batch in slices(batches, SLICE, "line"):
         for i, row in enumerate(batch.select(["line", "spots"]).to_pylist()):
             sums, back = _sums(row["line"], by_words)
             n = len(sums) - 1

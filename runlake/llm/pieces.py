@@ -2,7 +2,7 @@
 
 The model is a SentencePiece BPE model with byte fallback; only its pieces and scores are used, the merging is done here. Its
 pieces never hold a word boundary (a blank after another character) inside, so a text falls into words. The new words of a
-batch are merged together, one merge of each word a round, and a worker remembers up to ``MEMO_WORDS`` of them.
+batch are merged together, one merge of each word a round, and a task remembers up to ``MEMO_WORDS`` of them.
 
 Documents of more than ``CHUNK`` characters are cut into chunks anywhere, also within words, and encoded in parallel:
 
@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from runlake.llm.common import columns_of, cut, documents, fresh_path, free_name, slices
+from runlake.llm.common import columns_of, cut, documents, fresh_path, free_name, give_back, slices
 
 CHUNK = 8192
-#: Words whose ids a worker remembers, and the bytes of text that it looks at together.
+#: Words whose ids a task remembers, and the bytes of text that it looks at together.
 MEMO_WORDS, BATCH = 150_000, 1 << 20
 #: Longer words are traced, not merged.
 LONG_WORD = 64
@@ -199,6 +199,11 @@ class PieceModel:
             self.words.update(zip(usual, self.merged_together(usual), strict=True))
         self.words.update((w, self.pack(self.traced(w, None, 0, len(w), None))) for w in new if len(w) > LONG_WORD)
 
+    def forget(self) -> None:
+        """Drops what is remembered, at the end of a task: the next one knows most of it after its first batches."""
+        self.words, self.pairs = {}, {}
+        give_back()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed in 32 bits."""
         found = [_WORDS.findall(normal(x)) if x else [] for x in texts]
@@ -396,6 +401,7 @@ def giant_ids(rows: DataFrame, path: str, chunk: int) -> DataFrame:
             found = [transfer(model, r) for r in chunk_rows(batch)]
             columns = [batch.column(0), batch.column(1), pa.array([len(m) for m in found], pa.int32()), pa.array([m.tobytes() for m in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "chunk", "height", "matrix"])
+        model.forget()
 
     def scan(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
@@ -416,6 +422,7 @@ def giant_ids(rows: DataFrame, path: str, chunk: int) -> DataFrame:
             # what is the chunk's own, without margins and without the blank in front
             texts = [t[max(0, r["cut"] - r["opens"]) : r["stop"] - r["opens"]] for t, r in zip(batch.column("text").to_pylist(), parts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(texts, pa.string()), batch.column("rest"), pa.array(ids, pa.binary())], names)
+        model.forget()
 
     def whole(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk") if table.num_rows > 1 else table
@@ -442,6 +449,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         model = model_of(path)
         for batch in slices(batches, BATCH):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.encode(batch.column(1).to_pylist()), pa.binary())], ["kept", "ids"])
+        model.forget()
 
     usual = rows.filter(F.length("text") < chunk).mapInArrow(whole, StructType([rows.schema["kept"], StructField("ids", BinaryType())]))
     # a struct must have a field, and row numbers do not go into it

@@ -20,7 +20,7 @@ from runlake.llm import (  # noqa: E402
     components, fingerprints, fm_index, jaccard, lines, mixing, pieces, quality, sharding, sketches, suffix_arrays, token_files, windows,
 )
 from runlake.llm.catalogue import LLM_ORACLES, LLM_QUERIES  # noqa: E402
-from runlake.llm.common import shared_folder  # noqa: E402
+from runlake.llm.common import shared_folder, slices  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -450,6 +450,39 @@ def test_a_worker_remembers_a_bounded_number_of_words(monkeypatch):
     assert len(model.words) <= 50
 
 
+def test_a_task_leaves_no_words_in_its_worker(spark, odd):
+    """Workers wait for later tasks with what they remember, several to an executor."""
+    assert pieces.encoded(odd, pieces.default_model()).count() == odd.count()
+
+    def remembered(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(m.words) + len(m.pairs) for m in pieces._MODELS.values())])], ["n"])
+
+    assert sum(r.n for r in spark.range(0, 32, 1, 16).mapInArrow(remembered, "n long").collect()) == 0
+
+
+def test_a_slice_does_not_keep_its_batch():
+    before = pa.total_allocated_bytes()
+
+    def batches():
+        for _ in range(4):
+            yield pa.RecordBatch.from_arrays([pa.array(["x" * 100_000] * 100), pa.array([{"a": [k, None]} for k in range(100)])], ["text", "row"])
+
+    kept, n = None, 0
+    for kept in slices(batches(), 1 << 20):
+        n += kept.num_rows
+    assert n == 400 and kept.column(1)[-1].as_py() == {"a": [99, None]}
+    assert pa.total_allocated_bytes() - before < 2 << 20
+
+
+def test_lines_are_looked_at_a_few_at_a_time():
+    """The blocks of 10,000 short lines are many more bytes than the lines."""
+    names, n = ["h", "g", "line"], 10_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([f"a line with the number {k:06d} and more" for k in range(n)])], names)
+    found = list(lines.block_keys(iter([batch])))
+    assert sum(b.num_rows for b in found) == 2 * lines.BLOCKS * n and max(b.num_rows for b in found) < lines.BLOCKS * n
+
+
 def test_giant_texts_are_stored_once(spark, odd, monkeypatch):
     """Without the chunks' margins, which are short, no more text is stored than there is."""
     paths = []
