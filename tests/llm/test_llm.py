@@ -188,6 +188,25 @@ def test_repeated_bytes_equal_brute_force(spark, odd, hot):
     assert sorted(((r.doc, r.n_bytes, r.n_removed, list(r.kept)) for r in found), key=str) == want
 
 
+def test_shards_of_frequent_anchors_are_indexed_in_parts(spark):
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    long, line = some(3000), some(75)
+    rows = [(0, long)] + [(1 + i, some(60) + long[9 * i : 9 * i + 70] + some(60)) for i in range(300)]
+    rows += [(400 + i, some(60) + line + some(40)) for i in range(600)] + [(None, line + line), (2000, "ab" * 300), (2001, "ba" * 200)]
+    how = suffix_arrays.Bytes()
+    how.most = 4000
+
+    def bounded(contents, docs):
+        assert sum(map(len, contents)) <= 4 * 4000
+        return suffix_arrays.least_docs(contents, docs)
+
+    keyed = windows.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = keyed.join(windows.repeated_spans(keyed, how, bounded, hot=50), "row", "left").collect()
+    removed = sorted((r.doc, len(r.text), int(windows.covered(len(r.text), r.spans).sum())) for r in found)
+    assert removed == sorted(x[:3] for x in brute_removed(rows, 50, lambda t: list(t.encode())))
+
+
 def test_suffix_arrays_by_induced_sorting():
     rng = random.Random(5)
     for _ in range(200):
